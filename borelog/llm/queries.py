@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, tokens
+from . import bpe, language, suffixes, tokens
 from .common import shared_dir
 
 
@@ -32,6 +33,16 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def removed(rows: DataFrame) -> DataFrame:
+    """The digest columns of a removal: what stays, and how much went."""
+    gone = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~language.held_out()))
@@ -39,5 +50,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bit_planes, op8_prefix_bpe, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bit_planes, op8_prefix_bpe, op9_suffix_array, op10_language)}
 ORACLE: dict[str, str] = {}
