@@ -73,7 +73,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def odd_numbers(n: int, seed: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) | np.uint64(1)
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

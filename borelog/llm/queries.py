@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, suffixes, tokens
+from . import bpe, chunks, contamination, jaccard, language, suffixes, tokens
 from .common import shared_dir
 
 
@@ -21,12 +21,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(chunks.dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
     tokens.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return tokens.read(spark, path)
 
 
+def op4_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,5 +62,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bit_planes, op8_prefix_bpe, op9_suffix_array, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gear_chunks, op2_bit_planes, op4_qgram_lemma, op6_bayes_jaccard, op8_prefix_bpe, op9_suffix_array, op10_language)}
 ORACLE: dict[str, str] = {}
