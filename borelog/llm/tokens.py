@@ -10,6 +10,7 @@ Spark's writer makes files appear only when their task has committed, and works
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,10 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_parts
-from .common import in_slices, texts
+from .common import as_bytes, in_slices, span_hash, texts
 
 BLOCK = 16_384
 CHUNK_IDS = 131_072
+#: Parts in a worker's cache; a full cache starts anew, results are the same.
+CACHED = 600_000
+#: A part that stays the same between line ends: a blank at most before, no line end within, no white space at the end.
+PLAIN = re.compile(r" ?\S(?:[^\n]*\S)?")
 SCHEMA = "shard int, chunk int, first long, n_ids long, planes int, block int, kind string, doc_ids array<long>, lengths array<long>, data array<binary>"
 
 
@@ -37,43 +42,98 @@ def tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def fresh(parts: list[str]) -> list[bytes]:
+    def each(parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
 
+    mark = t.encode("\n", add_special_tokens=False).ids
+
+    def fresh(parts: list[str]) -> list[bytes]:
+        """One call for many parts: with line ends between them, which the pre-tokenizer always parts from what stands around."""
+        plain = [p for p in parts if PLAIN.fullmatch(p)]
+        if len(plain) < 2 or len(mark) != 1:
+            return each(parts)
+        ids = np.array(t.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == mark[0])
+        if len(at) != len(plain) - 1:
+            return each(parts)
+        raw = ids.tobytes()
+        done = {p: raw[a:z] for p, a, z in zip(plain, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)}
+        rest = [p for p in parts if p not in done]
+        done.update(zip(rest, each(rest), strict=True))
+        return [done[p] for p in parts]
+
     return fresh, {}
 
 
+def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh) -> list[bytes]:
+    """The ids of each text. Texts are cut at safe borders for all at once, each distinct part is encoded once and its ids
+    are put in all its places; a text with two white-space characters in a row, or a rare one, goes the careful way."""
+    raw, offsets = as_bytes(strings)
+    n = len(raw)
+    out = [b""] * len(strings)
+    if not n:
+        return out
+    blank = (raw == 32) | (raw == 10)
+    rare = (raw < 32) & (raw != 10) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3)
+    rare[1:] |= (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0)) | blank[1:] & blank[:-1]
+    careful = np.zeros(len(strings), bool)
+    careful[np.searchsorted(offsets, np.flatnonzero(rare), side="right") - 1] = True
+    border = np.zeros(n + 1, bool)
+    border[:n] = blank
+    border[1:] |= raw == 10
+    border[offsets] = True
+    start = np.flatnonzero(border[:n])
+    end = np.r_[start[1:], n]
+    size = end - start
+    h, first, of = np.unique(span_hash(raw, start, end), return_index=True, return_inverse=True)
+    if (size[first][of] != size).any():  # two parts with one hash
+        careful[:] = True
+    data = raw.tobytes()
+    parts = [data[a:z].decode() for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+    new = [p for p in parts if p not in known]
+    if len(known) > CACHED:
+        known.clear()
+        new = parts
+    known.update(zip(new, fresh(new), strict=True))
+    ids = [known[p] for p in parts]
+    length = np.array([len(x) // 4 for x in ids], np.int64)
+    place = np.cumsum(length) - length
+    count = length[of]
+    ends = np.cumsum(count)
+    every = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place[of] - (ends - count), count) + np.arange(ends[-1])]
+    bounds = np.r_[0, ends][np.searchsorted(start, offsets)] * 4
+    raw_ids = every.tobytes()
+    for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        out[i] = encode_parts(strings[i].as_py(), known, fresh) if careful[i] else raw_ids[a:z]
+    return out
+
+
 def to_planes(ids: np.ndarray, kind: str, block: int, compress) -> tuple[int, list[bytes]]:
     """The planes of each block in turn, lowest first, as many as the largest id needs."""
     need = max(1, int(ids.max(initial=0)).bit_length())
     n = need if kind == "bit" else (need + 7) // 8
     out = []
     for at in range(0, len(ids), block):
-        raw = ids[at : at + block].astype("<u4").view(np.uint8).reshape(-1, 4)
+        part = ids[at : at + block].astype("<u4")
         if kind == "bit":
-            rows = np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T[:n], axis=1, bitorder="little")
+            out += [compress(np.packbits((part >> np.uint32(k) & np.uint32(1)).astype(np.uint8), bitorder="little").tobytes()) for k in range(n)]
         else:
-            rows = np.ascontiguousarray(raw.T[:n])
-        out += [compress(r.tobytes()) for r in rows]
+            out += [compress(row.tobytes()) for row in np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T[:n])]
     return n, out
 
 
 def from_planes(data: list[bytes], planes: int, kind: str, block: int, n_ids: int, decompress) -> np.ndarray:
-    ids = np.zeros((n_ids, 4), np.uint8)
-    for k in range(0, len(data), planes):
-        at = k // planes * block
+    ids = np.zeros(n_ids, "<u4")
+    for i, plane in enumerate(data):
+        at, k = i // planes * block, i % planes
         size = min(block, n_ids - at)
-        rows = np.stack([np.frombuffer(decompress(x), np.uint8) for x in data[k : k + planes]])
-        if kind == "bit":
-            bits = np.zeros((32, size), np.uint8)
-            bits[:planes] = np.unpackbits(rows, axis=1, count=size, bitorder="little")
-            ids[at : at + size] = np.packbits(bits.T, axis=1, bitorder="little")
-        else:
-            ids[at : at + size, :planes] = rows.T
-    return ids.view("<u4").ravel()
+        row = np.frombuffer(decompress(plane), np.uint8)
+        row = np.unpackbits(row, count=size, bitorder="little") if kind == "bit" else row
+        ids[at : at + size] |= row.astype("<u4") << np.uint32(k if kind == "bit" else 8 * k)
+    return ids
 
 
-def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, kind: str = "bit", block: int = BLOCK, chunk_ids: int = CHUNK_IDS, level: int = 3, partitions: int | None = None) -> None:
+def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, kind: str = "byte", block: int = BLOCK, chunk_ids: int = CHUNK_IDS, level: int = 3, partitions: int | None = None) -> None:
     """Encodes every whole text and writes the chunks below ``path``, in ascending doc_id order.
 
     A null text has no ids but the end id; a null doc_id sorts first; rows that share a doc_id are all kept, next to each
@@ -106,8 +166,8 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
         arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.list_(pa.binary()))])
         total = 0
         for b in in_slices(batches):
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.append(encode_parts(text, known, fresh) + end)
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_slice(b.column("text"), known, fresh), strict=True):
+                held.append(ids + end)
                 docs.append(doc)
                 total += len(held[-1]) // 4
                 if total >= chunk_ids:
