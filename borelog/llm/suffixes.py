@@ -9,8 +9,9 @@ begin at anchors are sorted, with the bytes before the anchor beside them. The s
 3. One copy of each such segment is range-partitioned by its suffix (Spark samples the splitters), and each bucket sorts
    its suffixes by multikey quicksort. Two windows are equal if they are in one class by the bytes from the anchor on and
    in one class by the bytes before it.
-4. Windows whose suffix part equals that of a bucket's first or last suffix may have a partner in another bucket; one of
-   each class is compared across buckets by digest.
+4. Splitters cut between leading bytes; only a group of more than GROUP segments is cut within. Its windows whose suffix
+   part equals that of a bucket's first or last suffix may have a partner in another bucket; one of each class is
+   compared across buckets by digest.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .anchors import anchors, pieces
 from .common import as_bytes, cut, in_slices, texts
 
 KEYS = ["doc", "tag"]
+#: Segments with the same leading bytes that one bucket takes; larger groups are cut and compared across buckets.
+GROUP = 100_000
 
 
 def multikey_order(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +95,7 @@ def resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     edge = np.zeros(n, np.int64)  # bytes shared with the bucket's first or last suffix
     first, last = np.minimum.accumulate(np.r_[length, shared_r[1:]]), np.r_[np.minimum.accumulate(shared_r[:0:-1])[::-1], length]
     edge[order_r] = np.maximum(first, last)
+    edge[~table.column("large").to_numpy(zero_copy_only=False)] = -1  # the whole group is here
     whole = table.column("n").to_numpy() > 1
     h, d = table.column("h").to_numpy(), table.column("d").to_numpy()
     kept: list[tuple[np.ndarray, int]] = []
@@ -173,15 +177,15 @@ def segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     expand = zstandard.ZstdDecompressor().decompress
     for b in in_slices(batches, "blob", 1 << 19):
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for blob, wanted in zip(b.column("blob").to_pylist(), b.column("wanted").to_pylist(), strict=True):
             data = expand(blob)
             for w in wanted:
                 place, most, least = w["packed"] >> 16, w["packed"] >> 8 & 255, w["packed"] & 255
-                for column, value in zip(out, (w["h"], w["d"], w["n"], most, data[place - most : place - least + length]), strict=True):
+                for column, value in zip(out, (w["h"], w["d"], w["n"], w["large"], most, data[place - most : place - least + length]), strict=True):
                     column.append(value)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["h", "d", "n", "most", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())], names=["h", "d", "n", "large", "most", "seg"])
 
 
 def repeated_spans(rows: DataFrame, blobs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -191,13 +195,14 @@ def repeated_spans(rows: DataFrame, blobs: DataFrame, length: int, gram: int) ->
     common = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     members = cut(spark, found.join(common, "h", "left_semi"), "members")
     kinds = cut(spark, members.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "packed")).alias("one")), "kinds")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    wanted = kinds.join(mixed, "h", "left_semi").groupBy(F.col("one.doc").alias("doc"), F.col("one.tag").alias("tag"))
-    wanted = wanted.agg(F.collect_list(F.struct("h", "d", "n", F.col("one.packed").alias("packed"))).alias("wanted"))
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", (F.col("k") > GROUP).alias("large"))
+    wanted = kinds.join(mixed, "h").groupBy(F.col("one.doc").alias("doc"), F.col("one.tag").alias("tag"))
+    wanted = wanted.agg(F.collect_list(F.struct("h", "d", "n", "large", F.col("one.packed").alias("packed"))).alias("wanted"))
     # A text's wanted rows are bounded by its own length. Rows that share key and text meet twice; their windows repeat anyway.
-    segs = blobs.join(wanted, KEYS).select("blob", "wanted").mapInArrow(lambda it: segments(it, length), "h long, d long, n long, most int, seg binary")
+    segs = blobs.join(wanted, KEYS).select("blob", "wanted").mapInArrow(lambda it: segments(it, length), "h long, d long, n long, large boolean, most int, seg binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = segs.repartitionByRange(n, F.expr(f"substring(seg, most + 1, {length})"), "d")
+    lead = F.expr(f"substring(seg, most + 1, if(large, {length}, {gram}))")
+    buckets = segs.repartitionByRange(n, lead, F.when(F.col("large"), F.col("d")))
     answers = cut(spark, buckets.mapInArrow(lambda it: resolve(it, length), "w1 long, w2 long, h long, d long, low int, high int"), "answers")
     opened = answers.where("w1 is not null")
     twice = opened.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
