@@ -33,9 +33,9 @@ def cut(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns, ``doc_id`` and ``text`` (null: empty), whatever else the table holds."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def texts(df: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
+    """Two columns, ``doc_id`` and ``text`` (null: empty), and the named others, whatever else the table holds."""
+    return df.select(*others, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, contamination, jaccard, language, suffixes, tokens
+from . import bpe, chunks, contamination, jaccard, language, licenses, quality, suffixes, tokens, urls
 from .common import shared_dir
 
 
@@ -31,14 +31,27 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, path)
 
 
+def op3_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op4_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op6_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,5 +75,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_gear_chunks, op2_bit_planes, op4_qgram_lemma, op6_bayes_jaccard, op8_prefix_bpe, op9_suffix_array, op10_language)}
-ORACLE: dict[str, str] = {}
+OPERATORS = (op1_gear_chunks, op2_bit_planes, op3_range_join, op4_qgram_lemma, op5_line_frequency, op6_bayes_jaccard, op7_licenses, op8_prefix_bpe, op9_suffix_array, op10_language)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+ORACLE: dict[str, str] = {"op3_range_join": urls.SQL, "op5_line_frequency": quality.SQL}

@@ -157,7 +157,8 @@ def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def shrunk(rows: DataFrame) -> DataFrame:
-    """doc, tag, doc_id and the text compressed with zstandard, to shuffle less."""
+    """doc, tag, doc_id (and rest, where there is one) and the text compressed with zstandard, to shuffle less."""
+    others = [c for c in ("doc", "tag", "doc_id", "rest") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -167,9 +168,10 @@ def shrunk(rows: DataFrame) -> DataFrame:
             raw, offsets = as_bytes(b.column("text"))
             data = raw.tobytes()
             blobs = [compress(data[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), b.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc", "tag", "doc_id", "blob"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array(blobs, pa.binary())], names=[*others, "blob"])
 
-    return rows.select("doc", "tag", "doc_id", "text").mapInArrow(run, "doc long, tag int, doc_id long, blob binary")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.select(*others, "text").mapInArrow(run, f"{schema}, blob binary")
 
 
 def segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -214,8 +216,8 @@ def repeated_spans(rows: DataFrame, blobs: DataFrame, length: int, gram: int) ->
     return hits.select(*KEYS, (F.col("place") - F.col("run.high")).alias("start"), (F.col("place") - F.col("run.low") + length).alias("end"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32) -> DataFrame:
-    """doc_id, n_bytes, spans (start, end of each maximal removed run) and kept (the other bytes) for every row.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (start, end of each maximal removed run) and kept (the other bytes) for every row, with the columns ``keep``.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else in the table, the same text
     included; strings are judged on the input and never span two texts. A null text is empty, a text shorter than
@@ -223,7 +225,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a null id stays null. ``gram`` must be a multiple of 8 and ``length`` at most ``gram`` + 223."""
     if gram % 8 or not gram <= length <= gram + 223:
         raise ValueError("gram must be a multiple of 8, and length from gram to gram + 223")
-    rows = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.hash("text").alias("tag"), "doc_id", "text")
+    rest = [F.struct(*[F.col(c) for c in keep]).alias("rest")] if keep else []
+    rows = texts(df.select(F.col(id_col), F.col(text_col), *rest), id_col, text_col, *["rest"] * bool(keep))
+    rows = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.hash("text").alias("tag"), "doc_id", "text", *["rest"] * bool(keep))
     spark = df.sparkSession
     blobs = shrunk(rows)
     spans = repeated_spans(rows, blobs, length, gram).groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -247,7 +251,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size.append(len(data))
                 merged.append(runs)
                 kept.append(b"".join(data[a:z] for a, z in zip([0, *[r["end"] for r in runs]], [*[r["start"] for r in runs], len(data)], strict=True)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], pa.array(size, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())], names=[*own, "n_bytes", "spans", "kept"])
 
-    joined = blobs.join(spans, KEYS, "left").select("doc_id", "blob", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    own = ["doc_id", *["rest"] * bool(keep)]
+    joined = blobs.join(spans, KEYS, "left").select(*own, "blob", "spans")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    out = joined.mapInArrow(run, f"{schema}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(f"rest.`{c}`") for c in keep or []])
