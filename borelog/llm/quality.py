@@ -103,8 +103,8 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents
 ), w AS (
-  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
 ), l AS (
   SELECT r, host, x AS raw, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM (SELECT r, host, unnest(lines) AS x FROM w)
 ), f AS (
@@ -121,7 +121,7 @@ WITH d AS (
   SELECT w.r, w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-         coalesce(lost.lost, 0) AS lost, coalesce(list_sum(list_transform(lines, x -> length(x))), 0) AS chars
+         coalesce(lost.lost, 0) AS lost, coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS chars
   FROM w LEFT JOIN rep USING (r) LEFT JOIN lost USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
