@@ -67,15 +67,22 @@ class Items:
         at[at == len(self.gram)] = 0
         good = self.gram[at] == h[maybe]
         maybe, at = maybe[good], at[good]
+        if not len(maybe):
+            return []
         n = self.count[at]
         post = np.repeat(self.first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         item, diagonal = self.item[post], np.repeat(maybe, n) - self.place[post]
         band = (diagonal + self.length[item]) // self.half[item]  # a band of two halves begins at each half
-        key = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
-        key, count = np.unique(key, return_counts=True)
-        keep = count >= self.least[key >> 40]
+        # An item's q-gram counts once in a band, wherever in the band it occurs.
+        order = np.lexsort((self.place[post], band, item))
+        item, band, place = item[order], band[order], self.place[post][order]
+        new = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (place[1:] != place[:-1])]
+        cell, held = np.unique(item[new] << 40 | band[new], return_counts=True)
+        next_to = np.r_[cell[1:] == cell[:-1] + 1, False]
+        count = held + np.where(next_to, np.r_[held[1:], 0], 0)  # a band is two neighbouring cells, the first not empty
+        key = cell[count >= self.least[cell >> 40]]
         best: dict[int, tuple[int, int, int, int]] = {}
-        for k in key[keep].tolist():
+        for k in key.tolist():
             i, b = k >> 40, k & (1 << 40) - 1
             if i in best and best[i][1] == 0:
                 continue
@@ -91,29 +98,32 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
 
     Row i of the table holds, for each diagonal, the edits of the item's first i characters ending there. A start is free."""
     low, high = low - budget, high + budget
-    width = high - low + 1
-    far = len(item) + 1 + 2 * budget
-    diagonals = np.arange(low, high + 1)
-    step = np.arange(width)
-    start = diagonals.copy()
-    cost = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, far)
-    lengthened = np.zeros(len(text) + 1, np.uint32)
-    lengthened[:-1] = text
-    for i, c in enumerate(item):
-        end = diagonals + i  # text place before this character on each diagonal
-        inside = (end >= 0) & (end < len(text))
-        match = cost + np.where(inside & (lengthened[np.clip(end, 0, len(text))] == c), 0, 1)
-        match[~inside] = far
-        skip = np.r_[cost[1:], far] + 1  # the item's character is not in the text
-        valid = (diagonals + i + 1 >= 0) & (diagonals + i + 1 <= len(text))
-        new = np.where(valid, np.minimum(match, skip), far)
-        begin = np.where(match <= skip, start, np.r_[start[1:], 0])
-        slid = new - step  # a text character that is not in the item: from the diagonal before, at a cost of 1
-        least = np.minimum.accumulate(slid)
+    width, m = high - low + 1, len(item)
+    far = m + 1 + 2 * budget
+    window = np.full(m + width, 0xFFFFFFFF, np.uint32)  # the characters from text[low] on; those outside match nothing
+    a, z = max(0, low), min(len(text), low + m + width)
+    if a >= z:
+        return None
+    window[a - low : z - low] = text[a:z]
+    beyond = np.full(m + width, far, np.int32)  # no alignment goes before the text or past it
+    beyond[a - low : min(m + width, len(text) + 1 - low)] = 0
+    step = np.arange(width, dtype=np.int32)
+    cost = beyond[:width].copy()
+    start = step.copy()
+    skip, moved = np.full(width, far, np.int32), np.zeros(width, np.int32)
+    for i in range(m):
+        match = cost + (window[i : i + width] != item[i])
+        skip[:-1] = cost[1:] + 1  # the item's character is not in the text
+        moved[:-1] = start[1:]
+        begin = np.where(match <= skip, start, moved)
+        slid = np.minimum(match, skip) + beyond[i + 1 : i + 1 + width] - step
+        least = np.minimum.accumulate(slid)  # a text character that is not in the item: from the diagonal before, at a cost of 1
         source = np.maximum.accumulate(np.where(slid == least, step, 0))
-        cost, start = np.minimum(least + step, far), begin[source]
-        if cost.min() > budget:
+        cost, start = least + step, begin[source]
+        if i & 7 == 7 and cost.min() > budget:
             return None
+    diagonals = np.arange(low, high + 1)
+    start = start + low
     k = int(np.argmin(cost))
     return (int(cost[k]), int(start[k]), int(diagonals[k] + len(item))) if cost[k] <= budget else None
 
