@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_parts
-from .common import as_bytes, in_slices, span_hash, texts
+from .common import SLICE_BYTES, as_bytes, in_slices, span_hash, texts
 
 BLOCK = 16_384
 CHUNK_IDS = 131_072
@@ -133,7 +133,7 @@ def from_planes(data: list[bytes], planes: int, kind: str, block: int, n_ids: in
     return ids
 
 
-def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, kind: str = "byte", block: int = BLOCK, chunk_ids: int = CHUNK_IDS, level: int = 3, partitions: int | None = None) -> None:
+def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, kind: str = "byte", block: int = BLOCK, chunk_ids: int = CHUNK_IDS, level: int = 1, partitions: int | None = None) -> None:
     """Encodes every whole text and writes the chunks below ``path``, in ascending doc_id order.
 
     A null text has no ids but the end id; a null doc_id sorts first; rows that share a doc_id are all kept, next to each
@@ -165,7 +165,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
 
         arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.list_(pa.binary()))])
         total = 0
-        for b in in_slices(batches):
+        for b in in_slices(batches, limit=2 * SLICE_BYTES, rows=10_000):
             for doc, ids in zip(b.column("doc_id").to_pylist(), encode_slice(b.column("text"), known, fresh), strict=True):
                 held.append(ids + end)
                 docs.append(doc)
