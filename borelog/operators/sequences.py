@@ -82,16 +82,17 @@ def cusum(df: DataFrame, key: str, order: list[str], x: str, k: float = 0.5, h:
     return folded.select(key, F.explode(F.arrays_zip("rows", "out")).alias("z")).select(key, *[F.col(f"z.rows.{c}") for c in order], F.col("z.rows.x").alias(x), "z.out.up", "z.out.down", "z.out.alarm")
 
 
+def middle(a: Column) -> Column:
+    """The median of a sorted array."""
+    m = F.size(a)
+    lower, upper = F.get(a, F.floor((m - 1) / 2).cast("int")), F.get(a, F.floor(m / 2).cast("int"))
+    return (lower + upper) / 2
+
+
 def robust_z(df: DataFrame, key: str, order: str, value: str, n: int = 20, least: int = 20) -> DataFrame:
     """z of each value against the median and MAD of up to ``n`` rows before it; null before ``least`` rows or where MAD is 0."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(-n, -1)
     held = df.withColumn("_held", F.sort_array(F.collect_list(value).over(before)))
-
-    def middle(a: Column) -> Column:
-        m = F.size(a)
-        lower, upper = F.get(a, F.floor((m - 1) / 2).cast("int")), F.get(a, F.floor(m / 2).cast("int"))
-        return (lower + upper) / 2
-
     held = held.withColumn("med", middle(F.col("_held")))
     held = held.withColumn("mad", middle(F.sort_array(F.transform("_held", lambda v: F.abs(v - F.col("med"))))) * 1.4826)
     ok = (F.size("_held") >= least) & (F.col("mad") > 1e-9)

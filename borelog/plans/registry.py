@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hazards, records
+from . import hazards, passages, records, signals
 
-MODULES = (records, hazards)
+MODULES = (records, hazards, signals, passages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
