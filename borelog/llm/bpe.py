@@ -27,7 +27,7 @@ FOREVER = 1 << 60
 BLANKS = re.compile(r"\s\s")
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 #: Parts kept by each of a worker's two caches; a full cache starts anew, results are the same.
-CACHED = 300_000
+CACHED = 120_000
 
 
 class Vocabulary:
@@ -88,7 +88,7 @@ class Vocabulary:
                             break
                     if not known:
                         break
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 3 * CACHED:
                 self.fits.clear()
             self.fits[key] = known
         return known

@@ -127,10 +127,14 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     rows stay. The text alone decides. Whole texts are read, a bounded slice at a time."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x (languages + 1) weight vectors of ``size`` numbers
 
+    wanted = [c for c in keep or [] if c != id_col]
+    own = text_col not in wanted or dict(df.dtypes)[text_col] != "string"  # else the text crosses to Python once, as a kept column
+    column = "_text" if own else text_col
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in in_slices(batches, "_text", rows=500):
-            text = b.column("_text")
+        for b in in_slices(batches, column, rows=500):
+            text = b.column(column)
             n = b.num_rows
             lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
             good = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -143,11 +147,11 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                         best, inner = vote(x[rows], m["within"][f], len(m["langs"][f]))
                         lang[rows] = np.array(m["langs"][f], object)[best]
                         score[rows] = np.clip(sure[rows] * inner, 0, 1)
-            out = [c for name, c in zip(b.schema.names, b.columns, strict=True) if name != "_text"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(lang, pa.string()), pa.array(score)], names=[*[x for x in b.schema.names if x != "_text"], "lang_pred", "score"])
+            names = [x for x in b.schema.names if x != "_text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    cols = [F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in keep or [] if c != id_col]]
-    rows = df.select(*cols, F.col(text_col).cast("string").alias("_text"))
+    cols = [F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in wanted], *[F.col(text_col).cast("string").alias("_text")] * own]
+    rows = df.select(*cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
