@@ -28,8 +28,10 @@ def jaccard(a: Column, b: Column) -> Column:
 def similarity(distance: Column, shared: Column, td1: Column, td2: Column) -> Column:
     """Weighted nearness, common layers and depth; a missing part counts 0."""
     near = 0.4 * F.exp(-distance / 5000)
-    return near + 0.4 * F.coalesce(shared, F.lit(0.0)) + 0.2 * F.coalesce(F.least(td1, td2) / F.greatest(td1, td2), F.lit(0.0))
+    return near + 0.4 * F.coalesce(shared, F.lit(0.0)) + 0.2 * F.when(td1.isNotNull() & td2.isNotNull() & (F.greatest(td1, td2) > 0), F.least(td1, td2) / F.greatest(td1, td2)).otherwise(0.0)
 
 
 def overlap(top1: Column, base1: Column, top2: Column, base2: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(base1, base2) - F.greatest(top1, top2))
+    """Metres that two intervals share; null where an end is unknown."""
+    known = top1.isNotNull() & base1.isNotNull() & top2.isNotNull() & base2.isNotNull()
+    return F.when(known, F.greatest(F.lit(0.0), F.least(base1, base2) - F.greatest(top1, top2)))
