@@ -15,12 +15,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_parts
-from .common import SLICE_BYTES, as_bytes, in_slices, span_hash, texts
+from .common import as_bytes, in_slices, span_hash, texts
 
 BLOCK = 16_384
 CHUNK_IDS = 131_072
@@ -47,9 +48,11 @@ def tokenizer(path: str):
 
     mark = t.encode("\n", add_special_tokens=False).ids
 
-    def fresh(parts: list[str]) -> list[bytes]:
-        """One call for many parts: with line ends between them, which the pre-tokenizer always parts from what stands around."""
-        plain = [p for p in parts if PLAIN.fullmatch(p)]
+    def fresh(parts: list[str], simple: bool = False) -> list[bytes]:
+        """One call for many parts: with line ends between them, which the pre-tokenizer always parts from what stands around.
+
+        ``simple``: no part holds white space but a blank before or a line end alone, so a look at the last character is enough."""
+        plain = [p for p in parts if p[-1] > " "] if simple else [p for p in parts if PLAIN.fullmatch(p)]
         if len(plain) < 2 or len(mark) != 1:
             return each(parts)
         ids = np.array(t.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
@@ -85,7 +88,9 @@ def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh) -> list[byte
     start = np.flatnonzero(border[:n])
     end = np.r_[start[1:], n]
     size = end - start
-    h, first, of = np.unique(span_hash(raw, start, end), return_index=True, return_inverse=True)
+    of, distinct = pd.factorize(span_hash(raw, start, end))
+    first = np.zeros(len(distinct), np.int64)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
     if (size[first][of] != size).any():  # two parts with one hash
         careful[:] = True
     data = raw.tobytes()
@@ -94,7 +99,7 @@ def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh) -> list[byte
     if len(known) > CACHED:
         known.clear()
         new = parts
-    known.update(zip(new, fresh(new), strict=True))
+    known.update(zip(new, fresh(new, not careful.any()), strict=True))
     ids = [known[p] for p in parts]
     length = np.array([len(x) // 4 for x in ids], np.int64)
     place = np.cumsum(length) - length
@@ -165,7 +170,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
 
         arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.list_(pa.binary()))])
         total = 0
-        for b in in_slices(batches, limit=2 * SLICE_BYTES, rows=10_000):
+        for b in in_slices(batches):
             for doc, ids in zip(b.column("doc_id").to_pylist(), encode_slice(b.column("text"), known, fresh), strict=True):
                 held.append(ids + end)
                 docs.append(doc)
