@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hazards, passages, records, signals
+from . import hazards, passages, records, reviews, signals
 
-MODULES = (records, hazards, signals, passages)
+MODULES = (records, hazards, signals, passages, reviews)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
