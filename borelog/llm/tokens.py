@@ -61,9 +61,9 @@ def tokenizer(path: str):
             return each(parts)
         raw = ids.tobytes()
         done = {p: raw[a:z] for p, a, z in zip(plain, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)}
-        rest = [p for p in parts if p not in done]
+        rest = [p for p in parts if p not in done] if len(plain) < len(parts) else []
         done.update(zip(rest, each(rest), strict=True))
-        return [done[p] for p in parts]
+        return list(done.values()) if not rest and len(done) == len(parts) else [done[p] for p in parts]
 
     return fresh, {}
 
@@ -95,12 +95,13 @@ def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh) -> list[byte
         careful[:] = True
     data = raw.tobytes()
     parts = [data[a:z].decode() for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    new = [p for p in parts if p not in known]
     if len(known) > CACHED:
         known.clear()
-        new = parts
-    known.update(zip(new, fresh(new, not careful.any()), strict=True))
-    ids = [known[p] for p in parts]
+    ids = list(map(known.get, parts))
+    at = [i for i, x in enumerate(ids) if x is None]
+    new = [parts[i] for i in at]
+    for i, p, x in zip(at, new, fresh(new, not careful.any()), strict=True):
+        ids[i] = known[p] = x
     length = np.array([len(x) // 4 for x in ids], np.int64)
     place = np.cumsum(length) - length
     count = length[of]
