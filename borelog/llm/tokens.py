@@ -84,6 +84,8 @@ def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh) -> list[byte
     border = np.zeros(n + 1, bool)
     border[:n] = blank
     border[1:] |= raw == 10
+    letter = (raw | 32) - 97 < 26  # a mark after a letter of ASCII begins a match of its own
+    border[1:n] |= letter[:-1] & ((raw[1:] == 44) | (raw[1:] == 46))
     border[offsets] = True
     start = np.flatnonzero(border[:n])
     end = np.r_[start[1:], n]
