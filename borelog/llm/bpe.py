@@ -17,17 +17,18 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_slices, texts
+from .common import as_bytes, in_slices, span_hash, texts
 
 FOREVER = 1 << 60
 #: A border that no pre-tokenizer pattern of this family crosses: a single blank between two characters that are not white space.
 BLANKS = re.compile(r"\s\s")
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-#: Parts kept by each of a worker's two caches; a full cache starts anew, results are the same.
-CACHED = 120_000
+#: Parts in a worker's cache; a full cache starts anew, results are the same.
+CACHED = 300_000
 
 
 class Vocabulary:
@@ -88,7 +89,7 @@ class Vocabulary:
                             break
                     if not known:
                         break
-            if len(self.fits) > 3 * CACHED:
+            if len(self.fits) > CACHED:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -145,7 +146,6 @@ class Encoder:
 
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
 
     def match(self, text: str) -> bytes:
         data = text.encode("utf-8", "replace")
@@ -154,19 +154,14 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def part(self, text: str) -> bytes:
-        out, known = [], self.matches
-        for m in self.find(text):
-            ids = known.get(m)
-            if ids is None:
-                if len(known) > CACHED:
-                    known.clear()
-                ids = known[m] = self.match(m)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.match(m) for m in self.find(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return encode_parts(text, self.known, lambda new: [self.part(x) for x in new])
+        return encode_parts(text, self.known, self.fresh, CACHED)
+
+    def fresh(self, parts: list[str], simple: bool = False) -> list[bytes]:
+        return [self.part(x) for x in parts]
 
     def reencode(self, text: str, ids: list[int], start: int, end: int, new: str) -> tuple[str, list[int]]:
         """The text with ``text[start:end]`` replaced by ``new``, and its ids; only the part between the safe borders around the edit is encoded again."""
@@ -186,7 +181,7 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode_parts(text: str, known: dict[str, bytes], fresh) -> bytes:
+def encode_parts(text: str, known: dict[str, bytes], fresh, cached: int) -> bytes:
     """The ids of a text from those of its parts between safe borders. ``known`` is a bounded cache, ``fresh`` encodes a list of new parts."""
     if BLANKS.search(text):
         parts = BETWEEN.split(text)
@@ -202,13 +197,61 @@ def encode_parts(text: str, known: dict[str, bytes], fresh) -> bytes:
         return b"".join([known[x] for x in parts])
     except KeyError:
         new = list({x for x in parts if x not in known})
-        if len(known) > CACHED:
+        if len(known) > cached:
             known.clear()
             new = list(set(parts))
         known.update(zip(new, fresh(new), strict=True))
         return b"".join([known[x] for x in parts])
 
 
+def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh, cached: int) -> list[bytes]:
+    """The ids of each text. Texts are cut at safe borders for all at once, each distinct part is encoded once and its ids
+    are put in all its places; a text with two white-space characters in a row, or a rare one, goes the careful way."""
+    raw, offsets = as_bytes(strings)
+    n = len(raw)
+    out = [b""] * len(strings)
+    if not n:
+        return out
+    blank = (raw == 32) | (raw == 10)
+    rare = (raw < 32) & (raw != 10) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3)
+    rare[1:] |= (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0)) | blank[1:] & blank[:-1]
+    careful = np.zeros(len(strings), bool)
+    careful[np.searchsorted(offsets, np.flatnonzero(rare), side="right") - 1] = True
+    border = np.zeros(n + 1, bool)
+    border[:n] = blank
+    border[1:] |= raw == 10
+    letter = (raw | 32) - 97 < 26  # a mark after a letter of ASCII begins a match of its own
+    border[1:n] |= letter[:-1] & ((raw[1:] == 44) | (raw[1:] == 46))
+    border[offsets] = True
+    start = np.flatnonzero(border[:n])
+    end = np.r_[start[1:], n]
+    size = end - start
+    of, distinct = pd.factorize(span_hash(raw, start, end))
+    first = np.zeros(len(distinct), np.int64)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+    if (size[first][of] != size).any():  # two parts with one hash
+        careful[:] = True
+    data = raw.tobytes()
+    parts = [data[a:z].decode() for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+    if len(known) > cached:
+        known.clear()
+    ids = list(map(known.get, parts))
+    at = [i for i, x in enumerate(ids) if x is None]
+    new = [parts[i] for i in at]
+    for i, p, x in zip(at, new, fresh(new, not careful.any()), strict=True):
+        ids[i] = known[p] = x
+    length = np.array([len(x) // 4 for x in ids], np.int64)
+    place = np.cumsum(length) - length
+    count = length[of]
+    ends = np.cumsum(count)
+    every = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place[of] - (ends - count), count) + np.arange(ends[-1])]
+    bounds = np.r_[0, ends][np.searchsorted(start, offsets)] * 4
+    raw_ids = every.tobytes()
+    for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        out[i] = encode_parts(strings[i].as_py(), known, fresh, cached) if careful[i] else raw_ids[a:z]
+    return out
+
+
 @functools.cache
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker."""
@@ -224,7 +267,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary, pattern)
         for b in in_slices(batches):
-            ids = [e.encode(t) for t in b.column("text").to_pylist()]
+            ids = encode_slice(b.column("text"), e.known, e.fresh, CACHED)
             out = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]
             out += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))] if with_ids else []
             out += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(e.decode(x)).hexdigest() for x in ids])]

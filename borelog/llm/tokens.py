@@ -15,13 +15,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode_parts
-from .common import as_bytes, in_slices, span_hash, texts
+from .bpe import encode_slice
+from .common import in_slices, texts
 
 BLOCK = 16_384
 CHUNK_IDS = 131_072
@@ -68,54 +67,6 @@ def tokenizer(path: str):
     return fresh, {}
 
 
-def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh) -> list[bytes]:
-    """The ids of each text. Texts are cut at safe borders for all at once, each distinct part is encoded once and its ids
-    are put in all its places; a text with two white-space characters in a row, or a rare one, goes the careful way."""
-    raw, offsets = as_bytes(strings)
-    n = len(raw)
-    out = [b""] * len(strings)
-    if not n:
-        return out
-    blank = (raw == 32) | (raw == 10)
-    rare = (raw < 32) & (raw != 10) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3)
-    rare[1:] |= (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0)) | blank[1:] & blank[:-1]
-    careful = np.zeros(len(strings), bool)
-    careful[np.searchsorted(offsets, np.flatnonzero(rare), side="right") - 1] = True
-    border = np.zeros(n + 1, bool)
-    border[:n] = blank
-    border[1:] |= raw == 10
-    letter = (raw | 32) - 97 < 26  # a mark after a letter of ASCII begins a match of its own
-    border[1:n] |= letter[:-1] & ((raw[1:] == 44) | (raw[1:] == 46))
-    border[offsets] = True
-    start = np.flatnonzero(border[:n])
-    end = np.r_[start[1:], n]
-    size = end - start
-    of, distinct = pd.factorize(span_hash(raw, start, end))
-    first = np.zeros(len(distinct), np.int64)
-    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
-    if (size[first][of] != size).any():  # two parts with one hash
-        careful[:] = True
-    data = raw.tobytes()
-    parts = [data[a:z].decode() for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    if len(known) > CACHED:
-        known.clear()
-    ids = list(map(known.get, parts))
-    at = [i for i, x in enumerate(ids) if x is None]
-    new = [parts[i] for i in at]
-    for i, p, x in zip(at, new, fresh(new, not careful.any()), strict=True):
-        ids[i] = known[p] = x
-    length = np.array([len(x) // 4 for x in ids], np.int64)
-    place = np.cumsum(length) - length
-    count = length[of]
-    ends = np.cumsum(count)
-    every = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place[of] - (ends - count), count) + np.arange(ends[-1])]
-    bounds = np.r_[0, ends][np.searchsorted(start, offsets)] * 4
-    raw_ids = every.tobytes()
-    for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        out[i] = encode_parts(strings[i].as_py(), known, fresh) if careful[i] else raw_ids[a:z]
-    return out
-
-
 def to_planes(ids: np.ndarray, kind: str, block: int, compress) -> tuple[int, list[bytes]]:
     """The planes of each block in turn, lowest first, as many as the largest id needs."""
     need = max(1, int(ids.max(initial=0)).bit_length())
@@ -174,7 +125,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
         arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.list_(pa.binary()))])
         total = 0
         for b in in_slices(batches):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_slice(b.column("text"), known, fresh), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_slice(b.column("text"), known, fresh, CACHED), strict=True):
                 held.append(ids + end)
                 docs.append(doc)
                 total += len(held[-1]) // 4

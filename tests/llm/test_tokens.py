@@ -39,8 +39,9 @@ def hf():
 
 def test_prefix_tables_against_tiktoken(tik):
     e = bpe.encoder(RANKS, public_tokenizers.PATTERN)
-    for x in texts(4000):
-        ids = e.encode(x)
+    xs = texts(4000)
+    for x, ids in zip(xs, bpe.encode_slice(pa.array(xs), {}, e.fresh, 1000), strict=True):
+        assert ids == e.encode(x)
         assert np.frombuffer(ids, "<u4").tolist() == tik.encode_ordinary(x)
         assert e.decode(ids) == x.encode()
 
@@ -85,7 +86,7 @@ def test_encode_and_decode_with_odd_rows(spark):
 def test_slices_against_the_library(hf):
     xs = texts(6000, 7)
     fresh, known = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    found = tokens.encode_slice(pa.array(xs), known, fresh)
+    found = bpe.encode_slice(pa.array(xs), known, fresh, 1000)
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in hf.encode_batch(xs, add_special_tokens=False)]
 
 
