@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from borelog.functions import geo, stats
 from borelog.operators import joins, sequences
+from borelog.operators.tables import written
 
 from . import bindings as b
 from .records import WILSON
@@ -58,13 +59,20 @@ CTES = {
 }
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def places(spark: SparkSession, sf_dir: str, tops: DataFrame | None = None) -> DataFrame:
     """Documented wells with their set of layers."""
-    sets = b.tops(spark, sf_dir).groupBy("well_id").agg(F.collect_set("formation").alias("formations"))
+    sets = (b.tops(spark, sf_dir) if tops is None else tops).groupBy("well_id").agg(F.collect_set("formation").alias("formations"))
     wells = b.wells(spark, sf_dir).join(b.documented(spark, sf_dir), "well_id", "left_semi")
     return wells.join(sets, "well_id").select("well_id", "lat", "lon", "td", "family", "source", "formations")
 
 
+def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documented wells, their layers and their recorded problems, each computed once."""
+    tops = written(b.tops(spark, sf_dir), "tops")
+    wells = written(places(spark, sf_dir, tops), "places")
+    return wells, written(penetrations(tops, wells), "penetrations"), written(recorded(b.events(spark, sf_dir), wells), "recorded")
+
+
 def offset_wells(wells: DataFrame, radius: float = RADIUS_M, most: int = MOST_OFFSETS) -> DataFrame:
     """The most similar wells of other families within the radius, with the parts of the similarity."""
     pairs = joins.within_radius(wells, wells, radius).where("family <> family_o")
@@ -79,13 +87,14 @@ def offsets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offset_wells(places(spark, sf_dir)).select("well_id", "offset_id", "distance", "shared", "sim", F.col("rank").cast("long").alias("rank"))
 
 
-def penetrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.tops(spark, sf_dir).select("well_id", "formation", "top").join(places(spark, sf_dir).select("well_id", "source", "family"), "well_id")
+def penetrations(tops: DataFrame, wells: DataFrame) -> DataFrame:
+    """The layers that documented wells went through."""
+    return tops.select("well_id", "formation", "top").join(wells.select("well_id", "source", "family"), "well_id")
 
 
-def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.events(spark, sf_dir).select("well_id", "formation", "hazard").distinct()
-    return rows.join(places(spark, sf_dir).select("well_id", "source", "family"), "well_id")
+def recorded(events: DataFrame, wells: DataFrame) -> DataFrame:
+    """The problems that documented wells recorded, once for each layer."""
+    return events.select("well_id", "formation", "hazard").distinct().join(wells.select("well_id", "source", "family"), "well_id")
 
 
 def laplace(k: Column, n: Column) -> Column:
@@ -98,7 +107,7 @@ FROM pen_n CROSS JOIN hz LEFT JOIN rec_n USING (formation, source, hazard)
 """)
 def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded problems of each layer and source; below ten wells the problem's rate over all layers."""
-    pen, rec = penetrations(spark, sf_dir), recorded(spark, sf_dir)
+    _, pen, rec = facts(spark, sf_dir)
     hazards = b.table(spark, sf_dir, "part").select(F.col("p_type").alias("hazard")).distinct()
     rows = pen.groupBy("formation", "source").agg(F.countDistinct("well_id").alias("n")).crossJoin(F.broadcast(hazards))  # a closed list of kinds
     rows = rows.join(rec.groupBy("formation", "source", "hazard").agg(F.count("*").alias("k")), ["formation", "source", "hazard"], "left")
@@ -111,8 +120,8 @@ def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube of well, layer and problem, judged from other families' wells alone, with what was then recorded (y)."""
-    pen, rec = penetrations(spark, sf_dir), recorded(spark, sf_dir)
-    near = offset_wells(places(spark, sf_dir)).select("well_id", "offset_id", "sim")
+    wells, pen, rec = facts(spark, sf_dir)
+    near = offset_wells(wells).select("well_id", "offset_id", "sim")
     hazards = b.table(spark, sf_dir, "part").select(F.col("p_type").alias("hazard")).distinct()
     mine = pen.select("well_id", "formation")
     theirs = pen.select(F.col("well_id").alias("offset_id"), "formation")
@@ -165,7 +174,8 @@ def hazard_posterior_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_sql(k: str, n: str, side: str) -> str:
     e = WILSON.format(p=f"({k} / {n})", n=n)
-    return f"coalesce(least(1, greatest(0, {e if side == 'low' else e.replace('- 1.96*sqrt', '+ 1.96*sqrt')})), {0 if side == 'low' else 1})"
+    e, none = (e, 0) if side == "low" else (e.replace("- 1.96*sqrt", "+ 1.96*sqrt"), 1)
+    return f"CASE WHEN {n} > 0 THEN least(1, greatest(0, {e})) ELSE {none} END"
 
 
 @query("lift_report", *BASE, more=CTES, sql=f"""
@@ -184,10 +194,10 @@ def lift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("watchlist", *BASE, more=CTES, sql="""
-SELECT k, sum(hit) AS hits, sum(n) AS cells, round(sum(chance), 6) AS chance FROM (
+SELECT k, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS cells, round(sum(chance), 6) AS chance FROM (
   SELECT k, well_id, CAST(sum(CASE WHEN r <= k THEN y ELSE 0 END) AS BIGINT) AS hit, CAST(sum(CASE WHEN r <= k THEN 1 ELSE 0 END) AS BIGINT) AS n, sum(y) * least(1, k / count(*)) AS chance
   FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY round(mean, 8) DESC, formation, hazard) AS r FROM flagged), (VALUES (3), (5), (10)) v(k) GROUP BY 1, 2) GROUP BY k
-""".replace("sum(hit)", "CAST(sum(hit) AS BIGINT)").replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
+""")
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems that each well's list of k most likely cells would have held, against lists drawn by chance."""
     order = Window.partitionBy("well_id").orderBy(F.round("mean", 8).desc(), "formation", "hazard")

@@ -75,7 +75,7 @@ def well_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("well_id", "name", "country", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query("event_filter", "event", "well", sql="SELECT well_id, name, formation, hazard, md, day FROM event JOIN well USING (well_id) WHERE hazard IN ('PROMO', 'LARGE') AND b_ok AND country IS NOT NULL".replace(" AND b_ok", " AND formation BETWEEN 'Brand#1' AND 'Brand#2'"))
+@query("event_filter", "event", "well", sql="SELECT well_id, name, formation, hazard, md, day FROM event JOIN well USING (well_id) WHERE hazard IN ('PROMO', 'LARGE') AND formation BETWEEN 'Brand#1' AND 'Brand#2' AND country IS NOT NULL")
 def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.events(spark, sf_dir).where(F.col("hazard").isin("PROMO", "LARGE") & F.col("formation").between("Brand#1", "Brand#2"))
     return rows.join(b.wells(spark, sf_dir).where("country is not null").select("well_id", "name"), "well_id").select("well_id", "name", "formation", "hazard", "md", "day")
@@ -98,9 +98,14 @@ SELECT 'wells' AS what, CAST((SELECT count(*) FROM customer) AS BIGINT) AS n UNI
 UNION ALL SELECT 'review', (SELECT count(*) FROM event_all WHERE needs_review) UNION ALL SELECT 'samples', (SELECT count(*) FROM events) UNION ALL SELECT 'passages', (SELECT count(*) FROM documents)
 """)
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda df, *named: df.agg(*[c.alias(n) for n, c in named]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("n")) for n, _ in named])).alias("x")).select("x.*")
-    parts = [count(b.table(spark, sf_dir, t), (name, F.count("*"))) for t, name in (("customer", "wells"), ("orders", "reports"), ("events", "samples"), ("documents", "passages"))]
-    parts.append(count(b.events(spark, sf_dir, trusted=False), ("trusted", F.count_if(~F.col("needs_review"))), ("review", F.count_if("needs_review"))))
+    def count(df: DataFrame, **named) -> DataFrame:
+        """One pass over a table: a row for each count."""
+        row = df.agg(*[c.alias(n) for n, c in named.items()])
+        return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("n")) for n in named])))
+
+    tables = {"wells": "customer", "reports": "orders", "samples": "events", "passages": "documents"}
+    parts = [count(b.table(spark, sf_dir, t), **{name: F.count("*")}) for name, t in tables.items()]
+    parts.append(count(b.events(spark, sf_dir, trusted=False), trusted=F.count_if(~F.col("needs_review")), review=F.count_if("needs_review")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -78,7 +78,10 @@ def inferred_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return donors.join(tops, "offset_id").groupBy("well_id", "formation").agg(F.median("top").alias("top"), F.count("*").alias("donors"))
 
 
-@query("common_formations", "top", "well", sql="SELECT country, formation FROM top JOIN well USING (well_id) WHERE well_id % 25 = 0 GROUP BY 1, 2, (SELECT 1) HAVING count(DISTINCT well_id) = (SELECT count(DISTINCT w.well_id) FROM well w JOIN top t ON t.well_id = w.well_id WHERE w.well_id % 25 = 0 AND w.country = well.country)".replace(", (SELECT 1)", "").replace("FROM top JOIN well USING (well_id) WHERE", "FROM top JOIN well USING (well_id) WHERE"))
+@query("common_formations", "top", "well", sql="""
+SELECT country, formation FROM top JOIN well USING (well_id) WHERE well_id % 25 = 0 GROUP BY 1, 2
+HAVING count(DISTINCT well_id) = (SELECT count(DISTINCT w.well_id) FROM well w JOIN top t ON t.well_id = w.well_id WHERE w.well_id % 25 = 0 AND w.country = well.country)
+""")
 def common_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers that all shown wells of a country have; shown are the wells whose id divides by 25."""
     shown = b.tops(spark, sf_dir).where("well_id % 25 = 0").join(b.wells(spark, sf_dir).select("well_id", "country"), "well_id")
