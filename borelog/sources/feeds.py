@@ -78,3 +78,12 @@ def to_witsml(rows: DataFrame, channels: list[str]) -> DataFrame:
     logs = rows.groupBy("well").agg(F.sort_array(F.collect_list(F.struct("t", line.alias("line")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "")
     return logs.select("well", F.concat(F.lit("<logs><log><nameWell>"), "well", F.lit("</nameWell>" + head), body, F.lit("</logData></log></logs>")).alias("xml"))
+
+
+def to_wits0(rows: DataFrame, channels: list[str]) -> DataFrame:
+    """(well, text): a WITS level 0 record for each row (well, t, channels...), metric, which wits0() reads back."""
+    codes = {v: k for k, v in WITS0.items()}
+    items = [F.when(F.col(c).isNotNull(), F.concat(F.lit(codes[c]), F.col(c).cast("string"))) for c in channels]
+    record = F.concat_ws("\n", F.lit("&&"), F.concat(F.lit("0105"), F.date_format("t", "yyMMdd")), F.concat(F.lit("0106"), F.date_format("t", "HHmmss")), *items, F.lit("!!"))
+    texts = rows.groupBy("well").agg(F.sort_array(F.collect_list(F.struct("t", record.alias("r")))).alias("rs"))
+    return texts.select("well", F.array_join(F.transform("rs", lambda x: x["r"]), "\n").alias("text"))

@@ -146,3 +146,18 @@ def cool_down(alerts: DataFrame, seconds: float = 120.0) -> DataFrame:
 
 def minute_medians(samples: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return samples.withWatermark("t", watermark).groupBy("well_id", F.window("t", "1 minute").alias("w")).agg(F.median("value").alias("value")).select("well_id", F.col("w.start").alias("minute"), "value")
+
+
+def moved(samples: DataFrame, metres: float = 1.0) -> DataFrame:
+    """Samples (well_id, t, md_m, ...) at which the bit is ``metres`` or more from where it was assessed last: those to assess again."""
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        last, mask = None, []
+        for md in rows["md_m"]:
+            ok = not pd.isna(md) and (last is None or abs(md - last) >= metres)
+            last = md if ok else last
+            mask.append(ok)
+        return rows[mask]
+
+    return samples.groupBy("well_id").applyInPandas(keep, samples.schema)

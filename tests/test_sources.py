@@ -76,3 +76,9 @@ def test_incident_records(spark):
     lines = ["preamble", "Date: 1999-01-01", "Operator: X", "Remarks: The crane", "fell over.", "Date: 1999-02-01"]
     found = reports.incident_records(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "document_id long, seq long, line string")).orderBy("record").collect()
     assert found[0]["fields"] == {"date": "1999-01-01", "operator": "X", "remarks": "The crane fell over."} and len(found) == 2
+
+
+def test_wits0_round_trip(spark):
+    rows = spark.createDataFrame([("A", "2024-01-01 00:00:00", 100.5, None), ("A", "2024-01-01 00:00:05", 101.0, 7.0)], "well string, t string, md_m double, rop double").withColumn("t", F.to_timestamp("t"))
+    back = feeds.wits0(feeds.to_wits0(rows, ["md_m", "rop"])).orderBy("t", "channel").collect()
+    assert [(r["channel"], r["value"]) for r in back] == [("md_m", 100.5), ("md_m", 101.0), ("rop", 7.0)]

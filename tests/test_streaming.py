@@ -47,3 +47,10 @@ def test_look_ahead_and_cool_down(spark):
     assert {(r["formation"], r["level"]) for r in found.collect()} == {("A", "alert"), ("B", "notice")}
     kept = detector.cool_down(found.where("formation = 'A'")).collect()
     assert sorted(r["t"] for r in kept) == [t, t + dt.timedelta(seconds=120)]
+
+
+def test_only_moves_are_assessed_again(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t + dt.timedelta(seconds=i), md) for i, md in enumerate([100.0, 100.5, 101.0, 101.5, None, 99.0])]
+    found = detector.moved(spark.createDataFrame(rows, "well_id long, t timestamp, md_m double")).orderBy("t").collect()
+    assert [r["md_m"] for r in found] == [100.0, 101.0, 99.0]
