@@ -1,12 +1,13 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment of words measures them.
+"""License scans: words that occur near each other pick candidates, banded alignment of words measures them.
 
-Templates and texts are cut into words (lower case, punctuation dropped). An inverted index holds the templates' winnowed
-fingerprints; a text's shingles that it holds vote for a template and a diagonal; each candidate is aligned, word by
-word, within a band around that diagonal.
+Templates and texts are cut into words (lower case, punctuation dropped). An alignment that reaches the coverage has so
+many different words of the template near one diagonal; an inverted index of the templates' words counts these, first in
+stretches of the text, then for each diagonal. Whatever may reach the coverage is aligned, word by word, within a band.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, in_slices, mix, odd_numbers, texts, words
+from .common import as_bytes, in_slices, texts, words
+
+#: Diagonals counted at a time, and cells aligned at a time.
+DIAGONALS, CELLS = 4096, 1 << 16
 
 #: Public notices and license texts.
 TEMPLATES = {
@@ -63,64 +67,111 @@ def word_hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return raw, offsets, *words(LETTERS[raw], offsets)
 
 
-def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i, c in enumerate(odd_numbers(k, 5)):
-        out += h[i : i + n] * c
-    return mix(out)
-
-
-def winnow(h: np.ndarray, window: int) -> np.ndarray:
-    """Places of the rightmost least hash of every ``window`` neighbours (of all, where there are fewer)."""
-    if len(h) <= window:
-        return np.arange(len(h))
-    at = {int(i + window - 1 - np.argmin(h[i : i + window][::-1])) for i in range(len(h) - window + 1)}
-    return np.array(sorted(at))
+class Index:
+    def __init__(self, templates: dict[str, str], coverage: float):
+        self.names = sorted(templates)
+        every = [word_hashes(pa.array([templates[x]]))[4] for x in self.names]
+        self.vocabulary = np.unique(np.concatenate(every))
+        self.words = [np.searchsorted(self.vocabulary, w) for w in every]
+        self.need = [max(1, math.ceil(coverage * len(w))) for w in self.words]
+        self.member = np.zeros((len(every), len(self.vocabulary)), bool)
+        for t, w in enumerate(self.words):
+            self.member[t, w] = True
+        self.order = [np.argsort(w, kind="stable") for w in self.words]
+        self.known = np.zeros(1 << 20, bool)
+        self.known[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """The vocabulary's number of each word, -1 for a word of no template."""
+        out = np.full(len(h), -1, np.int64)
+        seen = np.flatnonzero(self.known[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.vocabulary, h[seen]), len(self.vocabulary) - 1)
+        good = self.vocabulary[at] == h[seen]
+        out[seen[good]] = at[good]
+        return out
 
+    def stretches(self, code: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, template, low, high): the diagonals, from low to before high, around which a row has enough words of a template. ``first`` is each row's first word."""
+        at = np.flatnonzero(code >= 0)
+        out = []
+        for t, need in enumerate(self.need):
+            p = at[self.member[t, code[at]]]
+            if len(p) < need:
+                continue
+            row = np.searchsorted(first, p, side="right") - 1
+            start, end = p[: len(p) - need + 1], p[need - 1 :]
+            near = np.flatnonzero((end - start < len(self.words[t]) + 2 * self.band(t)) & (row[: len(start)] == row[need - 1 :]))
+            if not len(near):
+                continue
+            row = row[near]
+            low = end[near] - len(self.words[t]) - self.band(t) + 1 - first[row]
+            high = start[near] + self.band(t) + 1 - first[row]
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (low[1:] > high[:-1])])
+            out += zip(row[new].tolist(), [t] * len(new), low[new].tolist(), high[np.r_[new[1:] - 1, len(near) - 1]].tolist(), strict=True)
+        return out
 
-class Index:
-    def __init__(self, templates: dict[str, str], k: int, window: int):
-        self.names, self.k = sorted(templates), k
-        self.words = [word_hashes(pa.array([templates[x]]))[4] for x in self.names]
-        every = [shingles(w, k) for w in self.words]
-        places = [winnow(s, window) for s in every]
-        gram = np.concatenate([s[p] for s, p in zip(every, places, strict=True)])
-        order = np.argsort(gram, kind="stable")
-        self.gram = gram[order]
-        self.template = np.repeat(np.arange(len(places)), [len(p) for p in places])[order]
-        self.place = np.concatenate(places)[order]
-        self.size = np.array([len(p) for p in places])
-
-    def candidates(self, h: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(template, diagonal) with at least ``share`` of the template's fingerprints near one diagonal. ``h`` are a text's words."""
-        s = shingles(h, self.k)
-        low, high = np.searchsorted(self.gram, s, side="left"), np.searchsorted(self.gram, s, side="right")
-        at = np.flatnonzero(high > low)
-        if not len(at):
+    def most(self, t: int, text: np.ndarray, low: int, high: int) -> np.ndarray:
+        """For each diagonal from low to before high, how many words of the template occur in ``text`` within the band: no alignment has more."""
+        band = self.band(t)
+        a, z = max(0, low - band), max(0, min(len(text), high + band + len(self.words[t])))
+        own = self.words[t][self.order[t]]
+        left, right = np.searchsorted(own, text[a:z], side="left"), np.searchsorted(own, text[a:z], side="right")
+        n = right - left
+        place = self.order[t][np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        diagonal = np.repeat(np.arange(a, z), n) - place
+        order = np.lexsort((diagonal, place))
+        place, diagonal = place[order], diagonal[order]
+        end = diagonal + band + 1  # a word of the template counts once, however often it occurs within the band
+        end[:-1] = np.where(place[1:] == place[:-1], np.minimum(end[:-1], diagonal[1:] - band), end[:-1])
+        begin, end = np.clip(diagonal - band, low, high) - low, np.clip(end, low, high) - low
+        return np.cumsum(np.bincount(begin, minlength=high - low + 1) - np.bincount(end, minlength=high - low + 1))[:-1]
+
+    def find(self, t: int, text: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(matched words, first, last word) of the template's places on the diagonals from low to before high; of places that overlap the best."""
+        need, band = self.need[t], self.band(t)
+        centres = [c + b for b in range(low, high, DIAGONALS) if len(c := np.flatnonzero(self.most(t, text, b, min(b + DIAGONALS, high)) >= need))]
+        if not centres:
             return []
-        n = high[at] - low[at]
-        post = np.repeat(low[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        template, diagonal = self.template[post], np.repeat(at, n) - self.place[post]
-        out = []
-        for t in np.unique(template).tolist():
-            d = np.sort(diagonal[template == t])
-            band = self.band(t)
-            while len(d):
-                near = d <= d[0] + band
-                if near.sum() >= share * self.size[t]:
-                    out.append((t, int(np.median(d[near]))))
-                d = d[~near]
+        centre = np.concatenate(centres)
+        score = matched(self.words[t], text, centre, band)
+        out: list[tuple[int, int, int]] = []
+        done: set[int] = set()
+        for at in np.lexsort((centre, -score)).tolist():
+            if score[at] < need:
+                break
+            if int(centre[at]) in done:
+                continue
+            n, first, last, least, greatest = align(self.words[t], text, int(centre[at]), band)
+            done.update(range(greatest - band, least + band + 1))  # their bands hold the same alignment, and none has a better one
+            if not any(first <= z and a <= last for _, a, z in out):
+                out.append((n, first, last))
         return out
 
     def band(self, t: int) -> int:
         return 2 + len(self.words[t]) // 8
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """(matched words, first, last matched word of the text) of the best alignment on diagonals within ``band`` of ``diagonal``."""
+def matched(template: np.ndarray, text: np.ndarray, centre: np.ndarray, band: int) -> np.ndarray:
+    """The matched words of the best alignment within ``band`` of each diagonal in ``centre``."""
+    width, size = 2 * band + 1, max(1, CELLS // (2 * band + 1))
+    out = np.zeros(len(centre), np.int64)
+    for part in range(0, len(centre), size):
+        at = centre[part : part + size, None] + np.arange(-band, band + 1)
+        least = int(at.min())
+        window = np.full(int(at.max()) - least + len(template), -1, np.int64)
+        a, z = max(0, least), min(len(text), least + len(window))
+        window[a - least : z - least] = text[a:z]
+        at -= least
+        score = np.zeros((len(at), width + 1), np.int32)  # with a last column that stays 0
+        for i, w in enumerate(template):
+            best = np.maximum(score[:, :-1] + (window[at + i] == w), score[:, 1:])
+            np.maximum.accumulate(best, axis=1, out=score[:, :-1])
+        out[part : part + size] = score[:, -2]
+    return out
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int, int]:
+    """(matched words, first, last matched word of the text, least, greatest diagonal) of the best alignment on diagonals within ``band`` of ``diagonal``."""
     m, width = len(template), 2 * band + 1
     low = diagonal - band
     score = np.zeros(width, np.int32)
@@ -134,11 +185,12 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
         score = np.maximum.accumulate(np.maximum(score + hits[i], np.r_[score[1:], 0]))
         rows.append(score)
     i, k = m, int(np.argmax(score))
-    total, first, last = int(score[k]), -1, -1
+    total, first, last, used = int(score[k]), -1, -1, [k]
     while i and rows[i][k]:
         if hits[i - 1, k] and rows[i][k] == rows[i - 1][k] + 1:
             first = k + low + i - 1
             last = first if last < 0 else last
+            used.append(k)
             i -= 1
         elif k + 1 < width and rows[i - 1][k + 1] == rows[i][k]:
             i, k = i - 1, k + 1
@@ -146,42 +198,40 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
             i -= 1
         else:
             k -= 1
-    return total, first, last
+    used = used[1:] or used
+    return total, first, last, min(used) + low, max(used) + low
 
 
-def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 4, share: float = 0.5, coverage: float = 0.8) -> DataFrame:
+def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.8) -> DataFrame:
     """(doc_id, template, coverage, n_matched, start, end): where a row's whole text holds ``coverage`` or more of a template's words, in order.
 
-    Places are in bytes of the UTF-8 text. A text may hold a template more than once; repeated rows each give theirs; null
-    and empty texts hold none. Templates of fewer than ``k`` words are not looked for. The index is as large as the
-    templates, not the corpus; rows are scanned where they were read, no shuffle."""
-    chosen = {name: t for name, t in (TEMPLATES if templates is None else templates).items() if len(word_hashes(pa.array([t]))[4]) >= k}
+    The words lie within a band of 2 and an eighth of the template's words on either side of one diagonal; every such place
+    is found, whatever the edits between them. Places are in bytes of the UTF-8 text. A text may hold a template more than
+    once; places of one template that overlap count once, by the best; repeated rows each give theirs; null and empty texts
+    hold none, and nothing holds a template without a word. The index is as large as the templates, not the corpus; rows are
+    scanned where they were read, no shuffle."""
+    chosen = {name: t for name, t in (TEMPLATES if templates is None else templates).items() if len(word_hashes(pa.array([t]))[4])}
     schema = "doc_id long, template string, coverage double, n_matched int, start long, end long"
     if not chosen:
         return df.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(chosen, k, window)
-        known = np.zeros(1 << 20, bool)
-        known[(index.gram >> np.uint64(44)).astype(np.int64)] = True
+        index = Index(chosen, coverage)
         for b in in_slices(batches):
             _, offsets, start, end, h = word_hashes(b.column("text"))
             first = np.searchsorted(start, offsets)
-            seen = np.flatnonzero(known[(shingles(h, k) >> np.uint64(44)).astype(np.int64)])
-            found = []
-            for row in np.unique(np.searchsorted(offsets, start[seen], side="right") - 1).tolist():
-                own = slice(first[row], first[row + 1])
-                spans: list[tuple] = []
-                for t, diagonal in index.candidates(h[own], share):
-                    n, a, z = align(index.words[t], h[own], diagonal, index.band(t))
-                    if n >= coverage * len(index.words[t]) and not any(s[0] == t and a <= s[4] and s[3] <= z for s in spans):
-                        spans.append((t, n / len(index.words[t]), n, a, z))
-                doc = b.column("doc_id")[row].as_py()
-                found += [(doc, index.names[t], c, n, int(start[own][a] - offsets[row]), int(end[own][z] - offsets[row])) for t, c, n, a, z in spans]
+            code = index.codes(h)
+            spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+            for row, t, low, high in index.stretches(code, first[:-1]):
+                held = spans.setdefault((row, t), [])
+                held += [x for x in index.find(t, code[first[row] : first[row + 1]], low, high) if not any(x[1] <= z and a <= x[2] for _, a, z in held)]
+            found = [
+                (b.column("doc_id")[row].as_py(), index.names[t], n / len(index.words[t]), n, int(start[first[row] + a] - offsets[row]), int(end[first[row] + z] - offsets[row]))
+                for (row, t), held in spans.items()
+                for n, a, z in held
+            ]
             if found:
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "template", "coverage", "n_matched", "start", "end"])
 
     return texts(df, id_col, text_col).mapInArrow(run, schema)
-
-

@@ -139,3 +139,34 @@ def test_licenses_over_the_table(spark, sf_dir):
     notices = {k: licenses.TEMPLATES[k] for k in ("mit-notice", "apache-2.0-notice", "gpl-3.0-notice", "cc-by-nc-4.0-notice", "all-rights-reserved")}
     wanted = {(d, k) for d, t in documents(spark, sf_dir) for k, x in notices.items() if x in t}
     assert wanted and wanted <= found
+
+
+def test_licenses_with_spread_edits_against_unfiltered_alignment(spark):
+    rng = random.Random(8)
+    docs, sure = [], set()
+    for name, template in licenses.TEMPLATES.items():
+        words = "".join(c if c.isalnum() else " " for c in template).split()
+        for step in (5, 6, 7):
+            before = [rng.choice(words + ["other"]) for _ in range(rng.randint(0, 30))]
+            text = [f"changed{i}" if i % step == step - 2 else w for i, w in enumerate(words)]
+            docs.append((len(docs), " ".join([*before, *text, *before[:9]])))
+            if sum(i % step != step - 2 for i in range(len(words))) >= 0.8 * len(words):
+                sure.add((docs[-1][0], name))
+        docs.append((len(docs), " ".join(words[: len(words) // 3] + ["stray"] * (len(words) // 9) + words[len(words) // 3 :])))
+    docs.append((len(docs), "all rights reserved " * 3 + "the " * 400))
+    found = {(r["doc_id"], r["template"], r["n_matched"]) for r in licenses.scan(frame(spark, docs)).collect()}
+    assert len(sure) > 12 and sure <= {x[:2] for x in found}
+    index = licenses.Index(licenses.TEMPLATES, 0.8)
+    small = {d for d, text in docs if len(text.split()) < 50}
+    wanted, best = {}, {}
+    for doc, name, n in found:
+        best[doc, name] = max(n, best.get((doc, name), 0))
+    for doc, text in docs:
+        code = index.codes(licenses.word_hashes(licenses.pa.array([text]))[4])
+        for t, own in enumerate(index.words):
+            if len(own) < 20 and doc in small:
+                n = max(licenses.align(own, code, c, index.band(t))[0] for c in range(-len(own), len(code) + 1))
+                if n >= 0.8 * len(own):
+                    wanted[doc, index.names[t]] = n
+    assert len(wanted) > 12 and wanted == {k: n for k, n in best.items() if k[0] in small and len(index.words[index.names.index(k[1])]) < 20}
+    assert licenses.scan(frame(spark, docs[-1:])).where("template = 'all-rights-reserved'").count() == 3
