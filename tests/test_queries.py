@@ -69,7 +69,7 @@ def test_credible_intervals_hold_their_share(spark, sf_dir):
         assert np.allclose(x, 1 - beta_quantiles(1 - q, b, a), atol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf"])
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf", "common_formations"])
 def test_whole_tables_against_sql_without_its_filter(spark, sf_dir, tmp_path, name):
     con = duckdb.connect()
     for t in TABLES:
