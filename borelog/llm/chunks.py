@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, in_slices, mix, texts
+from .common import as_bytes, cut, in_slices, mix, text_digest, texts
 from .suffixes import KEYS, shrunk
 
 #: One 32-bit number for each byte value, from a rule.
@@ -63,10 +63,10 @@ def chunks(rows: DataFrame, bits: int, least: int, most: int) -> DataFrame:
             digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
             row = np.searchsorted(offsets, start, side="right") - 1
             packed = (start - offsets[row]) << 16 | (end - start)
-            cols = [digest[:, 0].copy(), digest[:, 1].copy(), b.column("doc").to_numpy()[row], b.column("tag").to_numpy()[row], packed]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g1", "g2", "doc", "tag", "packed"])
+            cols = [digest[:, 0].copy(), digest[:, 1].copy(), b.column("doc").to_numpy()[row], b.column("tag").take(pa.array(row)), packed]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["g1", "g2", "doc", "tag", "packed"])
 
-    return rows.select("doc", "tag", "text").mapInArrow(run, "g1 long, g2 long, doc long, tag int, packed long")
+    return rows.select("doc", "tag", "text").mapInArrow(run, "g1 long, g2 long, doc long, tag binary, packed long")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 32, most: int = 256, min_run: int = 100) -> DataFrame:
@@ -79,7 +79,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
     that no cut depends on the text before."""
     if not WINDOW <= least <= most < 1 << 16:
         raise ValueError("sizes must be 32 <= least <= most < 65536")
-    rows = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.hash("text").alias("tag"), "doc_id", "text")
+    rows = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), text_digest(F.col("text")).alias("tag"), "doc_id", "text")
     spark = df.sparkSession
     found = chunks(rows, bits, least, most)
     twice = found.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "packed", "tag")).alias("one")).where("n > 1").select("g1", "g2", "one")

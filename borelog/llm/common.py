@@ -113,6 +113,11 @@ def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(h)
 
 
+def text_digest(text: Column) -> Column:
+    """A 128-bit digest of a text (null: empty), which with the id tells rows apart."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def hash_pair(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes of the same columns: a 128-bit key."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]

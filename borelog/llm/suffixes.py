@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, pieces
-from .common import as_bytes, cut, in_slices, texts
+from .common import as_bytes, cut, in_slices, text_digest, texts
 
 KEYS = ["doc", "tag"]
 #: Segments with the same leading bytes that one bucket takes; larger groups are cut and compared across buckets.
@@ -140,7 +140,7 @@ def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
         import xxhash
 
         for b in in_slices(batches):
-            doc, tag = b.column("doc").to_numpy(), b.column("tag").to_numpy()
+            doc, tag = b.column("doc").to_numpy(), b.column("tag")
             everything, bounds = as_bytes(b.column("text"))
             for raw, offsets, shift in pieces(everything, bounds, length):
                 h, place, first, last = anchors(raw, offsets, length, gram)
@@ -151,9 +151,9 @@ def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 row = np.searchsorted(offsets, place, side="right") - 1
                 inside = place + shift - bounds[row]
                 packed = inside << 16 | most << 8 | least
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(d, np.uint64).view(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(packed)], names=["h", "d", "doc", "tag", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(d, np.uint64).view(np.int64)), pa.array(doc[row]), tag.take(pa.array(row)), pa.array(packed)], names=["h", "d", "doc", "tag", "packed"])
 
-    return rows.select("doc", "tag", "text").mapInArrow(run, "h long, d long, doc long, tag int, packed long")
+    return rows.select("doc", "tag", "text").mapInArrow(run, f"h long, d long, doc long, tag {rows.schema['tag'].dataType.simpleString()}, packed long")
 
 
 def shrunk(rows: DataFrame) -> DataFrame:
@@ -200,8 +200,8 @@ def repeated_spans(rows: DataFrame, blobs: DataFrame, length: int, gram: int) ->
     mixed = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", (F.col("k") > GROUP).alias("large"))
     wanted = kinds.join(mixed, "h").groupBy(F.col("one.doc").alias("doc"), F.col("one.tag").alias("tag"))
     wanted = wanted.agg(F.collect_list(F.struct("h", "d", "n", "large", F.col("one.packed").alias("packed"))).alias("wanted"))
-    # A text's wanted rows are bounded by its own length. Rows that share key and text meet twice; their windows repeat anyway.
-    segs = blobs.join(wanted, KEYS).select("blob", "wanted").mapInArrow(lambda it: segments(it, length), "h long, d long, n long, large boolean, most int, seg binary")
+    # A text's wanted rows are bounded by its own length. Of rows equal in id and text one is read.
+    segs = blobs.join(wanted, KEYS).select(*KEYS, "blob", "wanted").dropDuplicates(KEYS).select("blob", "wanted").mapInArrow(lambda it: segments(it, length), "h long, d long, n long, large boolean, most int, seg binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lead = F.expr(f"substring(seg, most + 1, if(large, {length}, {gram}))")
     buckets = segs.repartitionByRange(n, lead, F.when(F.col("large"), F.col("d")))
@@ -227,10 +227,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("gram must be a multiple of 8, and length from gram to gram + 223")
     rest = [F.struct(*[F.col(c) for c in keep]).alias("rest")] if keep else []
     rows = texts(df.select(F.col(id_col), F.col(text_col), *rest), id_col, text_col, *["rest"] * bool(keep))
-    rows = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.hash("text").alias("tag"), "doc_id", "text", *["rest"] * bool(keep))
+    rows = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), text_digest(F.col("text")).alias("tag"), "doc_id", "text", *["rest"] * bool(keep))
     spark = df.sparkSession
     blobs = shrunk(rows)
-    spans = repeated_spans(rows, blobs, length, gram).groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(rows, blobs, length, gram).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = cut(spark, spans, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

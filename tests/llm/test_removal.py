@@ -125,3 +125,24 @@ def test_chunks_find_copies_in_the_table(spark, sf_dir):
     for doc, t in docs:
         if seen[t] > 1 and len(t.encode()) >= 100 and doc != first.setdefault(t, doc):
             assert found[doc]["n_removed"] == len(t.encode())
+
+
+def find_collision(spark):
+    """Two texts with one 32-bit hash: the first repeats a common passage, the second has other words there."""
+    rng = random.Random(12)
+    passage, other = ("".join(rng.choice(x) for _ in range(400)) for x in ("abcdefghij ", "klmnopqrst "))
+    ends = spark.range(300_000).select(F.concat(F.when(F.col("id") % 2 == 0, passage).otherwise(other), F.lpad(F.col("id").cast("string"), 12, "0")).alias("text"))
+    twice = ends.groupBy(F.hash("text").alias("h")).agg(F.sort_array(F.collect_list("text")).alias("t"))
+    found = twice.where("size(t) > 1").orderBy("h").collect()
+    pair = next(r["t"] for r in found if len({x[:9] for x in r["t"]}) == 2)
+    return passage, next(x for x in pair if x.startswith(passage)), next(x for x in pair if x.startswith(other))
+
+
+@pytest.mark.parametrize("id_", [None, 7])
+def test_texts_with_one_short_hash_stay_apart(spark, id_):
+    passage, a, b = find_collision(spark)
+    docs = [(id_, a), (id_, b), (3, passage + " alone"), *[(9, passage[:250])] * 3]
+    chunked = {bytes(r["kept"]) for r in chunks.dedup(frame(spark, docs[:3])).collect()}
+    assert b.encode() in chunked
+    found = queries.removed(suffixes.remove_repeats(frame(spark, docs)))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
