@@ -7,6 +7,7 @@ bands with enough of them are verified by a banded alignment of the whole item.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,13 +129,14 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return (int(cost[k]), int(start[k]), int(diagonals[k] + len(item))) if cost[k] <= budget else None
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, min_chars: int = 40, block_chars: int = 2_000_000) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, min_chars: int = 40, block_chars: int = 2_000_000, with_tag: bool = False) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the items that a row's whole text holds with at most ``rate`` x length edits, each at its best place (in characters).
 
     Case and kinds of white space are ignored. Items shorter than ``min_chars`` (and null ones) are not looked for: so few
     characters prove nothing. Null and empty texts hold nothing; repeated rows and items each give their rows; an empty
     table on either side gives none. The benchmark is broadcast in blocks of ``block_chars`` characters and one item;
-    each block is held against all rows, and where there are several each one's result is written before the next."""
+    each block is held against all rows, and where there are several each one's result is written before the next. ``with_tag`` adds the
+    digest of the row's text, since ids may be shared or missing."""
     if rate * q >= 1 or min_chars <= (q - 1) / (1 - rate * q):
         raise ValueError("the lemma asks for no q-gram: lower rate or q, or raise min_chars")
     spark = df.sparkSession
@@ -142,7 +144,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-total // block_chars)
     rows = texts(df, id_col, text_col)
-    schema = "doc_id long, item_id long, edits int, start long, end long"
+    schema = "doc_id long, item_id long, edits int, start long, end long" + ", tag binary" * with_tag
     out = None
     for block in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
@@ -162,11 +164,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     for at in range(0, max(1, len(points)), PIECE):
                         for i, edits, start, end in known.find(points[at : at + PIECE + overlap]):
                             hits[i] = min(hits.get(i, (edits, start + at, end + at)), (edits, start + at, end + at))
-                    found += [(doc, int(known.ids[i]), *x) for i, x in hits.items()]
+                    tag = [hashlib.md5(text.encode()).digest()] * with_tag if hits else []
+                    found += [(doc, int(known.ids[i]), *x, *tag) for i, x in hits.items()]
                 if found:
                     cols = list(zip(*found, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * with_tag]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start", "end", *["tag"] * with_tag])
 
         found = rows.mapInArrow(run, schema)
         found = cut(spark, found, "found") if n_blocks > 1 else found

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borelog.llm import bpe, contamination, jaccard, language, suffixes
-from borelog.llm.common import cut
+from borelog.llm.common import cut, text_digest
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No single SQL statement expresses byte-pair encoding or the language model; tests/llm holds the rows against brute force.
@@ -20,9 +20,18 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the least doc_id of each group of near duplicates stays."""
-    later = jaccard.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(COLUMNS)
+    """N-gram Jaccard join: one row of each group of near duplicates stays, that with the least doc_id.
+
+    Null ids come last; among rows with one id the least digest of the text decides, and of rows equal in both one stays.
+    Texts without a word are no duplicates and all stay."""
+    key = ["doc", "tag"]
+    rows = jaccard.near_duplicates(docs, with_row=True).where("label is not null")
+    each = cut(spark, rows.groupBy("label", *key).agg(F.count("*").alias("n")), "classes")
+    first = each.groupBy("label").agg(F.min(F.struct(*key)).alias("one")).select("one.*")
+    keyed = docs.withColumns({"doc": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "tag": text_digest(F.col("text"))})
+    keyed = keyed.join(each.join(first, key, "left_anti").select(key), key, "left_anti")
+    again = each.where("n > 1").join(first, key, "left_semi").select(key)
+    return keyed.join(again, key, "left_anti").union(keyed.join(again, key, "left_semi").dropDuplicates(key)).select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +42,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold an item go."""
-    found = contamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Benchmark decontamination: documents that hold an item go. What a text holds is known by its digest, so ids do not matter."""
+    found = contamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_tag=True).select("tag").distinct()
+    return docs.withColumn("tag", text_digest(F.col("text"))).join(found, "tag", "left_anti").select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,3 +125,19 @@ def test_pipeline_stages(spark, sf_dir):
 def test_pipeline_runs(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert pipeline.run(spark, sf_dir).count() > 100
+
+
+def test_pipeline_stages_on_odd_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    new = lambda n=60: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, item = new(), new(), new(), new(), new(20)
+    docs = [(1, a), (1, a), (1, b), (None, a + " end"), (None, c), (None, c), (2, d), (None, d + " more"), (1, d + " end"), (None, ""), (None, "")]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.one_of_each(spark, rows, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, c), (1, d + " end"), (None, ""), (None, "")], key=str)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, a), (1, b + " " + item), (None, c), (None, d + " " + item), (3, item), (3, item)]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], rows.schema)
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.decontaminated(spark, rows, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, c)], key=str)
