@@ -69,11 +69,10 @@ def chunks(rows: DataFrame, bits: int, least: int, most: int) -> DataFrame:
     return rows.select("doc", "tag", "text").mapInArrow(run, "g1 long, g2 long, doc long, tag binary, packed long")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 32, most: int = 256, min_run: int = 100) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 32, most: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_chunks_repeated, spans (start, end of each maximal removed run) and kept (the other bytes) for every row.
 
-    A chunk is repeated if its digest occurs twice in the table. Neighbouring repeated chunks form runs; in runs of
-    ``min_run`` bytes or more every chunk but its first occurrence goes. Shorter runs are left: words meet by chance.
+    A chunk is repeated if its digest occurs twice in the table; every chunk but its first occurrence goes, however short.
     A null text is empty; a chunk may repeat within a text; rows equal in id and text count as one document and keep what
     is first in either; a null id stays null; an empty table gives no rows. ``least`` is 32 at least, the hash's window, so
     that no cut depends on the text before."""
@@ -95,7 +94,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
             out: list[list] = [[], [], [], []]
             for blob, found in zip(b.column("blob").to_pylist(), b.column("hits").to_pylist(), strict=True):
                 data = expand(blob)
-                for column, value in zip(out, (len(data), len(found or []), *removed(data, found or [], min_run)), strict=True):
+                for column, value in zip(out, (len(data), len(found or []), *removed(data, found or [])), strict=True):
                     column.append(value)
             cols = [b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_chunks_repeated", "spans", "kept"])
@@ -104,25 +103,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_chunks_repeated long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def removed(data: bytes, hits: list[dict], min_run: int) -> tuple[list[dict], bytes]:
+def removed(data: bytes, hits: list[dict]) -> tuple[list[dict], bytes]:
     """The merged spans that go from one text, and what stays of it."""
     spans: list[dict] = []
-    run: list[tuple[int, int, bool]] = []
-
-    def close() -> None:
-        if run and run[-1][1] - run[0][0] >= min_run:
-            for start, end, later in run:
-                if later and spans and spans[-1]["end"] == start:
-                    spans[-1]["end"] = end
-                elif later:
-                    spans.append({"start": start, "end": end})
-
-    for x in sorted(hits, key=lambda x: x["packed"]):
-        start = x["packed"] >> 16
-        if run and run[-1][1] != start:
-            close()
-            run = []
-        run.append((start, start + (x["packed"] & 0xFFFF), x["later"]))
-    close()
+    for start, end in sorted((x["packed"] >> 16, (x["packed"] >> 16) + (x["packed"] & 0xFFFF)) for x in hits if x["later"]):
+        if spans and spans[-1]["end"] == start:
+            spans[-1]["end"] = end
+        else:
+            spans.append({"start": start, "end": end})
     ends = [0, *[s["end"] for s in spans]]
     return spans, b"".join(data[a:z] for a, z in zip(ends, [*[s["start"] for s in spans], len(data)], strict=True))

@@ -146,3 +146,21 @@ def test_texts_with_one_short_hash_stay_apart(spark, id_):
     assert b.encode() in chunked
     found = queries.removed(suffixes.remove_repeats(frame(spark, docs)))
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
+
+
+def test_chunks_find_short_copies(spark):
+    rng = random.Random(14)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(90))
+    docs = [(1, "That it."), (2, "That it."), (3, line), (4, line), (None, line), (5, "Other. " * 3)]
+    found = {r["doc_id"]: bytes(r["kept"]).decode() for r in chunks.dedup(frame(spark, docs)).collect()}
+    assert found == {None: line, 1: "That it.", 2: "", 3: "", 4: "", 5: "Other. " * 3}
+
+
+def test_chunks_find_all_copies_in_the_table(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    seen = collections.Counter(t for _, t in docs)
+    found = {r["doc_id"]: r for r in queries.op1_gear_chunks(spark, sf_dir).collect()}
+    first = {}
+    for doc, t in sorted(docs):
+        if t and seen[t] > 1 and doc != first.setdefault(t, doc):
+            assert found[doc]["n_removed"] == len(t.encode())
