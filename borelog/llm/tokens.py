@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    special = [t.id_to_token(i) for i in t.get_added_tokens_decoder()]
 
     def each(parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(parts, add_special_tokens=False)]
@@ -64,7 +65,15 @@ def tokenizer(path: str):
         done.update(zip(rest, each(rest), strict=True))
         return list(done.values()) if not rest and len(done) == len(parts) else [done[p] for p in parts]
 
-    return fresh, {}
+    def whole(texts: pa.Array, ids: list[bytes]) -> list[bytes]:
+        """The library's ids of those texts that hold an added token's string, which it sets apart before all else, encoded whole."""
+        if special:
+            hold = pc.fill_null(pc.match_substring_regex(texts, "|".join(re.escape(x) for x in special)), False)
+            for i in np.flatnonzero(hold.to_numpy(zero_copy_only=False)).tolist():
+                ids[i] = each([texts[i].as_py()])[0]
+        return ids
+
+    return fresh, {}, whole
 
 
 def to_planes(ids: np.ndarray, kind: str, block: int, compress) -> tuple[int, list[bytes]]:
@@ -96,8 +105,9 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
     """Encodes every whole text and writes the chunks below ``path``, in ascending doc_id order.
 
     A null text has no ids but the end id; a null doc_id sorts first; rows that share a doc_id are all kept, next to each
-    other, in no set order; an empty table writes an empty data set. ``end_id`` (None: none) ends each document. One
-    shuffle, of the texts, by ranges of doc_id; a task holds one chunk."""
+    other, in the order of a hash of their texts; an empty table writes an empty data set. ``end_id`` (None: none) ends each
+    document. One shuffle, of the texts, by ranges of doc_id and that hash; a task holds one chunk. A very long text is encoded
+    whole and is a chunk of its own size."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,7 +116,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         compress = zstandard.ZstdCompressor(level=level).compress
-        fresh, known = tokenizer(tokenizer_file)
+        fresh, known, whole = tokenizer(tokenizer_file)
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         docs: list = []
@@ -125,7 +135,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
         arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.list_(pa.binary()))])
         total = 0
         for b in in_slices(batches):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_slice(b.column("text"), known, fresh, CACHED), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), whole(b.column("text"), encode_slice(b.column("text"), known, fresh, CACHED)), strict=True):
                 held.append(ids + end)
                 docs.append(doc)
                 total += len(held[-1]) // 4
@@ -135,7 +145,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
         if docs:
             yield flush()
 
-    rows = texts(df, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
+    rows = texts(df, id_col, text_col).withColumn("order", F.xxhash64("text")).repartitionByRange(n, "doc_id", "order").sortWithinPartitions("doc_id", "order").drop("order").mapInArrow(run, SCHEMA)
     rows.write.option("compression", "uncompressed").parquet(path)
 
 

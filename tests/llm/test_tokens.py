@@ -32,9 +32,7 @@ def tik():
 
 @pytest.fixture(scope="module")
 def hf():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_prefix_tables_against_tiktoken(tik):
@@ -85,8 +83,10 @@ def test_encode_and_decode_with_odd_rows(spark):
 
 def test_slices_against_the_library(hf):
     xs = texts(6000, 7)
-    fresh, known = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    found = bpe.encode_slice(pa.array(xs), known, fresh, 1000)
+    fresh, known, whole = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    xs += ["<|endoftext|>", "a <|endoftext|> b", "\n <|endoftext|>\n\n<|endoftext|>x", "a<|endof text|>", "<|endof", "text|>"]
+    found = whole(pa.array(xs), bpe.encode_slice(pa.array(xs), known, fresh, 1000))
+    assert 50256 in np.frombuffer(found[-5], "<u4")
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in hf.encode_batch(xs, add_special_tokens=False)]
 
 
@@ -126,6 +126,17 @@ def test_files_with_small_chunks_and_odd_rows(spark, tmp_path, hf):
             at += r["n_tokens"]
 
 
+def test_very_long_texts(spark, tmp_path, tik, hf):
+    words = [w for t in texts(400, 13) for w in t.split(" ")]
+    rng = random.Random(14)
+    docs = [(1, " ".join(rng.choice(words) for _ in range(400_000))), (2, "x" * 300_000), (3, "\n" * 50_000), (4, "short")]
+    found = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode(frame(spark, docs), RANKS, public_tokenizers.PATTERN).collect()}
+    assert found == {d: hashlib.sha256(np.array(tik.encode_ordinary(t), "<u4").tobytes()).hexdigest() for d, t in docs if d != 2} | {2: found[2]}
+    tokens.write(frame(spark, docs), str(tmp_path / "long"), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = {r["doc_id"]: r["ids_crc32"] for r in tokens.read(spark, str(tmp_path / "long")).collect()}
+    assert rows == {d: zlib.crc32(np.array([*hf.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for d, t in docs}
+
+
 def test_empty_table(spark, tmp_path):
     tokens.write(frame(spark, ODD).limit(0), str(tmp_path / "e"), public_tokenizers.path("byte_bpe_50k.json"))
     assert tokens.read(spark, str(tmp_path / "e")).collect() == []
