@@ -2,7 +2,8 @@
 
 A text that holds an item of m characters with at most k edits shares m + 1 - q (k + 1) character q-grams with it whose
 places differ by nearly the same amount (the diagonal). Shared q-grams are counted in diagonal bands that overlap by half;
-bands with enough of them are verified by a banded alignment of the whole item.
+bands with enough of them are verified by a banded alignment of the whole item. An item too short for q takes the longest
+grams that leave the lemma one: m // (k + 1) characters.
 """
 
 from __future__ import annotations
@@ -38,19 +39,32 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
     return mix(h)
 
 
+def budgets(length: np.ndarray, rate: float) -> np.ndarray:
+    """The edits that an item of so many characters may have."""
+    return (length * rate + 1e-9).astype(np.int64)
+
+
+def by_gram(ids: list[int], items: list[str], q: int, rate: float) -> list[Items]:
+    """One block of the benchmark, its items parted by the grams that they take."""
+    points = [code_points(x) for x in items]
+    length = np.array([len(p) for p in points], np.int64)
+    own = np.minimum(q, length // (budgets(length, rate) + 1))
+    return [Items([ids[i] for i in at], [points[i] for i in at], k, rate) for k in np.unique(own).tolist() for at in [np.flatnonzero(own == k).tolist()]]
+
+
 class Items:
-    """One block of the benchmark: q-gram postings, edit budgets and bands."""
+    """Items of one gram length: q-gram postings, edit budgets and bands."""
 
-    def __init__(self, ids: list[int], items: list[str], q: int, rate: float):
+    def __init__(self, ids: list[int], points: list[np.ndarray], q: int, rate: float):
         self.ids, self.q = np.array(ids, np.int64), q
-        self.points = [code_points(x) for x in items]
+        self.points = points
         self.length = np.array([len(p) for p in self.points], np.int64)
-        self.budget = np.minimum((self.length * rate).astype(np.int64), (self.length - q) // q)
+        self.budget = budgets(self.length, rate)
         self.least = self.length + 1 - q * (self.budget + 1)
         self.half = 2 * self.budget + 1
         every = [grams(p, q) for p in self.points]
         gram = np.concatenate(every) if every else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(items)), [len(g) for g in every])
+        item = np.repeat(np.arange(len(points)), [len(g) for g in every])
         place = np.concatenate([np.arange(len(g)) for g in every]) if every else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
         self.item, self.place = item[order], place[order]
@@ -129,18 +143,19 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return (int(cost[k]), int(start[k]), int(diagonals[k] + len(item))) if cost[k] <= budget else None
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, min_chars: int = 40, block_chars: int = 2_000_000, with_tag: bool = False) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block_chars: int = 2_000_000, with_tag: bool = False) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the items that a row's whole text holds with at most ``rate`` x length edits, each at its best place (in characters).
 
-    Case and kinds of white space are ignored. Items shorter than ``min_chars`` (and null ones) are not looked for: so few
-    characters prove nothing. Null and empty texts hold nothing; repeated rows and items each give their rows; an empty
-    table on either side gives none. The benchmark is broadcast in blocks of ``block_chars`` characters and one item;
+    Case and kinds of white space are ignored. Items are looked for at any length; null ones, and those without a character
+    that isn't white space, are held by nothing. Null and empty texts hold nothing; repeated rows and items each give their rows;
+    of equally good places the first counts; an empty table on either side gives none. A very long text is read in overlapping
+    pieces. The benchmark is broadcast in blocks of ``block_chars`` characters and one item;
     each block is held against all rows, and where there are several each one's result is written before the next. ``with_tag`` adds the
     digest of the row's text, since ids may be shared or missing."""
-    if rate * q >= 1 or min_chars <= (q - 1) / (1 - rate * q):
-        raise ValueError("the lemma asks for no q-gram: lower rate or q, or raise min_chars")
+    if q < 1 or not 0 <= rate < 1:
+        raise ValueError("q must be 1 or more, and rate from 0 to below 1")
     spark = df.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.length("text") >= min_chars)
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").rlike("[^\\x00-\\x20\\xA0]"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-total // block_chars)
     rows = texts(df, id_col, text_col)
@@ -155,17 +170,18 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         overlap = int(max(len(r["text"]) for r in held) * (1 + rate)) + 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, overlap=overlap) -> Iterator[pa.RecordBatch]:
-            known = Items(*shared.value, q, rate)
+            known = by_gram(*shared.value, q, rate)
             for b in in_slices(batches):
                 found: list[tuple] = []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     points = code_points(text)
-                    hits: dict[int, tuple] = {}
+                    hits: dict[tuple[int, int], tuple] = {}
                     for at in range(0, max(1, len(points)), PIECE):
-                        for i, edits, start, end in known.find(points[at : at + PIECE + overlap]):
-                            hits[i] = min(hits.get(i, (edits, start + at, end + at)), (edits, start + at, end + at))
+                        for k, items in enumerate(known):
+                            for i, edits, start, end in items.find(points[at : at + PIECE + overlap]):
+                                hits[k, i] = min(hits.get((k, i), (edits, start + at, end + at)), (edits, start + at, end + at))
                     tag = [hashlib.md5(text.encode()).digest()] * with_tag if hits else []
-                    found += [(doc, int(known.ids[i]), *x, *tag) for i, x in hits.items()]
+                    found += [(doc, int(known[k].ids[i]), *x, *tag) for (k, i), x in hits.items()]
                 if found:
                     cols = list(zip(*found, strict=True))
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * with_tag]

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from borelog.llm import contamination, graph, jaccard, licenses, queries
+from borelog.llm import common, contamination, graph, jaccard, licenses, queries
 
 from .helpers import ODD, documents, frame
 
@@ -37,9 +37,10 @@ def brute(docs):
     return sorted([(docs[i][0], least.get(find(i)), links[i]) for i in range(len(docs))], key=str)
 
 
-@pytest.mark.parametrize("block", [256, 64])
+@pytest.mark.parametrize("block", [128, 16])
 def test_near_duplicates_against_all_pairs(spark, sf_dir, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(common, "LEAST_HOT", 1000 if block > 100 else 3)
     docs = documents(spark, sf_dir)
     rng = random.Random(3)
     base, others = docs[5][1].split(), docs[9][1].split()
@@ -48,7 +49,7 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir, monkeypatch, block):
         for _ in range(rng.randint(0, 9)):
             w[rng.randrange(len(w))] = rng.choice(others)
         docs.append((1000 + k, " ".join(w)))
-    docs += [*ODD, (2003, "A  b"), (None, docs[5][1]), (3, docs[3][1]), (3, docs[3][1])]
+    docs += [*ODD, (2003, "A  b"), (None, docs[5][1]), (3, docs[3][1]), (3, docs[3][1]), *[(4000 + k, docs[7][1]) for k in range(120)]]
     found = jaccard.near_duplicates(frame(spark, docs))
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
 
@@ -63,6 +64,26 @@ def test_pruning_never_drops_a_likely_pair():
     assert sorted(need) == [32, 64, 96, 128] and all(need[n] < 0.8 * n for n in need)
 
 
+def test_very_long_texts_are_near_duplicates(spark):
+    rng = random.Random(21)
+    long = [str(rng.randrange(50_000)) for _ in range(300_000)]
+    near = [w if i % 1000 else "changed" for i, w in enumerate(long)]
+    docs = [(5, " ".join(long)), (6, " ".join(near)), (7, " ".join(long[:100_000])), (8, "x" * 1_000_000)]
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(frame(spark, docs)).collect()) == [(5, 5, 1), (6, 5, 1), (7, 7, 0), (8, 8, 0)]
+
+
+def test_hot_keys_are_dealt_and_nothing_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    many = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(900)] + [(None, -1), (99, -2)], "k long, v long")
+    one = spark.createDataFrame([(k, f"a{k}") for k in range(7)] + [(0, "again"), (50, "none")], "k long, w string")
+    hot = common.hot_keys(many.where("k is not null").groupBy("k").agg(common.F.count("*").alias("n")), ["k"])
+    assert {r["k"]: r["_parts"] for r in hot.collect()}[0] > 1
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        found = common.meet(many, one, ["k"], hot, ["v"], how)
+        wanted = many.join(one, ["k"], how)
+        assert found.columns == wanted.columns and sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     found = {r["node"]: r["label"] for r in graph.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -84,10 +105,12 @@ def test_edit_budget_against_full_tables():
     rng = random.Random(4)
     for t in range(150):
         letters = "abcd efgh" if t % 2 else "ab "
-        item = "".join(rng.choice(letters) for _ in range(rng.randint(40, 90)))
+        item = "".join(rng.choice(letters) for _ in range(rng.randint(1, 90)))
         changed = list(item)
-        for _ in range(rng.randint(0, 14)):
-            at, kind = rng.randrange(len(changed)), rng.random()
+        for _ in range(rng.randint(0, 1 + len(item) // 6)):
+            at, kind = rng.randrange(len(changed) + 1), rng.random()
+            if at == len(changed):
+                continue
             if kind < 0.4:
                 changed[at] = rng.choice(letters)
             elif kind < 0.7:
@@ -96,9 +119,10 @@ def test_edit_budget_against_full_tables():
                 del changed[at]
         around = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(2)]
         text = around[0] + "".join(changed) + around[1]
-        known = contamination.Items([7], [item], 8, 0.1)
+        known = contamination.by_gram([7], [item], 8, 0.1)[0]
         found = known.find(contamination.code_points(text))
         wanted = distance(item, text)
+        assert known.budget[0] == len(item) // 10
         assert (found[0][1] if found else None) == (wanted if wanted <= known.budget[0] else None)
 
 
@@ -122,6 +146,18 @@ def test_contamination_in_blocks_and_with_odd_rows(spark, sf_dir):
     assert contamination.contaminated(df.limit(0), items).collect() == [] and contamination.contaminated(df, items.limit(0)).collect() == []
 
 
+def test_short_items_and_very_long_texts(spark):
+    rng = random.Random(31)
+    items = spark.createDataFrame([(1, "é"), (2, "Qz"), (3, "seven b"), (4, "a short item of 30 characters!"), (5, " \n\xa0"), (6, None), (7, "")], "item_id long, text string")
+    far = "".join(rng.choice("lmnop ") for _ in range(2_500_000))
+    docs = [(1, far + "A Short itXm of 30 chars!" + far[:99]), (2, far[: (1 << 20) - 3] + "seven B" + far[:50]), (3, "oqZo"), (4, "caf\u00c9"), (5, "seven  b"), *ODD[:2]]
+    found = contamination.contaminated(frame(spark, docs), items).collect()
+    assert sorted(tuple(r)[:3] for r in found) == [(2, 3, 0), (3, 2, 0), (4, 1, 0)]
+    docs[0] = (1, far + "A Short itXm of 30 characters" + far[:99])
+    found = {tuple(r)[:3]: tuple(r)[3:] for r in contamination.contaminated(frame(spark, docs), items).collect()}
+    assert (1, 4, 2) in found and abs(found[1, 4, 2][0] - len(far)) <= 2
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     words = mit.split()
