@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, in_slices, mix
@@ -87,27 +87,31 @@ def vote(x: np.ndarray, machines: list, n: int) -> tuple[np.ndarray, np.ndarray]
     return best, share[np.arange(len(x)), best] / max(1, n - 1) if n > 1 else np.ones(len(x))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, size: int = 1 << 13, c: float = 100.0, steps: int = 150) -> dict:
-    """The model from a sample of about ``per_lang`` rows of each language, chosen by a hash of the id (all rows where there are fewer).
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, size: int = 1 << 13, c: float = 100.0, steps: int = 150) -> dict:
+    """The model from a sample of about ``per_lang`` different texts of each language, and never over twice as many, chosen by a hash of the text (all where there are fewer).
 
-    Rows with a null text or language are left out. Only the sample's sparse vectors reach the driver: at most
-    ``per_lang`` x languages x ``size`` numbers, whatever the table's size and its texts' lengths."""
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    shares = {r["lang"]: min(1.0, per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    Rows with a null text or language are left out; an empty table gives a model that knows no language. Only the sample's
+    sparse vectors reach the driver: at most 2 x ``per_lang`` x languages x ``size`` numbers, whatever the table's size, its
+    texts' lengths and its copies."""
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    shares = {r["lang"]: min(1.0, per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     classes = sorted(shares)
     if not classes:
         return {"families": [], "langs": {}, "first": [], "within": {}, "size": size}
     share = F.create_map(*[F.lit(x) for k in classes for x in (k, shares[k])])[F.col("lang")]
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = rows.where(F.pmod(F.xxhash64("key", F.lit("pick")), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["key", "lang"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key", F.lit("pick")), "key"))
+    picked = picked.withColumn("nth", nth).where(F.col("nth") <= 2 * per_lang).drop("nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, rows=500):
             x = vectors(b.column("text"), size)
             at = [np.flatnonzero(r) for r in x]
-            out = [b.column("doc_id"), b.column("lang"), pa.array([i.astype(np.int32) for i in at], pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, at, strict=True)], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang", "at", "value"])
+            out = [b.column("key"), b.column("lang"), pa.array([i.astype(np.int32) for i in at], pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, at, strict=True)], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "lang", "at", "value"])
 
-    sample = picked.mapInArrow(run, "doc_id long, lang string, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    sample = picked.mapInArrow(run, "key long, lang string, at array<int>, value array<float>").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
     x = np.zeros((sample.num_rows, size), np.float32)
     at, values = sample.column("at").combine_chunks(), sample.column("value").combine_chunks()
     if sample.num_rows:
@@ -124,7 +128,8 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """doc_id, lang_pred and score (0 to 1) for every row, with the columns ``keep`` unchanged.
 
     ``und`` with score 0 where the text is null, empty or without a letter, or where the model knows no language. Repeated
-    rows stay. The text alone decides. Whole texts are read, a bounded slice at a time."""
+    rows stay, and an empty table gives no rows. The text alone decides; of families or languages with equal votes the one with
+    the larger sum of margins wins, then the first by name. Whole texts are read, a bounded slice or one very long text at a time."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x (languages + 1) weight vectors of ``size`` numbers
 
     wanted = [c for c in keep or [] if c != id_col]
@@ -157,5 +162,5 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
-    """True where crc32 of the id as text leaves no remainder."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == 0
+    """True where crc32 of the id as text leaves no remainder; a null id is an empty text, whose crc32 is 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds)) == 0
