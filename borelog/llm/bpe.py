@@ -229,7 +229,8 @@ def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh, cached: int)
     of, distinct = pd.factorize(span_hash(raw, start, end))
     first = np.zeros(len(distinct), np.int64)
     first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
-    if (size[first][of] != size).any():  # two parts with one hash
+    one = first[of]  # each part's first occurrence, held against it byte by byte: two parts may have one hash
+    if (size[one] != size).any() or (raw[np.repeat(start[one] - start, size) + np.arange(n)] != raw).any():
         careful[:] = True
     data = raw.tobytes()
     parts = [data[a:z].decode() for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)]
@@ -262,7 +263,8 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     """doc_id, n_tokens, ids (if ``with_ids``), ids_sha256 and decoded_sha256 of every row's whole text.
 
     A null text counts as empty (no ids, the digest of no bytes); repeated doc_ids and rows stay, one result each; other
-    columns are ignored. Each row is handled where it was read: no shuffle."""
+    columns are ignored; an empty table gives no rows. A very long text is encoded whole, in a task's memory of some tens of
+    times its bytes. Each row is handled where it was read: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary, pattern)
