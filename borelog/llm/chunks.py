@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, in_slices, mix, text_digest, texts
+from .common import as_bytes, cut, hot_keys, in_slices, meet, mix, row_tag, texts
 from .suffixes import KEYS, shrunk
 
 #: One 32-bit number for each byte value, from a rule.
@@ -74,15 +74,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
 
     A chunk is repeated if its digest occurs twice in the table; every chunk but its first occurrence goes, however short.
     A null text is empty; a chunk may repeat within a text; rows equal in id and text count as one document and keep what
-    is first in either; a null id stays null; an empty table gives no rows. ``least`` is 32 at least, the hash's window, so
+    is first in either; of documents with one id the least digest is first; a null id stays null and counts as -1 in the
+    order; an empty table gives no rows. A very long text is chunked whole, in a task's memory of some ten times its bytes. ``least`` is 32 at least, the hash's window, so
     that no cut depends on the text before."""
     if not WINDOW <= least <= most < 1 << 16:
         raise ValueError("sizes must be 32 <= least <= most < 65536")
-    rows = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), text_digest(F.col("text")).alias("tag"), "doc_id", "text")
+    rows = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), row_tag(F.col("doc_id"), F.col("text")).alias("tag"), "doc_id", "text")
     spark = df.sparkSession
     found = chunks(rows, bits, least, most)
-    twice = found.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "packed", "tag")).alias("one")).where("n > 1").select("g1", "g2", "one")
-    hits = found.join(twice, ["g1", "g2"]).select(*KEYS, "packed", (F.struct("doc", "packed", "tag") != F.col("one")).alias("later"))
+    twice = found.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "packed", "tag")).alias("one")).where("n > 1")
+    twice = cut(spark, twice, "chunks")
+    hits = meet(found, twice.select("g1", "g2", "one"), ["g1", "g2"], hot_keys(twice, ["g1", "g2"]), ["doc", "tag", "packed"]).select(*KEYS, "packed", (F.struct("doc", "packed", "tag") != F.col("one")).alias("later"))
     hits = cut(spark, hits.groupBy(*KEYS).agg(F.collect_set(F.struct("packed", "later")).alias("hits")), "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,9 +18,11 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session has none (as in tests on one machine) a folder in the warehouse is set."""
+    A session of one machine that has none (as in tests) gets a folder in its warehouse; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -33,6 +35,41 @@ def cut(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``cut`` wrote and that nothing will read again."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key of fewer rows is never dealt over several tasks.
+LEAST_HOT = 1000
+
+
+def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys whose number of rows ``n`` exceeds an even task's share, and in how many parts they are dealt; None if there is none.
+
+    Fewer keys than there are tasks can hold more than a task's share, so these rows may go through the driver and be broadcast."""
+    spark = counts.sparkSession
+    share = max(LEAST_HOT, (counts.agg(F.sum("n")).first()[0] or 0) // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    rows = hot.collect()
+    return spark.createDataFrame(rows, hot.schema) if rows else None
+
+
+def meet(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` on ``keys``; the rows of a hot key are dealt by a hash of the columns ``by``, and its rows of ``one`` go to every part.
+
+    An aggregate joined on its own key is not shuffled again, so Spark cannot split such a key by itself."""
+    if hot is None:
+        return many.join(one, keys, how)
+    hot = F.broadcast(hot)
+    many = many.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    one = one.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return many.join(one, [*keys, "_part"], how).drop("_part")
+
+
 def texts(df: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     """Two columns, ``doc_id`` and ``text`` (null: empty), and the named others, whatever else the table holds."""
     return df.select(*others, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -118,6 +155,31 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
+def row_tag(doc_id: Column, text: Column) -> Column:
+    """What tells rows with one id apart: whether the id is null (a byte), and the text's digest."""
+    return F.concat(F.when(doc_id.isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))), text_digest(text))
+
+
 def hash_pair(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes of the same columns: a 128-bit key."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of equal keys from rows that arrive sorted by them; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy() for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for s, e in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
+            key = tuple(int(c[s]) for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

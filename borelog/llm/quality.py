@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, hot_keys, meet, row_tag
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -79,15 +81,23 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     A line is removed if more than ``max_docs`` documents of its host hold it; a document is rejected if it fails the base
     rules or removed lines hold more than ``max_share`` of the characters of its lines. A null text has no words and fails; a
     null host is a host; rows that repeat get the same verdict each and count as documents each; other columns are
-    ignored; an empty table gives no rows. Lines are counted before they are shuffled, a document's own repeats once.
-    Only verdicts meet the documents again unless the text column is asked for."""
+    ignored; an empty table gives no rows; a very long text is one array of its words. Lines are counted before they are
+    shuffled, a document's own repeats once; a line of very many documents is dealt over tasks. Only verdicts meet the
+    documents again unless the text column is asked for."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
-    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-1))).withColumn("tag", F.xxhash64("text", "host"))
-    keys = F.transform(lines_with_a_word(F.col("text")), line_key)
-    common = docs.select("host", F.explode(F.array_distinct(keys)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "line")
-    sized = F.transform(lines_with_a_word(F.col("text")), lambda x: F.struct(line_key(x).alias("line"), F.length(x).alias("chars")))
-    lines = docs.select("doc", "tag", "host", F.explode(sized).alias("x")).select("doc", "tag", "host", "x.line", "x.chars")
-    lost = lines.join(common, ["host", "line"]).groupBy("doc", "tag").agg(F.sum("chars").alias("lost"), F.collect_set("line").alias("gone"))
+    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-1))).withColumn("tag", F.concat(row_tag(F.col("doc_id"), F.col("text")), F.col("host").cast("binary")))
+    sized = F.sort_array(F.transform(lines_with_a_word(F.col("text")), lambda x: F.struct(line_key(x).alias("line"), F.length(x).alias("chars"))))
+
+    def each(s: Column) -> Column:
+        """The sorted lines, each with whether it is the document's first with that key."""
+        return F.transform(s, lambda x, i: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), (F.coalesce(F.get(s, i - 1)["line"] != x["line"], F.lit(True))).alias("new")))
+
+    lines = docs.select("doc", "tag", "host", F.explode(let(sized, each)).alias("x")).select("doc", "tag", "host", "x.line", "x.chars", "x.new")
+    lines = cut(df.sparkSession, lines, "lines")
+    common = lines.groupBy("host", "line").agg(F.count(F.when(F.col("new"), 1)).alias("docs"), F.count("*").alias("n")).where(F.col("docs") > max_docs)
+    common = cut(df.sparkSession, common.select("host", "line", "n"), "common")
+    lost = meet(lines, common.select("host", "line"), ["host", "line"], hot_keys(common, ["host", "line"]), ["doc", "tag"])
+    lost = lost.groupBy("doc", "tag").agg(F.sum("chars").alias("lost"), F.collect_set("line").alias("gone"))
     base = docs.select("doc", "tag", "doc_id", "text", F.aggregate(lines_with_a_word(F.col("text")), F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), *[c.alias(k) for k, c in base_columns(F.col("text")).items()])
     out = base.join(lost, ["doc", "tag"], "left")
     same = F.count("*").over(Window.partitionBy("doc", "tag"))  # rows equal in id and text have lost the sum of all

@@ -6,12 +6,12 @@ begin at anchors are sorted, with the bytes before the anchor beside them. The s
 1. Each text's anchors, with a digest of the bytes that its windows cover (a segment); anchors whose leading bytes occur
    once are dropped by a semi-join against the counts.
 2. Equal segments are counted; all their windows repeat. Only leading bytes that go on in different ways are compared.
-3. One copy of each such segment is range-partitioned by its suffix (Spark samples the splitters), and each bucket sorts
-   its suffixes by multikey quicksort. Two windows are equal if they are in one class by the bytes from the anchor on and
-   in one class by the bytes before it.
-4. Splitters cut between leading bytes; only a group of more than GROUP segments is cut within. Its windows whose suffix
-   part equals that of a bucket's first or last suffix may have a partner in another bucket; one of each class is
-   compared across buckets by digest.
+3. One copy of each such segment is range-partitioned by its suffix (Spark samples the splitters). A bucket goes through
+   its suffixes in runs of whole groups of leading bytes, GROUP segments at most, and sorts each run by multikey
+   quicksort. Two windows are equal if they are in one class by the bytes from the anchor on and in one class by the
+   bytes before it.
+4. A group of more than GROUP segments is cut, within a bucket and by the splitters. Its windows whose suffix part equals
+   that of a run's first or last suffix may have a partner in another run; one of each class is compared by digest.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, pieces
-from .common import as_bytes, cut, in_slices, text_digest, texts
+from .common import as_bytes, cut, hot_keys, in_slices, meet, row_tag, texts
 
 KEYS = ["doc", "tag"]
-#: Segments with the same leading bytes that one bucket takes; larger groups are cut and compared across buckets.
-GROUP = 100_000
+#: Segments that a bucket sorts at a time, which bounds its memory; groups with more are cut and compared across the cuts.
+GROUP = 20_000
 
 
 def multikey_order(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,15 +74,40 @@ def padded(raw: np.ndarray, start: np.ndarray, lengths: np.ndarray, step: int, w
     return out
 
 
-def resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """One bucket's windows: runs (h, d, low, high) of distances from window start to anchor whose windows repeat in the
-    bucket, and a row (w1, w2) for each class that another bucket may hold, with (h, d, low) if it still needs an answer."""
+def in_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of equal ``h``, in the order they arrive, with at most ``most`` rows; a larger group comes in several."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def some(count: int) -> pa.Table:
+        nonlocal held, size
+        every = pa.Table.from_batches(held)
+        rest = every.slice(count)
+        held, size = rest.to_batches(), len(rest)
+        return every.slice(0, count)
+
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            held.append(b.slice(at, most))
+            size += held[-1].num_rows
+            while size > most:
+                h = np.concatenate([x.column("h").to_numpy() for x in held])
+                new = np.flatnonzero(h[1 : most + 1] != h[:most]) + 1
+                yield some(int(new[-1]) if len(new) else most)
+    if size:
+        yield some(size)
+
+
+def resolve(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+    for run in in_runs(batches, most):
+        yield from resolve_run(run, length)
+
+
+def resolve_run(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """One run's windows: stretches (h, d, low, high) of distances from window start to anchor whose windows repeat in the
+    run, and a row (w1, w2) for each class that another run may hold, with (h, d, low) if it still needs an answer."""
     import xxhash
 
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
     n = table.num_rows
     seg = table.column("seg").combine_chunks()
     raw, offsets = as_bytes(seg)
@@ -92,7 +117,7 @@ def resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     after, before = np.minimum(offsets[1:] - anchor, length), most
     order_r, shared_r = multikey_order(padded(raw, anchor, after, 1, length), after)
     order_l, shared_l = multikey_order(padded(raw, anchor - 1, before, -1, length), before)
-    edge = np.zeros(n, np.int64)  # bytes shared with the bucket's first or last suffix
+    edge = np.zeros(n, np.int64)  # bytes shared with the run's first or last suffix
     first, last = np.minimum.accumulate(np.r_[length, shared_r[1:]]), np.r_[np.minimum.accumulate(shared_r[:0:-1])[::-1], length]
     edge[order_r] = np.maximum(first, last)
     edge[~table.column("large").to_numpy(zero_copy_only=False)] = -1  # the whole group is here
@@ -194,25 +219,28 @@ def repeated_spans(rows: DataFrame, blobs: DataFrame, length: int, gram: int) ->
     """doc, tag and the spans (start, end) of windows that repeat, not merged yet."""
     spark = rows.sparkSession
     found = anchored(rows, length, gram)
-    common = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    members = cut(spark, found.join(common, "h", "left_semi"), "members")
+    common = cut(spark, found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    members = cut(spark, meet(found, common.select("h"), ["h"], hot_keys(common, ["h"]), ["doc", "tag", "packed"], "left_semi"), "members")
     kinds = cut(spark, members.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "packed")).alias("one")), "kinds")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", (F.col("k") > GROUP).alias("large"))
-    wanted = kinds.join(mixed, "h").groupBy(F.col("one.doc").alias("doc"), F.col("one.tag").alias("tag"))
-    wanted = wanted.agg(F.collect_list(F.struct("h", "d", "n", "large", F.col("one.packed").alias("packed"))).alias("wanted"))
+    mixed = cut(spark, kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
+    wanted = meet(kinds, mixed.select("h", (F.col("n") > GROUP).alias("large")), ["h"], hot_keys(mixed, ["h"]), ["d"])
+    wanted = wanted.groupBy(F.col("one.doc").alias("doc"), F.col("one.tag").alias("tag"))
+    wanted = cut(spark, wanted.agg(F.collect_list(F.struct("h", "d", "n", "large", F.col("one.packed").alias("packed"))).alias("wanted")), "wanted")
     # A text's wanted rows are bounded by its own length. Of rows equal in id and text one is read.
     segs = blobs.join(wanted, KEYS).select(*KEYS, "blob", "wanted").dropDuplicates(KEYS).select("blob", "wanted").mapInArrow(lambda it: segments(it, length), "h long, d long, n long, large boolean, most int, seg binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lead = F.expr(f"substring(seg, most + 1, if(large, {length}, {gram}))")
-    buckets = segs.repartitionByRange(n, lead, F.when(F.col("large"), F.col("d")))
-    answers = cut(spark, buckets.mapInArrow(lambda it: resolve(it, length), "w1 long, w2 long, h long, d long, low int, high int"), "answers")
+    lead, most = F.expr(f"substring(seg, most + 1, if(large, {length}, {gram}))"), GROUP
+    order = [lead, F.when(F.col("large"), F.col("d"))]
+    buckets = segs.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    answers = cut(spark, buckets.mapInArrow(lambda it: resolve(it, length, most), "w1 long, w2 long, h long, d long, low int, high int"), "answers")
     opened = answers.where("w1 is not null")
     twice = opened.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     across = opened.where("h is not null").join(twice, ["w1", "w2"], "left_semi").select("h", "d", "low", "high")
     single = answers.where("w1 is null").select("h", "d", "low", "high").union(across)
     copies = kinds.where("n > 1").select("h", "d", F.expr("int(one.packed & 255)").alias("low"), F.expr("int(shiftright(one.packed, 8) & 255)").alias("high"))
     runs = single.union(copies).groupBy("h", "d").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    hits = members.join(runs, ["h", "d"]).select(*KEYS, F.expr("shiftright(packed, 16)").alias("place"), F.explode("runs").alias("run"))
+    hits = meet(members, runs, ["h", "d"], hot_keys(kinds.select("h", "d", "n"), ["h", "d"]), ["doc", "tag", "packed"])
+    hits = hits.select(*KEYS, F.expr("shiftright(packed, 16)").alias("place"), F.explode("runs").alias("run"))
     return hits.select(*KEYS, (F.col("place") - F.col("run.high")).alias("start"), (F.col("place") - F.col("run.low") + length).alias("end"))
 
 
@@ -227,7 +255,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("gram must be a multiple of 8, and length from gram to gram + 223")
     rest = [F.struct(*[F.col(c) for c in keep]).alias("rest")] if keep else []
     rows = texts(df.select(F.col(id_col), F.col(text_col), *rest), id_col, text_col, *["rest"] * bool(keep))
-    rows = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), text_digest(F.col("text")).alias("tag"), "doc_id", "text", *["rest"] * bool(keep))
+    rows = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), row_tag(F.col("doc_id"), F.col("text")).alias("tag"), "doc_id", "text", *["rest"] * bool(keep))
     spark = df.sparkSession
     blobs = shrunk(rows)
     spans = repeated_spans(rows, blobs, length, gram).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "end")).alias("spans"))

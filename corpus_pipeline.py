@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borelog.llm import bpe, contamination, jaccard, language, suffixes
-from borelog.llm.common import cut, text_digest
+from borelog.llm.common import cut, row_tag, text_digest
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No single SQL statement expresses byte-pair encoding or the language model; tests/llm holds the rows against brute force.
@@ -28,7 +28,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = jaccard.near_duplicates(docs, with_row=True).where("label is not null")
     each = cut(spark, rows.groupBy("label", *key).agg(F.count("*").alias("n")), "classes")
     first = each.groupBy("label").agg(F.min(F.struct(*key)).alias("one")).select("one.*")
-    keyed = docs.withColumns({"doc": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "tag": text_digest(F.col("text"))})
+    keyed = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(jaccard.LAST)), "tag": row_tag(F.col("doc_id"), F.col("text"))})
     keyed = keyed.join(each.join(first, key, "left_anti").select(key), key, "left_anti")
     again = each.where("n > 1").join(first, key, "left_semi").select(key)
     return keyed.join(again, key, "left_anti").union(keyed.join(again, key, "left_semi").dropDuplicates(key)).select(COLUMNS)

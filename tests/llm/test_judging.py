@@ -74,6 +74,30 @@ def test_common_lines_go_and_depleted_documents_too(spark):
     assert quality.judge(frame(spark, docs).limit(0), host_col="host").collect() == []
 
 
+def test_quality_of_a_hot_line_and_a_very_long_text(spark, monkeypatch):
+    from borelog.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    words = " ".join(f"w{k}" for k in range(30))
+    docs = [(i, f"Menu\n{words} {i}\nmenu") for i in range(60)] + [(900, "\n".join(f"line {k} of a long text" for k in range(40_000)) + "\nMenu")]
+    by = {r["doc_id"]: r for r in quality.judge(frame(spark, docs), host_col="host").collect()}
+    assert len(by) == 61 and all(by[i]["n_removed"] == 8 and by[i]["kept"] for i in range(60))
+    assert by[900]["n_removed"] == 4 and by[900]["n_words"] == 240_001 and by[900]["text"].endswith("39999 of a long text")
+
+
+def test_language_ties_null_ids_and_copies(spark):
+    import numpy as np
+
+    docs = [(i, "the and of " * 9, "en") for i in range(400)] + [(1000 + i, f"der und die {i}", "de") for i in range(30)] + [(None, "le et la", "fr"), (None, "le et la", "fr")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert language.fit(rows, per_lang=20)["families"] == ["germanic", "romance"]
+    assert rows.where("doc_id is null").select(language.held_out().alias("h")).distinct().collect()[0]["h"] is True
+    best, share = language.vote(np.zeros((2, 4), np.float32), [(0, 1, np.zeros(5, np.float32))], 2)
+    assert best.tolist() == [0, 0] and share.tolist() == [0.5, 0.5]
+    long = spark.createDataFrame([(1, "der und die nicht " * 200_000), (2, "x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(long, language.fit(rows)).collect()}[1] == "de"
+
+
 def test_language_on_held_out_rows(spark, sf_dir):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     rows = [r for r in queries.op10_language(spark, sf_dir).collect() if r["held_out"]]
@@ -122,6 +146,23 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 
+def test_pipeline_of_an_empty_table_and_of_null_texts(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc string, tag int"
+    spark.createDataFrame([(0, "an item that nothing holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "the house of the lord", "en", "s", 1, "x", 1), (2, None, "en", "s", 0, "x", 1), (3, "", None, None, None, "x", 1), (4, "das haus und der hof " * 5, "de", "s", 1, "x", 1), (None, None, None, None, None, None, None)]
+    for rows in (spark.createDataFrame([], schema), spark.createDataFrame(docs, schema)):
+        now = rows
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path)).collect()
+            if name != "encoding":
+                now = spark.createDataFrame(out, "doc_id long, text string, lang string, source string, n_chars long")
+        assert {r["doc_id"] for r in out} <= {1, 4}
+    # A null text passes every stage but the first by itself.
+    one = spark.createDataFrame([docs[1][:5]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [len(stage(spark, one, str(tmp_path)).collect()) for _, stage in pipeline.STAGES] == [0, 1, 1, 1, 1]
+
+
 def test_pipeline_runs(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert pipeline.run(spark, sf_dir).count() > 100

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from borelog.llm import chunks, queries, suffixes
+from borelog.llm import chunks, common, queries, suffixes
 
 from .helpers import ODD, documents, frame
 
@@ -44,6 +44,7 @@ def mixed(seed):
 @pytest.mark.parametrize("group", [100_000, 3])
 def test_suffixes_against_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(suffixes, "GROUP", group)
+    monkeypatch.setattr(common, "LEAST_HOT", 1000 if group > 3 else 2)
     docs = mixed(5)
     found = queries.removed(suffixes.remove_repeats(frame(spark, docs)))
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
@@ -148,6 +149,49 @@ def test_texts_with_one_short_hash_stay_apart(spark, id_):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
 
 
+def brute_chunks(docs):
+    """Chunks cut byte by byte by the definition of the rolling hash; of equal ones the first in the order of documents stays."""
+    rows, seen = [], {}
+    for doc, text in docs:
+        data, pos, own = (text or "").encode(), 0, []
+        while pos < len(data):
+            end = min(pos + 256, len(data))
+            for at in range(pos + 32, end):
+                h = 0
+                for b in data[max(0, at - 32) : at]:
+                    h = ((h << 1) + int(chunks.GEAR[b])) & 0xFFFFFFFF
+                if h >> 27 == 0:
+                    end = at
+                    break
+            own.append((pos, end))
+            pos = end
+        rows.append((-1 if doc is None else doc, doc is not None, hashlib.md5(data).digest(), doc, data, own))
+    for d, some, digest, _, data, own in rows:
+        for a, z in own:
+            one = (d, a << 16 | z - a, (some, digest))
+            seen[data[a:z]] = min(seen.get(data[a:z], (one, 0))[0], one), seen.get(data[a:z], (0, 0))[1] + 1
+    out = []
+    for d, some, digest, doc, data, own in rows:
+        kept = b"".join(data[a:z] for a, z in own if seen[data[a:z]][0] == (d, a << 16 | z - a, (some, digest)))
+        out.append((doc, len(data), len(data) - len(kept), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least_hot", [1000, 2])
+def test_chunks_against_brute_force(spark, monkeypatch, least_hot):
+    monkeypatch.setattr(common, "LEAST_HOT", least_hot)
+    docs = [*mixed(15), (-1, mixed(15)[4][1]), (None, mixed(15)[4][1]), *[(700 + i, mixed(15)[5][1]) for i in range(20)]]
+    found = queries.removed(chunks.dedup(frame(spark, docs))).drop("n_spans").collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_chunks(docs)
+
+
+def test_chunks_of_very_long_texts(spark):
+    rng = random.Random(16)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(3_000_000))
+    found = {r["doc_id"]: r for r in chunks.dedup(frame(spark, [(1, long), (2, "new " + long), (3, "z" * 2_000_000)])).collect()}
+    assert not found[1]["spans"] and len(found[2]["kept"]) < 600 and len(found[3]["kept"]) <= 512
+
+
 def test_chunks_find_short_copies(spark):
     rng = random.Random(14)
     line = "".join(rng.choice("abcdefghij ") for _ in range(90))
