@@ -7,10 +7,10 @@ begin at anchors are sorted, with the bytes before the anchor beside them. The s
    once are dropped by a semi-join against the counts.
 2. Equal segments are counted; all their windows repeat. Only leading bytes that go on in different ways are compared.
 3. One copy of each such segment is range-partitioned by its suffix (Spark samples the splitters). A bucket goes through
-   its suffixes in runs of whole groups of leading bytes, GROUP segments at most, and sorts each run by multikey
+   its suffixes in runs of whole groups of leading bytes, RUN segments at most, and sorts each run by multikey
    quicksort. Two windows are equal if they are in one class by the bytes from the anchor on and in one class by the
    bytes before it.
-4. A group of more than GROUP segments is cut, within a bucket and by the splitters. Its windows whose suffix part equals
+4. A group of more than GROUP segments may be cut, within a bucket and by the splitters. Its windows whose suffix part equals
    that of a run's first or last suffix may have a partner in another run; one of each class is compared by digest.
 """
 
@@ -27,8 +27,9 @@ from .anchors import anchors, pieces
 from .common import as_bytes, cut, hot_keys, in_slices, meet, row_tag, texts
 
 KEYS = ["doc", "tag"]
-#: Segments that a bucket sorts at a time, which bounds its memory; groups with more are cut and compared across the cuts.
-GROUP = 20_000
+#: Segments that a bucket sorts at a time, which bounds its memory, and the most that one group keeps together: larger
+#: groups are ordered by whole suffixes, and may be cut and compared across the cuts.
+RUN, GROUP = 20_000, 500
 
 
 def multikey_order(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +230,7 @@ def repeated_spans(rows: DataFrame, blobs: DataFrame, length: int, gram: int) ->
     # A text's wanted rows are bounded by its own length. Of rows equal in id and text one is read.
     segs = blobs.join(wanted, KEYS).select(*KEYS, "blob", "wanted").dropDuplicates(KEYS).select("blob", "wanted").mapInArrow(lambda it: segments(it, length), "h long, d long, n long, large boolean, most int, seg binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lead, most = F.expr(f"substring(seg, most + 1, if(large, {length}, {gram}))"), GROUP
+    lead, most = F.expr(f"substring(seg, most + 1, if(large, {length}, {gram}))"), max(RUN, GROUP)
     order = [lead, F.when(F.col("large"), F.col("d"))]
     buckets = segs.repartitionByRange(n, *order).sortWithinPartitions(*order)
     answers = cut(spark, buckets.mapInArrow(lambda it: resolve(it, length, most), "w1 long, w2 long, h long, d long, low int, high int"), "answers")
