@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_sorted_batches(df: DataFrame, by: list[str], order: list[str], step: Callable, schema) -> DataFrame:
+    """Each key's rows in order, a batch at a time, through ``step(rows, state)``, which gives rows and the state for the next batch.
+
+    State is None where a key begins. A key's rows are never gathered."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for frame in frames:
+            for _, rows in frame.groupby(by, sort=False, dropna=False):
+                key = [None if pd.isna(x) else x for x in rows.iloc[0][by]]
+                out, state = step(rows, state if key == last else None)
+                last = key
+                if len(out):
+                    yield out
+
+    return df.repartition(n, *by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def top_n(df: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:
     """The first ``n`` rows of each group, with their ``rank``."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
@@ -53,33 +75,34 @@ def merge_short_runs(df: DataFrame, key: str, top: str, base: str, value: str, l
 def greedy_keep(df: DataFrame, by: list[str], at: str, order: list[str], within: float) -> DataFrame:
     """Rows kept in order, each unless it lies within ``within`` of one that was kept before it."""
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        held: list[float] = []
-        mask = []
+    def keep(rows: pd.DataFrame, held: list[float] | None) -> tuple[pd.DataFrame, list[float]]:
+        held, mask = held or [], []
         for x in rows[at].tolist():
-            ok = all(abs(x - h) > within for h in held)
-            mask.append(ok)
-            if ok:
-                held.append(x)
-        return rows[mask]
+            place = bisect(held, x)  # only the neighbours among those kept can be near
+            mask.append(all(abs(x - h) > within for h in held[max(0, place - 1) : place + 1]))
+            if mask[-1]:
+                held.insert(place, x)
+        return rows[mask], held
 
-    return df.groupBy(*by).applyInPandas(keep, df.schema)
+    return in_sorted_batches(df, by, order, keep, df.schema)
 
 
 def cusum(df: DataFrame, key: str, order: list[str], x: str, k: float = 0.5, h: float = 5.0) -> DataFrame:
-    """Two-sided CUSUM of ``x``: low and high sums after each row, and the alarm, a drop before a rise; the side that alarms starts anew."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(x).alias("x"))))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast("array<struct<up:double,down:double,alarm:string>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        up, down = F.greatest(F.lit(0.0), s["up"] + r["x"] - k), F.greatest(F.lit(0.0), s["down"] - r["x"] - k)
-        alarm = F.when(down > h, "possible_losses").when(up > h, "possible_influx")
-        row = F.struct(up.alias("up"), down.alias("down"), alarm.alias("alarm"))
-        return F.struct(F.when((up > h) & (down <= h), 0.0).otherwise(up).alias("up"), F.when(down > h, 0.0).otherwise(down).alias("down"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = df.groupBy(key).agg(rows.alias("rows")).withColumn("out", F.aggregate("rows", start, step)["out"])
-    return folded.select(key, F.explode(F.arrays_zip("rows", "out")).alias("z")).select(key, *[F.col(f"z.rows.{c}") for c in order], F.col("z.rows.x").alias(x), "z.out.up", "z.out.down", "z.out.alarm")
+    """Two-sided CUSUM of ``x``: high and low sums after each row, and the alarm, a drop before a rise; the side that alarms starts anew."""
+
+    def fold(rows: pd.DataFrame, sums: tuple[float, float] | None) -> tuple[pd.DataFrame, tuple[float, float]]:
+        high, low = sums or (0.0, 0.0)
+        out = []
+        for v in rows[x].tolist():
+            high, low = max(0.0, high + v - k), max(0.0, low - v - k)
+            out.append((high, low, "possible_losses" if low > h else "possible_influx" if high > h else None))
+            high, low = 0.0 if low <= h < high else high, 0.0 if low > h else low
+        sums = pd.DataFrame(out, columns=["up", "down", "alarm"], index=rows.index)
+        return pd.concat([rows, sums], axis=1), (high, low)
+
+    rows = df.select(key, *order, x)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return in_sorted_batches(rows, [key], order, fold, f"{schema}, up double, down double, alarm string")
 
 
 def middle(a: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hazards, passages, records, reviews, signals
+from . import checks, hazards, passages, records, reviews, signals
 
-MODULES = (records, hazards, signals, passages, reviews)
+MODULES = (records, hazards, signals, passages, reviews, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,21 +79,12 @@ def inferred_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("common_formations", "top", "well", sql="""
-SELECT country, formation FROM top JOIN well USING (well_id) WHERE well_id % 25 = 0 GROUP BY 1, 2
-HAVING count(DISTINCT well_id) = (SELECT count(DISTINCT w.well_id) FROM well w JOIN top t ON t.well_id = w.well_id WHERE w.well_id % 25 = 0 AND w.country = well.country)
+SELECT country, formation FROM top JOIN well USING (well_id) GROUP BY 1, 2
+HAVING count(DISTINCT well_id) = (SELECT count(DISTINCT w.well_id) FROM well w JOIN top t ON t.well_id = w.well_id WHERE w.country = well.country)
 """)
 def common_formations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers that all shown wells of a country have; shown are the wells whose id divides by 25, as its SQL asks. common_formations_all takes all."""
-    return held_by_all(spark, sf_dir, b.tops(spark, sf_dir).where("well_id % 25 = 0"))
-
-
-@query("common_formations_all")
-def common_formations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers that all wells of a country have, over the whole table."""
-    return held_by_all(spark, sf_dir, b.tops(spark, sf_dir))
-
-
-def held_by_all(spark: SparkSession, sf_dir: str, tops: DataFrame) -> DataFrame:
+    """Layers that all wells of a country have."""
+    tops = b.tops(spark, sf_dir)
     shown = tops.join(b.wells(spark, sf_dir).select("well_id", "country"), "well_id")
     every = shown.groupBy("country").agg(F.countDistinct("well_id").alias("n"))
     return shown.groupBy("country", "formation").agg(F.countDistinct("well_id").alias("k")).join(every, "country").where("k = n").select("country", "formation")

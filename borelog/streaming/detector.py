@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,108 +11,150 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CHANNELS = ("torque", "spp", "hookload", "dpit")
+from borelog.operators.sequences import in_sorted_batches
+
+#: The channels that are judged by themselves, and the two signals of the pit's volume.
+CHANNELS = ("torque", "spp", "hookload")
+LOSSES, INFLUX = "possible_losses", "possible_influx"
 OUT = "well_id long, t timestamp, channels array<string>, signal string, stale boolean"
-STATE = "buffers array<array<double>>, last_pit double, up double, down double, streaks array<int>, last_t double"
-
-
-class Detector:
-    """One well's detector: robust z on each channel, CUSUM on the pit's change. Samples without circulation neither count nor are kept."""
-
-    def __init__(self, state: tuple | None = None, size: int = 60, least: int = 20, limit: float = 3.5, persist: int = 3, k: float = 0.5, h: float = 5.0, min_flow: float = 100.0):
-        self.size, self.least, self.limit, self.persist, self.k, self.h, self.min_flow = size, least, limit, persist, k, h, min_flow
-        self.buffers, self.last_pit, self.up, self.down, self.streaks, self.last_t = state or ([[] for _ in CHANNELS], None, 0.0, 0.0, [0] * len(CHANNELS), 0.0)
-        self.buffers, self.streaks = [list(b) for b in self.buffers], list(self.streaks)
-
-    def state(self) -> tuple:
-        return (self.buffers, self.last_pit, self.up, self.down, self.streaks, self.last_t)
-
-    @staticmethod
-    def spread(values: list[float]) -> tuple[float, float]:
-        middle = float(np.median(values))
-        return middle, float(np.median(np.abs(np.array(values) - middle))) * 1.4826
-
-    def update(self, sample: dict) -> tuple[list[str], str | None]:
-        """The channels that trigger and the pit's signal."""
-        pit = sample.get("pit_vol")
-        flowing = (sample.get("flow_in") or 0) >= self.min_flow
-        change = pit - self.last_pit if flowing and pit is not None and self.last_pit is not None else None
-        self.last_pit = self.last_pit if pit is None else pit
-        if not flowing:
-            self.streaks = [0] * len(CHANNELS)
-            return [], None
-        hit: list[str] = []
-        for i, name in enumerate(CHANNELS):
-            value = change if name == "dpit" else sample.get(name)
-            if value is None:
-                continue
-            held = self.buffers[i]
-            middle, spread = self.spread(held) if len(held) >= self.least else (0.0, 0.0)
-            if spread > 1e-9:
-                far = name != "dpit" and abs(value - middle) / spread >= self.limit
-                self.streaks[i] = self.streaks[i] + 1 if far else 0
-                if self.streaks[i] >= self.persist:
-                    hit.append(name)
-            self.buffers[i] = [*held, value][-self.size :]
-        return self.pit_signal(change, hit)
-
-    def pit_signal(self, change: float | None, hit: list[str]) -> tuple[list[str], str | None]:
-        held = self.buffers[CHANNELS.index("dpit")]
-        if change is None or len(held) < self.least:
-            return hit, None
-        middle, spread = self.spread(held)
-        x = (change - middle) / (spread or 1e-6)
-        self.up, self.down = max(0.0, self.up + x - self.k), max(0.0, self.down - x - self.k)
-        if self.down > self.h:
-            self.down = 0.0
-            return [*hit, "pit volume (sustained drop)"], "possible_losses"
-        if self.up > self.h:
-            self.up = 0.0
-            return [*hit, "pit volume (sustained gain)"], "possible_influx"
-        return hit, None
-
-
-def detect(samples: DataFrame, watermark: str | None = "10 minutes", stale_ms: int = 120_000, **settings) -> DataFrame:
+STATE = "tails array<array<double>>, runs array<int>, pit double, sums array<double>, seen double"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How many values a channel is judged by, how far off is far, for how many samples, and the slack and limit of the pit's sums."""
+
+    held: int = 60
+    least: int = 20
+    far: float = 3.5
+    persist: int = 3
+    slack: float = 0.5
+    alarm: float = 5.0
+    min_flow: float = 100.0
+
+
+def scores(tail: np.ndarray, values: np.ndarray, limits: Limits) -> np.ndarray:
+    """The robust z of each value against up to ``held`` values before it (``tail`` comes before the first); NaN while these are too few or do not vary."""
+    every = np.concatenate([np.full(limits.held - len(tail), np.nan), tail, values])
+    before = np.lib.stride_tricks.sliding_window_view(every, limits.held)[: len(values)]
+    out = np.full(len(values), np.nan)
+    known = np.flatnonzero((~np.isnan(before)).sum(1) >= limits.least)
+    for part in np.array_split(known, len(known) // 20_000 + 1):
+        if len(part):
+            middle = np.nanmedian(before[part], axis=1)
+            spread = 1.4826 * np.nanmedian(np.abs(before[part] - middle[:, None]), axis=1)
+            out[part] = np.where(spread > 1e-9, (values[part] - middle) / np.where(spread > 1e-9, spread, 1), np.nan)
+    return out
+
+
+def run_lengths(far: np.ndarray, ends: np.ndarray, before: int) -> np.ndarray:
+    """At each place how many ``far`` there are since the last end of a run, which goes before it; ``before`` came earlier."""
+    total = np.cumsum(far)
+    base = np.maximum.accumulate(np.where(ends, total - far, -before))
+    return total - base
+
+
+def sum_alarms(x: np.ndarray, sums: list[float], limits: Limits) -> tuple[np.ndarray, list[float]]:
+    """-1 where the sum of drops passes the alarm, 1 where that of gains does, else 0; and both sums at the end.
+
+    A sum that is never below zero is the plain sum less its least value so far. The one that passes starts anew."""
+    out = np.zeros(len(x), np.int8)
+    state = {-1: sums[0], 1: sums[1]}
+    at = {-1: 0, 1: 0}
+    paths = {}
+
+    def go(sign: int) -> int:
+        """Where the sum of one sign passes next, if at all."""
+        path = np.concatenate([[state[sign]], sign * x[at[sign] :] - limits.slack]).cumsum()
+        paths[sign] = (path - np.minimum(np.minimum.accumulate(path), 0))[1:]
+        passed = np.flatnonzero(paths[sign] > limits.alarm)
+        return at[sign] + int(passed[0]) if len(passed) else len(x)
+
+    nexts = {sign: go(sign) for sign in (-1, 1)}
+    while (first := min(nexts.values())) < len(x):
+        sign = -1 if nexts[-1] == first else 1
+        if not out[first]:
+            out[first] = sign
+            state[sign], at[sign] = 0.0, first + 1
+            nexts[sign] = go(sign)
+        else:  # both pass at once: drops are told, gains keep their sum and pass again at the next sample that leaves them above
+            state[sign], at[sign] = float(paths[sign][first - at[sign]]), first + 1
+            nexts[sign] = go(sign)
+    return out, [float(paths[s][-1]) if len(paths[s]) else state[s] for s in (-1, 1)]
+
+
+def judge(rows: pd.DataFrame, state: tuple | None, limits: Limits) -> tuple[pd.DataFrame, tuple]:
+    """The samples of one well, in order of time, that are abnormal, and the state after them; the state's size is fixed.
+
+    Samples without circulation are no evidence and are not held: they only end runs and tell the pit's volume. A channel's
+    missing value leaves its run as it is."""
+    tails, runs, pit, sums, seen = state or ([[]] * (len(CHANNELS) + 1), [0] * len(CHANNELS), None, [0.0, 0.0], 0.0)
+    rows = rows.sort_values("t", kind="stable").reset_index(drop=True)
+    flow = rows["flow_in"].to_numpy(float, na_value=np.nan)
+    on = np.nan_to_num(flow) >= limits.min_flow
+    hits = np.zeros((len(rows), len(CHANNELS)), bool)
+    new_tails, new_runs = [], []
+    for k, name in enumerate(CHANNELS):
+        value = rows[name].to_numpy(float, na_value=np.nan)
+        used = on & ~np.isnan(value)
+        z = np.full(len(rows), np.nan)
+        z[used] = scores(np.array(tails[k], float), value[used], limits)
+        far = np.nan_to_num(np.abs(z)) >= limits.far
+        length = run_lengths(far.astype(np.int64), ~on | (~np.isnan(z) & ~far), runs[k])
+        hits[:, k] = far & (length >= limits.persist)
+        new_tails.append([*tails[k], *value[used][-limits.held :].tolist()][-limits.held :])
+        new_runs.append(int(length[-1]) if len(rows) else runs[k])
+    volume = rows["pit_vol"].astype(float)
+    before = volume.ffill().shift(fill_value=np.nan)
+    before = before.fillna(np.nan if pit is None else pit).to_numpy()
+    change = np.where(on, volume.to_numpy() - before, np.nan)
+    used = ~np.isnan(change)
+    held = np.array(tails[-1], float)
+    x = scores(held, change[used], limits)
+    ready = np.arange(len(held), len(held) + len(x)) >= limits.least
+    # Values that do not vary have no spread; any change is then beyond measure.
+    base = np.concatenate([held, change[used]])
+    for i in np.flatnonzero(ready & np.isnan(x)):
+        at = len(held) + i
+        x[i] = (base[at] - np.median(base[max(0, at - limits.held) : at])) / 1e-6
+    signs, sums = sum_alarms(x[ready], sums, limits)
+    sign = np.zeros(len(rows), np.int8)
+    sign[np.flatnonzero(used)[ready]] = signs
+    new_tails.append([*tails[-1], *change[used][-limits.held :].tolist()][-limits.held :])
+    told = volume.dropna()
+    pit = float(told.iloc[-1]) if len(told) else pit
+    some = np.flatnonzero(hits.any(1) | (sign != 0))
+    named = [[*np.array(CHANNELS)[hits[i]].tolist(), *["pit_vol"] * bool(sign[i])] for i in some]
+    signal = [{-1: LOSSES, 1: INFLUX}.get(int(sign[i])) for i in some]
+    out = pd.DataFrame({"well_id": rows["well_id"].to_numpy()[some], "t": rows["t"].to_numpy()[some], "channels": named, "signal": pd.Series(signal, dtype=object), "stale": False})
+    seen = rows["t"].iloc[-1].timestamp() if len(rows) else seen
+    return out, (new_tails, new_runs, pit, sums, seen)
+
+
+def detect(samples: DataFrame, watermark: str | None = "10 minutes", stale_ms: int = 120_000, limits: Limits = Limits()) -> DataFrame:
     """A stream of anomalies from a stream of samples (well_id, t, torque, spp, hookload, pit_vol, flow_in).
 
-    State is kept for each well: bounded buffers, sums and streaks. A well that is silent for ``stale_ms`` gets a stale row and
-    its state is dropped. Rows of a batch are taken in order of time."""
+    State is kept for each well: bounded tails, sums and runs. A well that is silent for ``stale_ms`` gets a stale row and
+    its state is dropped. Rows of a batch are taken in order of time, all at once."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            last = state.get[5]
+            last = state.get[4]
             state.remove()
             yield pd.DataFrame({"well_id": [key[0]], "t": [pd.Timestamp(last, unit="s")], "channels": [[]], "signal": [None], "stale": [True]})
             return
-        rows = pd.concat(list(frames)).sort_values("t")
-        d = Detector(state.get if state.exists else None, **settings)
-        out = []
-        for r in rows.to_dict("records"):
-            t = r["t"]
-            channels, signal = d.update({k: None if v is None or pd.isna(v) else float(v) for k, v in r.items() if k not in ("well_id", "t")})
-            d.last_t = t.timestamp()
-            if channels or signal:
-                out.append((key[0], t, channels, signal, False))
-        state.update(d.state())
+        out, after = judge(pd.concat(list(frames)), state.get if state.exists else None, limits)
+        state.update(after)
         state.setTimeoutDuration(stale_ms)
-        yield pd.DataFrame(out, columns=["well_id", "t", "channels", "signal", "stale"])
+        yield out
 
     rows = samples.withWatermark("t", watermark) if watermark else samples
     return rows.groupBy("well_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def detect_batch(samples: DataFrame, **settings) -> DataFrame:
-    """The same over a table, a well at a time."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        d, out = Detector(**settings), []
-        for r in rows.sort_values("t").to_dict("records"):
-            channels, signal = d.update({k: None if v is None or pd.isna(v) else float(v) for k, v in r.items() if k not in ("well_id", "t")})
-            if channels or signal:
-                out.append((r["well_id"], r["t"], channels, signal, False))
-        return pd.DataFrame(out, columns=["well_id", "t", "channels", "signal", "stale"])
-
-    return samples.groupBy("well_id").applyInPandas(run, OUT)
+def detect_batch(samples: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same over a table, in sorted Arrow batches: a well's samples are never gathered, its state goes from batch to batch."""
+    return in_sorted_batches(samples, ["well_id"], ["t"], lambda rows, state: judge(rows, state, limits), OUT)
 
 
 #: Which problems an anomaly of a channel or signal points to.
@@ -132,16 +175,14 @@ def look_ahead(samples: DataFrame, layers: DataFrame, reach: float = 150.0, aler
 def cool_down(alerts: DataFrame, seconds: float = 120.0) -> DataFrame:
     """Alerts (well_id, hazard, formation, level, t) without those that come within ``seconds`` of the last one kept of their kind."""
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        last, mask = None, []
+    def keep(rows: pd.DataFrame, last: pd.Timestamp | None) -> tuple[pd.DataFrame, pd.Timestamp]:
+        mask = []
         for t in rows["t"]:
-            ok = last is None or (t - last).total_seconds() >= seconds
-            last = t if ok else last
-            mask.append(ok)
-        return rows[mask]
+            mask.append(last is None or (t - last).total_seconds() >= seconds)
+            last = t if mask[-1] else last
+        return rows[mask], last
 
-    return alerts.groupBy("well_id", "hazard", "formation", "level").applyInPandas(keep, alerts.schema)
+    return in_sorted_batches(alerts, ["well_id", "hazard", "formation", "level"], ["t"], keep, alerts.schema)
 
 
 def minute_medians(samples: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -151,13 +192,11 @@ def minute_medians(samples: DataFrame, watermark: str = "10 minutes") -> DataFra
 def moved(samples: DataFrame, metres: float = 1.0) -> DataFrame:
     """Samples (well_id, t, md_m, ...) at which the bit is ``metres`` or more from where it was assessed last: those to assess again."""
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        last, mask = None, []
+    def keep(rows: pd.DataFrame, last: float | None) -> tuple[pd.DataFrame, float | None]:
+        mask = []
         for md in rows["md_m"]:
-            ok = not pd.isna(md) and (last is None or abs(md - last) >= metres)
-            last = md if ok else last
-            mask.append(ok)
-        return rows[mask]
+            mask.append(not pd.isna(md) and (last is None or abs(md - last) >= metres))
+            last = md if mask[-1] else last
+        return rows[mask], last
 
-    return samples.groupBy("well_id").applyInPandas(keep, samples.schema)
+    return in_sorted_batches(samples, ["well_id"], ["t"], keep, samples.schema)

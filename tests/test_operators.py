@@ -107,3 +107,47 @@ def test_vector_search_against_brute_force(spark):
         s[q] = -np.inf
         wanted = sorted(range(120), key=lambda i: (-s[i], i))[:5]
         assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == wanted
+
+
+def test_quotes_of_any_length_against_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(99, None), (98, "")]
+    quotes = [(i, docs[i][1][rng.randint(0, 9) :][: rng.randint(1, 40)]) for i in range(40)] + [(70, "a"), (71, "ab c"), (72, ""), (73, "zz")]
+    found = search.verbatim(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string"), "doc_id", "quote_id")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((d, q) for d, t in docs for q, x in quotes if t and x and x in t)
+
+
+def test_depths_and_actions(spark):
+    texts = ["Losses at 1500 m (4921 ft), another 40 m to go.", "Casing at 9 5/8 in set 12,000 ft, 30 m above TD 3700 m", "Rate 30 m/hr, 5 m3 lost", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [[(d["at"], d["md"]) for d in r[0] or []] for r in rows.select(extraction.depths(F.col("text"))).collect()]
+    assert found == [[(11, 1500.0)], [(24, 3657.6), (49, 3700.0)], [], []]
+    said = rows.limit(1).select(extraction.mentions(F.lit("Reamed and pumped LCM, then POOH."))).first()[0]
+    assert [(m["action"], m["said"]) for m in said] == [("lcm_pill", "LCM"), ("pooh", "POOH"), ("ream_backream", "Reamed")]
+
+
+def test_cusum_and_greedy_folds_over_many_batches(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, i, rng.gauss(0, 1.5)) for k in range(3) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        df = spark.createDataFrame(rows, "k long, i long, x double")
+        found = {(r["k"], r["i"]): (r["up"], r["down"], r["alarm"]) for r in sequences.cusum(df, "k", ["i"], "x").collect()}
+        kept = {(r["k"], r["i"]) for r in sequences.greedy_keep(df, ["k"], "x", ["i"], 0.4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(3):
+        up = down = 0.0
+        held = []
+        for _, i, x in rows[400 * k : 400 * k + 400]:
+            up, down = max(0.0, up + x - 0.5), max(0.0, down - x - 0.5)
+            alarm = "possible_losses" if down > 5 else "possible_influx" if up > 5 else None
+            assert found[k, i] == (up, down, alarm)
+            up, down = 0.0 if alarm == "possible_influx" else up, 0.0 if alarm == "possible_losses" else down
+            assert ((k, i) in kept) == all(abs(x - h) > 0.4 for h in held)
+            held += [x] * ((k, i) in kept)

@@ -67,22 +67,3 @@ def test_credible_intervals_hold_their_share(spark, sf_dir):
         assert np.allclose(beta_cdf(x, a, b), q, atol=1e-9)
         assert np.allclose(x[:2], q ** (1 / a[:2]))
         assert np.allclose(x, 1 - beta_quantiles(1 - q, b, a), atol=1e-9)
-
-
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf", "common_formations"])
-def test_whole_tables_against_sql_without_its_filter(spark, sf_dir, tmp_path, name):
-    con = duckdb.connect()
-    for t in TABLES:
-        moved = "SELECT * REPLACE (item_id + 25 AS item_id)" if t == "benchmark" else "SELECT *"
-        con.execute(f"COPY ({moved} FROM read_parquet('{sf_dir}/{t}.parquet')) TO '{tmp_path}/{t}.parquet'")
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
-    sql = registry.oracle_sql()[name]
-    whole = sql.replace(" WHERE item_id < 40", "").replace("WHERE well_id % 25 = 0 GROUP", "GROUP").replace("w.well_id % 25 = 0 AND ", "")
-    assert whole != sql and "item_id < 40" not in whole and "% 25 = 0" not in whole
-    df = registry.queries()[name + "_all"](spark, str(tmp_path))
-    cols = sorted(df.columns)
-    found = in_order(df.select(*cols).collect())
-    assert found and found == in_order(con.execute(f"SELECT {', '.join(cols)} FROM ({whole})").fetchall())
-    if "item_id" in cols:
-        at = cols.index("item_id")
-        assert {r[at] for r in found} == {r[0] for r in con.execute("SELECT item_id FROM benchmark").fetchall()} and max(r[at] for r in found) >= 40

@@ -39,6 +39,68 @@ def test_stream_equals_batch(spark, tmp_path):
     assert live == sorted((r["t"], tuple(r["channels"]), r["signal"]) for r in detector.detect_batch(data).collect())
 
 
+def by_definition(rows, limits):
+    """The detector sample by sample."""
+    import statistics
+
+    def z(held, v):
+        if len(held) < limits.least:
+            return None
+        m = statistics.median(held)
+        d = 1.4826 * statistics.median([abs(x - m) for x in held])
+        return (v - m) / d if d > 1e-9 else None
+
+    names = [*detector.CHANNELS]
+    held, runs, last, low, high, out = {k: [] for k in [*names, "pit"]}, dict.fromkeys(names, 0), None, 0.0, 0.0, []
+    for r in rows:
+        pit, last, before = r["pit_vol"], r["pit_vol"] if r["pit_vol"] is not None else last, last
+        if (r["flow_in"] or 0) < limits.min_flow:
+            runs = dict.fromkeys(names, 0)
+            continue
+        told, signal = [], None
+        for k in names:
+            if r[k] is not None:
+                score = z(held[k][-limits.held :], r[k])
+                if score is not None:
+                    runs[k] = runs[k] + 1 if abs(score) >= limits.far else 0
+                    told += [k] * (runs[k] >= limits.persist)
+                held[k].append(r[k])
+        if pit is not None and before is not None:
+            tail = held["pit"][-limits.held :]
+            if len(tail) >= limits.least:
+                score = z(tail, pit - before)
+                score = (pit - before - statistics.median(tail)) / 1e-6 if score is None else score
+                low, high = max(0, low - score - limits.slack), max(0, high + score - limits.slack)
+                if low > limits.alarm:
+                    low, signal = 0.0, "possible_losses"
+                elif high > limits.alarm:
+                    high, signal = 0.0, "possible_influx"
+            held["pit"].append(pit - before)
+        if told or signal:
+            out.append((r["t"], (*told, *["pit_vol"] * bool(signal)), signal))
+    return out
+
+
+def test_detector_against_its_definition(spark):
+    import random
+
+    limits = detector.Limits(held=12, least=5, far=2.5, persist=2)
+    for seed in range(40):
+        rng = random.Random(seed)
+        t = dt.datetime(2024, 1, 1)
+        got = []
+        for i in range(200):
+            some = lambda v: None if rng.random() < 0.1 else v
+            far = rng.choice([0, 0, 0, 30])
+            got.append({"well_id": 1, "t": t + dt.timedelta(seconds=i), "torque": some(rng.gauss(10, 1) + far), "spp": some(rng.gauss(5, 1)), "hookload": some(7.0 if seed % 4 == 0 else rng.gauss(7, 1)),
+                        "pit_vol": some(50.0 if seed % 5 == 0 and i < 90 else rng.gauss(50, 2)), "flow_in": some(0.0 if rng.random() < 0.1 else 500.0)})
+        frame, state, found = detector.pd.DataFrame(got), None, []
+        for a, z in ((0, 3), (3, 70), (70, 71), (71, 200)):
+            out, state = detector.judge(frame.iloc[a:z], state, limits)
+            found += [(r.t.to_pydatetime(), tuple(r.channels), r.signal) for r in out.itertuples()]
+        assert found == by_definition(got, limits)
+
+
 def test_look_ahead_and_cool_down(spark):
     layers = spark.createDataFrame([(1, "A", 100.0, 200.0, "kick", 0.5, "ok", 3), (1, "B", 200.0, 300.0, "kick", 0.1, "ok", 1), (1, "C", 900.0, 950.0, "kick", 0.9, "ok", 9)], "well_id long, formation string, top double, base double, hazard string, mean double, status string, n_with int")
     t = dt.datetime(2024, 1, 1)
