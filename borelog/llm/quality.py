@@ -63,14 +63,13 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(let(words, hashes), found)
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    words = word_list(text)
-    lines = lines_with_a_word(text)
+def base_columns(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """The base counts of a text, from its words and its lines that have one."""
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated_words(words).cast("long"),
     }
 
@@ -98,7 +97,9 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     common = cut(df.sparkSession, common.select("host", "line", "n"), "common")
     lost = meet(lines, common.select("host", "line"), ["host", "line"], hot_keys(common, ["host", "line"]), ["doc", "tag"])
     lost = lost.groupBy("doc", "tag").agg(F.sum("chars").alias("lost"), F.collect_set("line").alias("gone"))
-    base = docs.select("doc", "tag", "doc_id", "text", F.aggregate(lines_with_a_word(F.col("text")), F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), *[c.alias(k) for k, c in base_columns(F.col("text")).items()])
+    split = docs.withColumns({"_words": word_list(F.col("text")), "_lines": lines_with_a_word(F.col("text"))})
+    chars = F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x))
+    base = split.select("doc", "tag", "doc_id", "text", chars.alias("chars"), *[c.alias(k) for k, c in base_columns(F.col("text"), F.col("_words"), F.col("_lines")).items()])
     out = base.join(lost, ["doc", "tag"], "left")
     same = F.count("*").over(Window.partitionBy("doc", "tag"))  # rows equal in id and text have lost the sum of all
     out = out.withColumn("n_removed", (F.coalesce("lost", F.lit(0)) / same).cast("long"))
