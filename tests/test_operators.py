@@ -151,3 +151,19 @@ def test_cusum_and_greedy_folds_over_many_batches(spark):
             up, down = 0.0 if alarm == "possible_influx" else up, 0.0 if alarm == "possible_losses" else down
             assert ((k, i) in kept) == all(abs(x - h) > 0.4 for h in held)
             held += [x] * ((k, i) in kept)
+
+
+def test_radius_at_the_poles_and_across_the_meridian(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    points = [(i, *rng.choice([(rng.uniform(-90, -89), rng.uniform(-180, 180)), (rng.uniform(79, 81), rng.choice([-1, 1]) * rng.uniform(178, 180)), (rng.uniform(-1, 1), rng.choice([-1, 1]) * rng.uniform(179, 180))])) for i in range(300)]
+    df = spark.createDataFrame(points, "well_id long, lat double, lon double")
+    found = sorted((r["well_id"], r["well_id_o"]) for r in joins.within_radius(df, df, 30_000.0).collect())
+
+    def metres(a, c):
+        p, q, d = math.radians(a[1]), math.radians(c[1]), math.radians(a[2] - c[2])
+        return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((p - q) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2))
+
+    assert found == sorted((a[0], c[0]) for a in points for c in points if a[0] != c[0] and metres(a, c) <= 30_000.0)
