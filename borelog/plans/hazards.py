@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from borelog.functions import geo, stats
 from borelog.operators import joins, sequences
-from borelog.operators.tables import written
+from borelog.operators.tables import first_n, kept, written
 
 from . import bindings as b
 from .records import WILSON
 
 QUERIES, SQL = {}, {}
 RADIUS_M, MOST_OFFSETS, STRENGTH, LEAST_WELLS, LEAST_EVIDENCE, RATIO = 10_000.0, 40, 100.0, 10, 3.0, 1.1
+INPUTS = ("region", "nation", "customer", "part", "orders", "lineitem")
 
 
 def query(name: str, *ctes: str, sql: str | None = None, more: dict[str, str] | None = None):
@@ -68,9 +69,11 @@ def places(spark: SparkSession, sf_dir: str, tops: DataFrame | None = None) -> D
 
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documented wells, their layers and their recorded problems, each computed once."""
-    tops = written(b.tops(spark, sf_dir), "tops")
-    wells = written(places(spark, sf_dir, tops), "places")
-    return wells, written(penetrations(tops, wells), "penetrations"), written(recorded(b.events(spark, sf_dir), wells), "recorded")
+    inputs = [f"{sf_dir}/{t}.parquet" for t in INPUTS]
+    tops = kept(spark, "tops", inputs, lambda: b.tops(spark, sf_dir))
+    wells = kept(spark, "places", inputs, lambda: places(spark, sf_dir, tops))
+    pen = kept(spark, "penetrations", inputs, lambda: penetrations(tops, wells))
+    return wells, pen, kept(spark, "recorded", inputs, lambda: recorded(b.events(spark, sf_dir), wells))
 
 
 def offset_wells(wells: DataFrame, radius: float = RADIUS_M, most: int = MOST_OFFSETS) -> DataFrame:
@@ -119,6 +122,11 @@ def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cell_cube``, computed by the first query of an application that reads it and read by the others."""
+    return kept(spark, "cells", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda: cell_cube(spark, sf_dir))
+
+
+def cell_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube of well, layer and problem, judged from other families' wells alone, with what was then recorded (y)."""
     wells, pen, rec = facts(spark, sf_dir)
     near = offset_wells(wells).select("well_id", "offset_id", "sim")
@@ -178,32 +186,68 @@ def interval_sql(k: str, n: str, side: str) -> str:
     return f"CASE WHEN {n} > 0 THEN least(1, greatest(0, {e})) ELSE {none} END"
 
 
-@query("lift_report", *BASE, more=CTES, sql=f"""
-SELECT source, round(kf / nf, 8) AS rate_flagged, round(ku / nu, 8) AS rate_rest, round((kf / nf) / nullif(ku / nu, 0), 6) AS lift, round({interval_sql('kf', 'nf', 'low')}, 6) AS flagged_lo, round({interval_sql('kf', 'nf', 'high')}, 6) AS flagged_hi,
-  CASE WHEN nf = 0 OR ku = 0 OR abs((kf / nf) / nullif(ku / nu, 0) - 1) < 0.1 THEN 'no measured lift' ELSE 'lift' END AS verdict, nf AS n_flagged, nu AS n_rest
-FROM (SELECT coalesce(source, 'all') AS source, count(*) FILTER (flag) AS nf, count(*) FILTER (NOT flag) AS nu, CAST(count(*) FILTER (flag AND y = 1) AS DOUBLE) AS kf, CAST(count(*) FILTER (NOT flag AND y = 1) AS DOUBLE) AS ku FROM flagged GROUP BY GROUPING SETS ((source), ()))
-""")
+def lift_sql(source: str) -> str:
+    """Rates of both sides and their ratio, from ``source`` with nf, nu, kf, ku."""
+    f_lo, f_hi, u_lo, u_hi = (f"round({interval_sql(k, n, side)}, 8)" for k, n in (("kf", "nf"), ("ku", "nu")) for side in ("low", "high"))
+    return f"""
+SELECT source, nf AS n_flagged, nu AS n_rest, CAST(kf AS BIGINT) AS k_flagged, CAST(ku AS BIGINT) AS k_rest, round(rf, 8) AS rate_flagged, round(ru, 8) AS rate_rest, round(rf / nullif(ru, 0), 6) AS lift, round(f_lo, 6) AS flagged_lo, round(f_hi, 6) AS flagged_hi,
+  round(u_lo, 6) AS rest_lo, round(u_hi, 6) AS rest_hi, round(lo, 3) AS ratio_lo, round(hi, 3) AS ratio_hi,
+  CASE WHEN nf = 0 OR ku = 0 OR lo IS NULL OR round(lo, 3) <= 1 AND round(hi, 3) >= 1 OR abs(rf / ru - 1) < 0.1e0 THEN 'no measured lift' ELSE 'lift' END AS verdict
+FROM (SELECT *, CASE WHEN nf > 0 AND u_lo > 0 THEN f_lo / u_hi END AS lo, CASE WHEN nf > 0 AND u_lo > 0 THEN f_hi / u_lo END AS hi FROM (
+  SELECT *, kf / nullif(nf, 0) AS rf, ku / nullif(nu, 0) AS ru, {f_lo} AS f_lo, {f_hi} AS f_hi, {u_lo} AS u_lo, {u_hi} AS u_hi FROM ({source})))
+"""
+
+
+SIDES = "count(*) FILTER (flag) AS nf, count(*) FILTER (NOT flag) AS nu, CAST(count(*) FILTER (flag AND y = 1) AS DOUBLE) AS kf, CAST(count(*) FILTER (NOT flag AND y = 1) AS DOUBLE) AS ku"
+
+
+def lift(rows: DataFrame) -> DataFrame:
+    """From counts nf, kf (flagged cells, those with a problem), nu, ku (the rest): rates, Wilson's intervals, their ratio with its interval, and whether any lift was measured."""
+    rf, ru = (F.when(F.col(n) > 0, F.col(k) / F.col(n)) for k, n in (("kf", "nf"), ("ku", "nu")))
+    (f_lo, f_hi), (u_lo, u_hi) = (tuple(F.round(x, 8) for x in stats.wilson_interval(F.col(k), F.col(n))) for k, n in (("kf", "nf"), ("ku", "nu")))
+    bounded = (F.col("nf") > 0) & (u_lo > 0)
+    lo, hi = F.round(F.when(bounded, f_lo / u_hi), 3), F.round(F.when(bounded, f_hi / u_lo), 3)
+    none = (F.col("nf") == 0) | (F.col("ku") == 0) | lo.isNull() | ((lo <= 1) & (hi >= 1)) | F.coalesce(F.abs(rf / ru - 1) < 0.1, F.lit(False))
+    return rows.select(
+        "source", F.col("nf").alias("n_flagged"), F.col("nu").alias("n_rest"), F.col("kf").alias("k_flagged"), F.col("ku").alias("k_rest"), F.round(rf, 8).alias("rate_flagged"), F.round(ru, 8).alias("rate_rest"),
+        F.round(F.when(ru > 0, rf / ru), 6).alias("lift"), F.round(f_lo, 6).alias("flagged_lo"), F.round(f_hi, 6).alias("flagged_hi"), F.round(u_lo, 6).alias("rest_lo"), F.round(u_hi, 6).alias("rest_hi"),
+        lo.alias("ratio_lo"), hi.alias("ratio_hi"), F.when(none, "no measured lift").otherwise("lift").alias("verdict"),
+    )
+
+
+@query("lift_report", *BASE, more=CTES, sql=lift_sql(f"SELECT coalesce(source, 'all') AS source, {SIDES} FROM flagged GROUP BY GROUPING SETS ((source), ())"))
 def lift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more often problems were recorded where the replay had warned, by source and in all."""
     rows = cells(spark, sf_dir).rollup("source").agg(F.count_if("flag").alias("nf"), F.count_if(~F.col("flag")).alias("nu"), F.count_if(F.col("flag") & (F.col("y") == 1)).alias("kf"), F.count_if(~F.col("flag") & (F.col("y") == 1)).alias("ku"))
-    f, u = (F.when(F.col(n) > 0, F.col(k) / F.col(n)) for k, n in (("kf", "nf"), ("ku", "nu")))
-    lift = F.when(u > 0, f / u)
-    low, high = stats.wilson_interval(F.col("kf"), F.col("nf"))
-    none = (F.col("nf") == 0) | (F.col("ku") == 0) | F.coalesce(F.abs(lift - 1) < 0.1, F.lit(False))
-    return rows.select(F.coalesce("source", F.lit("all")).alias("source"), F.round(f, 8).alias("rate_flagged"), F.round(u, 8).alias("rate_rest"), F.round(lift, 6).alias("lift"), F.round(low, 6).alias("flagged_lo"), F.round(high, 6).alias("flagged_hi"), F.when(none, "no measured lift").otherwise("lift").alias("verdict"), F.col("nf").alias("n_flagged"), F.col("nu").alias("n_rest"))
+    return lift(rows.withColumn("source", F.coalesce("source", F.lit("all"))))
+
 
+@query("fair_baseline", *BASE, more=CTES, sql=lift_sql(f"""SELECT source, {SIDES} FROM (SELECT source, y, row_number() OVER (PARTITION BY source ORDER BY round(base, 8) DESC, well_id, formation, hazard) <= count_if(flag) OVER (PARTITION BY source) AS flag FROM flagged) GROUP BY source"""))
+def fair_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report for a rule that flags as many cells as the replay did, those with the highest base rates."""
+    rows = cells(spark, sf_dir).select("source", "well_id", F.concat_ws("\u0001", "formation", "hazard").alias("cell"), "y", "flag", F.round("base", 8).alias("s"))
+    totals = rows.groupBy("source").agg(F.count_if("flag").alias("nf"), F.count("*").alias("n"), F.sum("y").alias("k"))
+    rows = rows.join(F.broadcast(totals.select("source", "nf")), "source").withColumn("band", F.floor(F.col("s") * 10_000))  # a row for each source
+    picked = first_n(rows, ["source"], [("band", True), ("s", True), ("well_id", False), ("cell", False)], "nf").groupBy("source").agg(F.sum("y").alias("kf"))
+    out = totals.join(picked, "source", "left").withColumn("kf", F.coalesce("kf", F.lit(0)))
+    return lift(out.select("source", "nf", (F.col("n") - F.col("nf")).alias("nu"), "kf", (F.col("k") - F.col("kf")).alias("ku")))
 
-@query("watchlist", *BASE, more=CTES, sql="""
-SELECT k, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS cells, round(sum(chance), 6) AS chance FROM (
-  SELECT k, well_id, CAST(sum(CASE WHEN r <= k THEN y ELSE 0 END) AS BIGINT) AS hit, CAST(sum(CASE WHEN r <= k THEN 1 ELSE 0 END) AS BIGINT) AS n, sum(y) * least(1, k / count(*)) AS chance
-  FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY round(mean, 8) DESC, formation, hazard) AS r FROM flagged), (VALUES (3), (5), (10)) v(k) GROUP BY 1, 2) GROUP BY k
+
+@query("watchlist", *BASE, more=CTES, sql=f"""
+SELECT k, CAST(events AS BIGINT) AS events, CAST(hits AS BIGINT) AS hits, round({interval_sql('hits', 'events', 'low')}, 6) AS hits_lo, round({interval_sql('hits', 'events', 'high')}, 6) AS hits_hi, CAST(base_hits AS BIGINT) AS base_hits, CAST(cells AS BIGINT) AS cells, round(chance, 6) AS chance
+FROM (SELECT k, CAST(sum(ev) AS DOUBLE) AS events, CAST(sum(hit) AS DOUBLE) AS hits, sum(base_hit) AS base_hits, sum(n) AS cells, sum(chance) AS chance FROM (
+  SELECT k, well_id, sum(y) AS ev, sum(CASE WHEN r <= k THEN y ELSE 0 END) AS hit, sum(CASE WHEN q <= k THEN y ELSE 0 END) AS base_hit, sum(CASE WHEN r <= k THEN 1 ELSE 0 END) AS n, sum(y) * least(1, k / count(*)) AS chance
+  FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY round(mean, 8) DESC, formation, hazard) AS r, row_number() OVER (PARTITION BY well_id ORDER BY round(base, 8) DESC, formation, hazard) AS q FROM flagged), (VALUES (3), (5), (10)) v(k) GROUP BY 1, 2) GROUP BY k)
 """)
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems that each well's list of k most likely cells would have held, against lists drawn by chance."""
-    order = Window.partitionBy("well_id").orderBy(F.round("mean", 8).desc(), "formation", "hazard")
-    rows = cells(spark, sf_dir).withColumn("r", F.row_number().over(order)).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (3, 5, 10)])))
-    each = rows.groupBy("k", "well_id").agg(F.sum(F.when(F.col("r") <= F.col("k"), F.col("y")).otherwise(0)).alias("hit"), F.count_if(F.col("r") <= F.col("k")).alias("n"), (F.sum("y") * F.least(F.lit(1.0), F.first("k") / F.count("*"))).alias("chance"))
-    return each.groupBy("k").agg(F.sum("hit").alias("hits"), F.sum("n").alias("cells"), F.round(F.sum("chance"), 6).alias("chance"))
+    """Problems that each well's list of k most likely cells would have held, with Wilson's interval of their share, against lists by base rate and lists drawn by chance."""
+    r, q = (F.row_number().over(Window.partitionBy("well_id").orderBy(F.round(c, 8).desc(), "formation", "hazard")) for c in ("mean", "base"))
+    rows = cells(spark, sf_dir).select("well_id", "y", r.alias("r"), q.alias("q")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (3, 5, 10)])))
+    on = lambda c: F.sum(F.when(F.col(c) <= F.col("k"), F.col("y")).otherwise(0))
+    each = rows.groupBy("k", "well_id").agg(F.sum("y").alias("ev"), on("r").alias("hit"), on("q").alias("base_hit"), F.count_if(F.col("r") <= F.col("k")).alias("n"), (F.sum("y") * F.least(F.lit(1.0), F.first("k") / F.count("*"))).alias("chance"))
+    out = each.groupBy("k").agg(F.sum("ev").alias("events"), F.sum("hit").alias("hits"), F.sum("base_hit").alias("base_hits"), F.sum("n").alias("cells"), F.round(F.sum("chance"), 6).alias("chance"))
+    low, high = stats.wilson_interval(F.col("hits"), F.col("events"))
+    return out.select("k", "events", "hits", F.round(low, 6).alias("hits_lo"), F.round(high, 6).alias("hits_hi"), "base_hits", "cells", "chance")
 
 
 @query("operating_points", *BASE, more=CTES, sql="""
@@ -280,6 +324,39 @@ def alert_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("hazard").agg(F.count("*").alias("events"), F.count_if("flag").alias("forewarned"), F.round(F.median(F.when(F.col("flag"), F.col("md") - F.col("alert_md"))), 4).alias("median_lead"))
 
 
+@query("model_regions", *BASE, more=CTES | {
+    "n": "SELECT source, count(DISTINCT well_id) AS wells, count(*) AS cells FROM flagged GROUP BY 1",
+    "big": "SELECT source FROM n WHERE wells >= 30 ORDER BY cells DESC, source LIMIT 1"},
+    sql="SELECT source, wells, cells, CASE WHEN wells >= 30 THEN source ELSE coalesce((SELECT source FROM big), 'other') END AS region FROM n")
+def model_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions(cells(spark, sf_dir), "source")
+
+
+def regions(rows: DataFrame, by: str, least: int = 30) -> DataFrame:
+    """Which model each source's cells belong to: its own, or, below ``least`` wells, that of the source with the most cells."""
+    counts = rows.groupBy(by, "well_id").agg(F.count("*").alias("c")).groupBy(by).agg(F.count("*").alias("wells"), F.sum("c").alias("cells"))
+    large = F.struct((-F.col("cells")).alias("c"), F.col(by).alias("s"))
+    target = counts.agg(F.min(F.when(F.col("wells") >= least, large)).alias("t")).select(F.coalesce("t.s", F.lit("other")).alias("_t"))
+    return counts.crossJoin(F.broadcast(target)).select(by, "wells", "cells", F.when(F.col("wells") >= least, F.col(by)).otherwise(F.col("_t")).alias("region"))  # one row
+
+
+@query("correlation_section", *BASE, more={k: CTES[k] for k in ("place", "pair", "offset_well")} | {
+    "shown": "SELECT well_id, offset_id AS shown_id, rank FROM offset_well WHERE rank < 6 UNION ALL SELECT well_id, well_id, 0 FROM place"},
+    sql="""SELECT s.well_id, shown_id, CAST(rank AS BIGINT) AS rank, 'top' AS kind, formation AS name, round(top, 4) AS md FROM shown s JOIN top t ON t.well_id = shown_id
+    UNION ALL SELECT s.well_id, shown_id, CAST(rank AS BIGINT), 'event', hazard, round(md, 4) FROM shown s JOIN event e ON e.well_id = shown_id""")
+def correlation_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section(offset_wells(places(spark, sf_dir)), places(spark, sf_dir), b.tops(spark, sf_dir), b.events(spark, sf_dir))
+
+
+def section(offsets: DataFrame, wells: DataFrame, tops: DataFrame, events: DataFrame, n: int = 6) -> DataFrame:
+    """Each well beside its n - 1 most similar offsets (rank 0 is the well itself), with tops and events by depth."""
+    shown = offsets.where(F.col("rank") < n).select("well_id", F.col("offset_id").alias("shown_id"), F.col("rank").cast("long").alias("rank"))
+    shown = shown.unionByName(wells.select("well_id", F.col("well_id").alias("shown_id"), F.lit(0).cast("long").alias("rank")))
+    marks = tops.select(F.col("well_id").alias("shown_id"), F.lit("top").alias("kind"), F.col("formation").alias("name"), F.round("top", 4).alias("md"))
+    marks = marks.unionByName(events.select(F.col("well_id").alias("shown_id"), F.lit("event").alias("kind"), F.col("hazard").alias("name"), F.round(F.col("md").cast("double"), 4).alias("md")))
+    return shown.join(marks, "shown_id").select("well_id", "shown_id", "rank", "kind", "name", "md")
+
+
 @query("ranker_cv")
 def ranker_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boosted-tree ranker over the cells, cross-validated by family: held-out scores of three folds, every cell once."""
@@ -288,7 +365,7 @@ def ranker_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = cells(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("family"), F.lit(3))).cache()
+    rows = cells(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("family"), F.lit(3)))
     numbers = ["mean", "base", "n_eff", "n_wells", "n_with", "top"]
     out = None
     for fold in range(3):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from borelog.functions import geo, stats
 from borelog.operators import joins, sequences
+from borelog.operators.tables import first_n
 
 from . import bindings as b
 from . import hazards
@@ -143,26 +144,29 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     "s": "SELECT *, row_number() OVER (ORDER BY round(mean, 8) DESC, well_id, formation, hazard) AS r FROM flagged"},
     sql="SELECT CAST(budget AS BIGINT) AS budget, count(*) AS alerts, CAST(sum(y) AS BIGINT) AS hits, count(DISTINCT (well_id, formation)) AS layers FROM budget JOIN s ON s.r <= budget.k GROUP BY 1")
 def budget_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a number of alerts for each well would have caught: the cells with the highest scores over all wells.
-
-    The k-th score is found by a running count over distinct scores; only cells that tie with it are ordered among themselves."""
-    rows = hazards.cells(spark, sf_dir).select("well_id", "formation", "hazard", "y", F.round("mean", 8).alias("s"))
-    counts = rows.groupBy("s").agg(F.count("*").alias("n"))
-    total = rows.agg(F.countDistinct("well_id").alias("wells")).withColumn("budget", F.explode(F.array(*[F.lit(x) for x in (1, 3, 6)]))).withColumn("k", F.bround(F.col("budget") * F.col("wells")).cast("long"))
-    above = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)))  # a row for each distinct score
-    cut = total.join(above, above["upto"] >= total["k"], "left").groupBy("budget", "k").agg(F.max("s").alias("limit"), F.min_by(F.col("upto") - F.col("n"), "upto").alias("before"))
-    held = rows.join(F.broadcast(cut), (rows["s"] >= cut["limit"]) | cut["limit"].isNull())
-    tie = F.row_number().over(Window.partitionBy("budget", F.col("s") == F.col("limit")).orderBy("well_id", "formation", "hazard"))
-    held = held.withColumn("tie", tie).where(F.col("limit").isNull() | (F.col("s") > F.col("limit")) | (F.col("tie") <= F.col("k") - F.col("before")))
+    """What a number of alerts for each well would have caught: the cells with the highest scores over all wells."""
+    rows = hazards.cells(spark, sf_dir).select("well_id", "formation", F.concat_ws("\u0001", "formation", "hazard").alias("cell"), "y", F.round("mean", 8).alias("s"))
+    total = rows.agg(F.countDistinct("well_id").alias("wells")).withColumn("budget", F.explode(F.array(*[F.lit(x) for x in (1, 3, 6)]))).select("budget", F.bround(F.col("budget") * F.col("wells")).cast("long").alias("k"))
+    rows = rows.withColumn("band", F.floor(F.col("s") * 10_000)).crossJoin(F.broadcast(total))  # three rows
+    held = first_n(rows, ["budget"], [("band", True), ("s", True), ("well_id", False), ("cell", False)], "k")
     layers = held.groupBy("budget", "well_id", "formation").agg(F.count("*").alias("a"), F.sum("y").alias("h"))
     return layers.groupBy(F.col("budget").cast("long").alias("budget")).agg(F.sum("a").alias("alerts"), F.sum("h").alias("hits"), F.count("*").alias("layers"))
 
 
-@query("region_result", *BASE, more=CELLS, sql="SELECT field, count(DISTINCT f.well_id) AS wells, CAST(sum(y) AS BIGINT) AS events, CAST(count_if(flag) AS BIGINT) AS alerts, CAST(count_if(flag AND y = 1) AS BIGINT) AS hits FROM flagged f JOIN well w ON w.well_id = f.well_id GROUP BY 1")
+@query("region_result", *BASE, more=CELLS | {
+    "fc": """SELECT f.*, field, round(mean, 8) AS s, row_number() OVER (PARTITION BY f.well_id, formation ORDER BY round(mean, 8) DESC, hazard) AS place FROM flagged f JOIN well w ON w.well_id = f.well_id""",
+    "ranked": """SELECT *, CAST(count_if(y = 1) OVER (PARTITION BY field) AS DOUBLE) AS n1, CAST(count_if(y = 0) OVER (PARTITION BY field) AS DOUBLE) AS n0,
+        rank() OVER (PARTITION BY field ORDER BY s) + (count(*) OVER (PARTITION BY field, s) - 1) / 2 AS r FROM fc"""},
+    sql="""SELECT field, count(DISTINCT well_id) AS wells, CAST(sum(y) AS BIGINT) AS events, CAST(count_if(flag) AS BIGINT) AS alerts, CAST(count_if(flag AND y = 1) AS BIGINT) AS hits, CAST(count_if(y = 1 AND place <= 3) AS BIGINT) AS top3,
+    round((sum(r) FILTER (y = 1) - any_value(n1) * (any_value(n1) + 1) / 2) / nullif(any_value(n1) * any_value(n0), 0), 6) AS auc FROM ranked GROUP BY 1""")
 def region_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hazards.cells(spark, sf_dir).groupBy("well_id").agg(F.sum("y").alias("e"), F.count_if("flag").alias("a"), F.count_if(F.col("flag") & (F.col("y") == 1)).alias("h"))
-    rows = rows.join(b.wells(spark, sf_dir).select("well_id", "field"), "well_id")
-    return rows.groupBy("field").agg(F.count("*").alias("wells"), F.sum("e").alias("events"), F.sum("a").alias("alerts"), F.sum("h").alias("hits"))
+    """Each region's own blind result: wells, events, alerts, hits, problems among their layer's three likeliest, area under the ROC curve."""
+    place = F.row_number().over(Window.partitionBy("well_id", "formation").orderBy(F.round("mean", 8).desc(), "hazard"))
+    rows = hazards.cells(spark, sf_dir).select("well_id", "y", "flag", F.round("mean", 8).alias("s"), place.alias("place")).join(b.wells(spark, sf_dir).select("well_id", "field"), "well_id")
+    hit = F.col("y") == 1
+    each = rows.groupBy("well_id", "field").agg(F.sum("y").alias("e"), F.count_if("flag").alias("a"), F.count_if(F.col("flag") & hit).alias("h"), F.count_if(hit & (F.col("place") <= 3)).alias("t"))
+    out = each.groupBy("field").agg(F.count("*").alias("wells"), F.sum("e").alias("events"), F.sum("a").alias("alerts"), F.sum("h").alias("hits"), F.sum("t").alias("top3"))
+    return out.join(hazards.auc(rows, ["field"], "s", "y").select("field", F.round("auc", 6).alias("auc")), "field", "left")
 
 
 @query("replay_auc_interval")
