@@ -41,3 +41,45 @@ def analogs(intervals: DataFrame, asked: DataFrame, least: float = 10.0) -> Data
     ov = geo.overlap(F.col("lo"), F.col("hi"), F.col("top"), F.col("base"))
     rows = intervals.join(asked, "rock").where((F.col("top") < F.col("hi")) & (F.col("base") > F.col("lo"))).withColumn("_ov", ov).where(F.col("_ov") >= least)
     return rows.groupBy("rock", "lo", "hi", "well_id").agg(F.max(F.least(F.lit(1.0), F.col("_ov") / (F.col("base") - F.col("top")))).alias("weight"), F.count("*").alias("intervals"))
+
+
+#: Other names of the classes; callers may pass their own.
+ALIASES = {"carbonate": "limestone", "dolostone": "dolomite", "evaporite": "salt", "igneous": "volcanic", "lignite": "coal", "mudrock": "shale"}
+#: Ages, with what may stand before them.
+AGE = r"(?:(?:Upper|Lower|Middle|Late|Early)\s+)?(?:Precambrian|Cretaceous|Palaeocene|Paleocene|Eocene|Oligocene|Miocene|Pliocene|Pleistocene)"
+DEPTH_HINT = r"(\d[\d,]{2,6}(?:\.\d+)?)\s*(?:m|metres?|meters?)\b"
+
+
+def canonical_class(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A class's own name for what a user wrote, in any case, singular or plural; null for anything else."""
+    known = {k: k for k in CLASSES} | (ALIASES if aliases is None else aliases)
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    said = F.lower(F.trim(name))
+    return F.coalesce(table[said], table[F.regexp_replace(said, "s$", "")])
+
+
+def nearest_age(text: Column, name: str, window: int = 40) -> Column:
+    """The age word that stands nearest a name, at most ``window`` characters before or after it (of two as near, the first in the alphabet); null where none does."""
+    word, gap = rf"\b\Q{name}\E\b", rf"(.{{0,{window}}}?)"
+    after, before = rf"(?is){word}(?={gap}\b({AGE})\b)", rf"(?is)\b({AGE})\b(?={gap}{word})"
+    spots = [F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias("gap"), F.regexp_extract_all(text, F.lit(p), F.lit(a)).alias("age")) for p, g, a in ((after, 1, 2), (before, 2, 1))]
+    spots = F.transform(F.concat(*spots), lambda s: F.struct(F.length(s["gap"]).alias("gap"), s["age"].alias("age")))
+    return F.array_min(spots)["age"]
+
+
+def depth_before(text: Column, name: str, window: int = 30) -> Column:
+    """The last depth within ``window`` characters before a name's first mention."""
+    near = F.regexp_extract(text, rf"(?is)(.{{0,{window}}})\b\Q{name}\E\b", 1)
+    return F.replace(F.try_element_at(F.regexp_extract_all(near, F.lit(r"(\d[\d,]{2,6}(?:\.\d+)?)\s*-?\s*m\b")), F.lit(-1)), F.lit(","), F.lit("")).try_cast("double")
+
+
+def suggestions(passages: DataFrame, names: list[str], most: int = 25) -> DataFrame:
+    """What each basin's passages (basin, ref, text) say: for every rock class and listed name its first passage, with up to three depths, at most ``most`` a basin (a list to choose from)."""
+    from borelog.operators import sequences
+
+    kinds = [("lithology", k, _word(F.col("text"), w)) for k, w in CLASSES.items()] + [("formation", n, F.col("text").rlike(rf"(?iu)\b\Q{n}\E\b")) for n in names]
+    found = F.filter(F.array(*[F.when(hit, F.struct(F.lit(t).alias("type"), F.lit(v).alias("value"))) for t, v, hit in kinds]), lambda x: x.isNotNull())
+    rows = passages.select("basin", "ref", "text", F.explode(found).alias("f"))
+    first = rows.groupBy("basin", "f.type", "f.value").agg(F.min(F.struct("ref", "text")).alias("m")).select("basin", "type", "value", "m.ref", "m.text")
+    hints = F.slice(F.regexp_extract_all("text", F.lit(DEPTH_HINT)), 1, 3)
+    return sequences.top_n(first.withColumn("depths", hints), most, ["basin"], [F.col("ref"), F.col("type"), F.col("value")]).drop("rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borelog.functions import text as fn
-from borelog.operators import extraction, sequences
+from borelog.operators import extraction, lithology, sequences
 
 from . import bindings as b
 
@@ -290,3 +290,37 @@ def data_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = b.wells(spark, sf_dir).groupBy(F.concat(F.lit("source "), F.col("source")).alias("name")).agg(F.count("*").alias("rows")).withColumn("origin", F.lit("counted"))
     old = spark.createDataFrame([("source BUILDING", -1, "old"), ("hand kept", 7, "old")], "name string, rows long, origin string")
     return counted.unionByName(old.join(counted, "name", "left_anti"))
+
+
+@query("basin_suggestions", "line", "well", more={
+    "p": """SELECT field AS basin, document_id * 10 + seq AS ref, formation, b, 50 * b + well_id % 40 AS md,
+        'Drilled ' || formation || ', ' || CASE b % 6 WHEN 0 THEN 'clean sand' WHEN 1 THEN 'grey claystone' WHEN 2 THEN 'chalk' WHEN 3 THEN 'rock salt' WHEN 4 THEN 'lignite' ELSE 'no sample' END || ', to ' || (50 * b + well_id % 40) || ' m.' AS text FROM line JOIN well USING (well_id)""",
+    "s": """SELECT basin, ref, text, md, 'lithology' AS type, CASE b % 6 WHEN 0 THEN 'sandstone' WHEN 1 THEN 'shale' WHEN 2 THEN 'limestone' WHEN 3 THEN 'salt' WHEN 4 THEN 'coal' END AS value FROM p
+        UNION ALL SELECT basin, ref, text, md, 'formation', formation FROM p WHERE formation IN ('Brand#12', 'Brand#34')"""},
+    sql="""SELECT basin, type, value, ref, CASE WHEN md >= 100 THEN CAST(md AS VARCHAR) END AS depth FROM (
+        SELECT *, row_number() OVER (PARTITION BY basin, type, value ORDER BY ref, text) AS r FROM s WHERE value IS NOT NULL) WHERE r = 1""")
+def basin_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First passage of each rock and listed layer in each region, over sentences built of the report lines."""
+    rock = F.element_at(F.array(*[F.lit(x) for x in ("clean sand", "grey claystone", "chalk", "rock salt", "lignite", "no sample")]), F.col("b") % 6 + 1)
+    md = (50 * F.col("b") + F.col("well_id") % 40).cast("string")
+    lines = b.lines(spark, sf_dir).select("well_id", (F.col("document_id") * 10 + F.col("seq")).alias("ref"), F.concat(F.lit("Drilled "), "formation", F.lit(", "), rock, F.lit(", to "), md, F.lit(" m.")).alias("text"))
+    passages = lines.join(b.wells(spark, sf_dir).select("well_id", F.col("field").alias("basin")), "well_id")
+    return lithology.suggestions(passages, ["Brand#12", "Brand#34"]).select("basin", "type", "value", "ref", F.get("depths", F.lit(0)).alias("depth"))
+
+
+@query("age_near_name", sql="""
+SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Upper Miocene' WHEN 1 THEN 'Miocene' WHEN 3 THEN 'Early Eocene' END AS age, CASE WHEN o_orderkey % 5 = 3 THEN CAST(1000 + o_custkey % 900 AS DOUBLE) END AS depth FROM orders
+""")
+def age_near_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The age that a sentence gives a layer, and the depth just before its name."""
+    md = (1000 + F.col("well_id") % 900).cast("string")
+    said = {
+        0: ["The Tipam of Upper Miocene age lies above the Eocene."],
+        1: ["Eocene beds, then Miocene Tipam sands."],
+        2: ["Tipam sands; below them and after more than forty characters, Eocene."],
+        3: ["Early Eocene rocks: ", md, "-m Tipam sand."],
+        4: ["Eocene beds without a name."],
+    }
+    text = F.coalesce(*[F.when(F.col("id") % 5 == k, F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])) for k, parts in said.items()])
+    rows = orders(spark, sf_dir).select("id", text.alias("text"))
+    return rows.select("id", lithology.nearest_age(F.col("text"), "Tipam").alias("age"), lithology.depth_before(F.col("text"), "Tipam").alias("depth"))

@@ -167,3 +167,20 @@ def test_radius_at_the_poles_and_across_the_meridian(spark):
         return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((p - q) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2))
 
     assert found == sorted((a[0], c[0]) for a in points for c in points if a[0] != c[0] and metres(a, c) <= 30_000.0)
+
+
+def test_rock_names_and_ages(spark):
+    from borelog.operators import lithology
+
+    rows = spark.createDataFrame([("Carbonates", "Tipam"), (" SHALE ", "Middle Eocene-Tipam and, later, Miocene"), ("gold", None), (None, "")], "c string, t string")
+    found = rows.select(lithology.canonical_class(F.col("c")), lithology.nearest_age(F.col("t"), "Tipam"), lithology.depth_before(F.col("t"), "Tipam")).collect()
+    assert [tuple(r) for r in found] == [("limestone", None, None), ("shale", "Middle Eocene", None), (None, None, None), (None, None, None)]
+
+
+def test_suggestions_keep_to_their_length(spark):
+    from borelog.operators import lithology
+
+    rows = spark.createDataFrame([("a", 2, "Sand at 1,200 m and 1300 metres."), ("a", 1, "Salt, then sand."), ("a", 3, None), ("b", 1, "nothing")], "basin string, ref int, text string")
+    found = [(r["value"], r["ref"]) for r in lithology.suggestions(rows, ["none"], most=1).collect()]
+    assert found == [("salt", 1)] or found == [("sandstone", 1)]
+    assert {(r["value"], r["ref"], tuple(r["depths"])) for r in lithology.suggestions(rows.where("ref > 1"), []).collect()} == {("sandstone", 2, ("1,200", "1300"))}
