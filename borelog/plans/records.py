@@ -286,7 +286,7 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("analog_overlap", "top", "event", more={"q": "SELECT * FROM (VALUES (100e0, 180e0), (400e0, 460e0), (900e0, 1000e0)) v(lo, hi)"}, sql="""
-SELECT lo, hi, country, count(*) AS intervals, count(DISTINCT well_id) AS wells, round(avg(least(1, ov / (base - top))), 6) AS fraction FROM (
+SELECT lo, hi, country, count(*) AS intervals, count(DISTINCT well_id) AS wells, round(CAST(sum(CAST(least(1, ov / (base - top)) AS DECIMAL(18, 10))) AS DOUBLE) / count(*), 9) AS fraction FROM (
   SELECT lo, hi, top.*, greatest(0, least(hi, base) - greatest(lo, top)) AS ov FROM top, q) JOIN well USING (well_id) WHERE ov >= 10 GROUP BY 1, 2, 3
 """)
 def analog_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +296,8 @@ def analog_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ov = geo.overlap(F.col("lo"), F.col("hi"), F.col("top"), F.col("base"))
     rows = b.tops(spark, sf_dir).join(bands, (F.col("top") < F.col("hi")) & (F.col("base") > F.col("lo"))).withColumn("ov", ov).where("ov >= 10")
     rows = rows.join(b.wells(spark, sf_dir).select("well_id", "country"), "well_id")
-    return rows.groupBy("lo", "hi", "country").agg(F.count("*").alias("intervals"), F.countDistinct("well_id").alias("wells"), F.round(F.avg(F.least(F.lit(1.0), F.col("ov") / (F.col("base") - F.col("top")))), 6).alias("fraction"))
+    part = F.least(F.lit(1.0), F.col("ov") / (F.col("base") - F.col("top"))).cast("decimal(18,10)")  # an exact sum, whatever the order of its rows
+    return rows.groupBy("lo", "hi", "country").agg(F.count("*").alias("intervals"), F.countDistinct("well_id").alias("wells"), F.round(F.sum(part).cast("double") / F.count("*"), 9).alias("fraction"))
 
 
 @query("greedy_dedup", "event_all", recursive=True, more={
