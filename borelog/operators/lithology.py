@@ -83,3 +83,36 @@ def suggestions(passages: DataFrame, names: list[str], most: int = 25) -> DataFr
     first = rows.groupBy("basin", "f.type", "f.value").agg(F.min(F.struct("ref", "text")).alias("m")).select("basin", "type", "value", "m.ref", "m.text")
     hints = F.slice(F.regexp_extract_all("text", F.lit(DEPTH_HINT)), 1, 3)
     return sequences.top_n(first.withColumn("depths", hints), most, ["basin"], [F.col("ref"), F.col("type"), F.col("value")]).drop("rank")
+
+
+def analog_posterior(weights: DataFrame, recorded: DataFrame, base: DataFrame, by: list[str], strength: float = 20.0, least: float = 3.0) -> DataFrame:
+    """For each group ``by`` and problem of ``base`` (hazard, base): the Beta posterior from the analog wells of ``weights`` (by, well_id, weight).
+
+    A well counts with its weight, as a hit where ``recorded`` (well_id, hazard, each once) has it; weights are summed as
+    decimals, so the order of rows does not matter. ``base`` is a closed list of problems."""
+    w = weights.where("weight > 0").select(*by, "well_id", F.col("weight").cast("decimal(18,10)").alias("w"))
+    total = w.groupBy(*by).agg(F.count("*").alias("n_wells"), F.sum("w").cast("double").alias("sw"), F.sum(F.col("w") * F.col("w")).cast("double").alias("sw2"))
+    hits = w.join(recorded, "well_id").groupBy(*by, "hazard").agg(F.count("*").alias("n_with"), F.sum("w").cast("double").alias("swy"))
+    rows = total.crossJoin(F.broadcast(base)).join(hits, [*by, "hazard"], "left").withColumns({"n_with": F.coalesce("n_with", F.lit(0)), "swy": F.coalesce("swy", F.lit(0.0))})
+    mean = (strength * F.col("base") + F.col("swy")) / (strength + F.col("sw"))
+    n_eff = F.col("sw") * F.col("sw") / F.col("sw2")
+    return rows.select(*by, "hazard", "n_wells", "n_with", "base", mean.alias("mean"), n_eff.alias("n_eff"), F.when(F.round(n_eff, 1) >= least, "ok").otherwise("insufficient_evidence").alias("status"))
+
+
+def column(sentences: DataFrame, names: list[str], most: int = 3) -> DataFrame:
+    """A column of layers out of text (document_id, ref, text): for each of ``names`` the sentences and documents that name it, its
+    rock by vote, the age most often nearest to it (of two as often, the first in the alphabet) and its first depths. A name
+    that no sentence holds has counts of 0. The names are a list that people keep; none of their sentences are gathered."""
+    from borelog.operators import sequences
+
+    one = [F.when(F.col("text").rlike(rf"(?iu)\b\Q{n}\E\b"), F.struct(F.lit(n).alias("name"), nearest_age(F.col("text"), n).alias("age"), depth_before(F.col("text"), n).alias("depth"))) for n in names]
+    spots = sentences.select("document_id", "ref", F.explode(F.array_compact(F.array(*one))).alias("s")).select("document_id", "ref", "s.*")
+    counts = spots.groupBy("name").agg(F.count("*").alias("n_sentences"), F.countDistinct("document_id").alias("n_documents"))
+    ages = spots.where("age is not null").groupBy("name", "age").agg(F.count("*").alias("n"))
+    age = ages.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "age"))["age"].alias("age"))
+    first = sequences.top_n(spots.where("depth is not null"), most, ["name"], [F.col("ref"), F.col("depth")])
+    depths = first.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "depth"))), lambda x: x["depth"]).alias("depths"))
+    every = sentences.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    rock = votes(sentences, names).select("name", "rock")
+    out = every.join(counts, "name", "left").join(rock, "name", "left").join(age, "name", "left").join(depths, "name", "left")
+    return out.select("name", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "rock", "age", F.coalesce("depths", F.array().cast("array<double>")).alias("depths"))

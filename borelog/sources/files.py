@@ -83,6 +83,29 @@ def report_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return r.select(F.nullif(well, F.lit("")).alias("well"), day.alias("day"), F.posexplode(F.split("input", "\n")).alias("seq", "line")).where("trim(line) <> ''")
 
 
+def stations(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Survey stations (well_id and md, inc, azi, tvd, ns, ew as numbers) from rows of texts; ``wanted`` says which column holds what.
+
+    Thousands commas go; a row without all six numbers is no station; of stations of one well at one depth the one with the
+    least numbers stays."""
+    names = ["md", "inc", "azi", "tvd", "ns", "ew"]
+    out = rows.select("well_id", *[F.replace(F.trim(wanted[n]), F.lit(","), F.lit("")).try_cast("double").alias(n) for n in names]).dropna(subset=names)
+    return out.groupBy("well_id", "md").agg(F.min(F.struct(*names[1:])).alias("s")).select("well_id", "md", "s.*")
+
+
+def survey_csv(spark: SparkSession, path: str, well_id: int, first: int = 1) -> DataFrame:
+    """A comma-separated survey; the six numbers begin at column ``first``."""
+    rows = spark.read.text(path).select(F.lit(well_id).cast("long").alias("well_id"), F.from_csv("value", ", ".join(f"c{i} string" for i in range(first + 6))).alias("c"))
+    return stations(rows.select("well_id", "c.*"), {n: f"c{first + i}" for i, n in enumerate(("md", "inc", "azi", "tvd", "ns", "ew"))})
+
+
+def survey_text(spark: SparkSession, path: str, well_id: int, places: tuple[int, ...] = (0, 1, 2, 3, 5, 7), least: int = 11) -> DataFrame:
+    """A survey report as text: lines that begin with ``least`` numbers, of which ``places`` are wanted."""
+    line = rf"^\s*(?:-?\d[\d,]*(?:\.\d+)?(?:\s+|$)){{{least}}}"
+    rows = spark.read.text(path).where(F.col("value").rlike(line)).select(F.lit(well_id).cast("long").alias("well_id"), F.split(F.trim("value"), r"\s+").alias("p"))
+    return stations(rows.select("well_id", *[F.get("p", F.lit(k)).alias(f"c{i}") for i, k in enumerate(places)]), {n: f"c{i}" for i, n in enumerate(("md", "inc", "azi", "tvd", "ns", "ew"))})
+
+
 def latest_round(spark: SparkSession, pattern: str) -> DataFrame:
     """The label file of the last round: the longest name, then the last."""
     rows = csv_text(spark, pattern).withColumn("_file", F.input_file_name())
