@@ -255,14 +255,15 @@ def rig_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("hazard").agg(F.count("*").alias("n"), F.count_if(F.col("h").isNull()).alias("untimed"), total(F.col("h")).alias("hours"), total(F.when(F.col("state") == "O", F.col("h"))).alias("hours_open"))
 
 
-@query("repeats", "event", "well", "spud", more={
+REPEATS = {
     "place": "SELECT well_id, lat, lon, family, spud FROM well JOIN spud USING (well_id)",
     "rec": "SELECT DISTINCT well_id, formation, hazard FROM event",
     "hit": """SELECT a.well_id, a.formation, a.hazard, any_value(p.spud) AS spud, count(q.well_id) AS n, max(q.spud) AS latest FROM rec a JOIN place p ON p.well_id = a.well_id
-        LEFT JOIN rec c ON c.formation = a.formation AND c.hazard = a.hazard LEFT JOIN place q ON q.well_id = c.well_id AND q.family <> p.family AND q.spud < p.spud GROUP BY 1, 2, 3"""},
-    sql="SELECT hazard, CAST(year(spud) // 10 * 10 AS INTEGER) AS decade, count(*) AS n, CAST(count_if(n > 0) AS BIGINT) AS k, round(avg(CASE WHEN n > 0 THEN (spud - latest) / 365.25e0 END), 6) AS gap_years FROM hit GROUP BY 1, 2")
-def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many recorded problems an earlier well of another family had in the same layer, archive-wide, and the years since the last one.
+        LEFT JOIN rec c ON c.formation = a.formation AND c.hazard = a.hazard LEFT JOIN place q ON q.well_id = c.well_id AND q.family <> p.family AND q.spud < p.spud GROUP BY 1, 2, 3"""}
+
+
+def repeat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recorded problem once for each well and layer, with its day ``d`` and the last earlier day (``latest``) on which a well of another family had it in the same layer.
 
     A layer's and problem's records are reduced to days; the last earlier day with another family follows from windows over them, without a self-join."""
     place = b.wells(spark, sf_dir).join(b.spuds(spark, sf_dir), "well_id").select("well_id", "family", "spud")
@@ -279,10 +280,16 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = days.withColumn("other", F.first("before").over(Window.partitionBy(*layer, "island").orderBy("d")))
     days = days.select(*layer, "d", F.col("before").alias("last"), *[F.lag(c).over(order).alias(f"last_{c}") for c in ("a", "z", "other")])
     own = F.col("family")
-    rows = rows.join(days, [*layer, "d"]).withColumn("latest", F.when((F.col("last_a") != own) | (F.col("last_z") != own), F.col("last")).otherwise(F.col("last_other")))
-    rows = rows.withColumn("k", F.col("latest").isNotNull().cast("int"))
+    return rows.join(days, [*layer, "d"]).withColumn("latest", F.when((F.col("last_a") != own) | (F.col("last_z") != own), F.col("last")).otherwise(F.col("last_other")))
+
+
+@query("repeats", "event", "well", "spud", more=REPEATS,
+    sql="SELECT hazard, CAST(year(spud) // 10 * 10 AS INTEGER) AS decade, count(*) AS n, CAST(count_if(n > 0) AS BIGINT) AS k, round(avg(CASE WHEN n > 0 THEN (spud - latest) / 365.25e0 END), 6) AS gap_years FROM hit GROUP BY 1, 2")
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many recorded problems an earlier well of another family had in the same layer, archive-wide, and the years since the last one."""
+    rows = repeat_rows(spark, sf_dir)
     decade = (F.floor(F.year("spud") / 10) * 10).cast("int")
-    return rows.groupBy("hazard", decade.alias("decade")).agg(F.count("*").alias("n"), F.count_if(F.col("k") > 0).alias("k"), F.round(F.avg((F.col("d") - F.col("latest")) / 365.25), 6).alias("gap_years"))
+    return rows.groupBy("hazard", decade.alias("decade")).agg(F.count("*").alias("n"), F.count("latest").alias("k"), F.round(F.avg((F.col("d") - F.col("latest")) / 365.25), 6).alias("gap_years"))
 
 
 @query("analog_overlap", "top", "event", more={"q": "SELECT * FROM (VALUES (100e0, 180e0), (400e0, 460e0), (900e0, 1000e0)) v(lo, hi)"}, sql="""

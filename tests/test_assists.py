@@ -60,3 +60,19 @@ def test_surveys(spark, tmp_path):
     assert [tuple(r) for r in files.survey_csv(spark, str(tmp_path / "a.csv"), 7).orderBy("md").collect()] == [(7, 1100.5, 1.0, 2.0, 1100.0, 3.0, -4.0), (7, 1200.0, 1.0, 2.0, 1199.0, 3.0, -5.0)]
     (tmp_path / "a.txt").write_text("Survey report\n MD INC\n 100.0 1.0 2.0 99.0 0 3.5 0 -4.5 0 0 0\n 200 1\n\n 300 1 2 299 0 4 0 -5 0 0 0 note\n")
     assert [tuple(r) for r in files.survey_text(spark, str(tmp_path / "a.txt"), 8).orderBy("md").collect()] == [(8, 100.0, 1.0, 2.0, 99.0, 3.5, -4.5), (8, 300.0, 1.0, 2.0, 299.0, 4.0, -5.0)]
+
+
+def test_the_ranker_holds_out_families(spark, sf_dir):
+    from borelog.plans import hazards
+
+    scored = hazards.ranker_cv(spark, sf_dir).join(hazards.cells(spark, sf_dir).select("well_id", "formation", "hazard", "family"), ["well_id", "formation", "hazard"]).toPandas()
+    assert len(scored) == hazards.cells(spark, sf_dir).count() == len(scored[["well_id", "formation", "hazard"]].drop_duplicates())
+    assert scored.groupby("family")["fold"].nunique().max() == 1 and scored["score"].between(0, 1).all() and set(scored["fold"]) == {0, 1, 2}
+
+
+def test_drawn_intervals_hold_the_area(spark, sf_dir):
+    from borelog.plans import hazards, reviews
+
+    lo, hi, draws = reviews.replay_auc_interval(spark, sf_dir).first()
+    point = hazards.auc(hazards.cells(spark, sf_dir).withColumn("one", detector.F.lit(1)).withColumn("s", detector.F.round("mean", 8)), ["one"], "s", "y").first()["auc"]
+    assert 0 <= lo < hi <= 1 and 40 <= draws <= 50 and lo - 0.02 <= point <= hi + 0.02
