@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -27,8 +28,27 @@ FOREVER = 1 << 60
 #: A border that no pre-tokenizer pattern of this family crosses: a single blank between two characters that are not white space.
 BLANKS = re.compile(r"\s\s")
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-#: Parts in a worker's cache; a full cache starts anew, results are the same.
-CACHED = 300_000
+#: Bytes that a worker's cache of parts may take, the longest part that it keeps, and what an entry takes besides its bytes.
+CACHE_BYTES, LONGEST_KEPT, ENTRY_BYTES = 64 << 20, 64, 200
+#: Pairs of tokens whose border test is remembered.
+BORDERS = 300_000
+
+
+class Parts:
+    """Encoded parts, at most ``limit`` bytes of them whatever the texts are: long parts are never kept and a full cache starts anew."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.known: dict[str, bytes] = {}
+        self.get, self.limit, self.held = self.known.get, limit, 0
+
+    def add(self, part: str, ids: bytes) -> None:
+        if len(part) > LONGEST_KEPT:
+            return
+        if self.held > self.limit:
+            self.known.clear()
+            self.held = 0
+        self.known[part] = ids
+        self.held += ENTRY_BYTES + len(part) + len(ids)
 
 
 class Vocabulary:
@@ -46,11 +66,27 @@ class Vocabulary:
         with Path(path).open("rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
+    @functools.cached_property
+    def suffixes(self):
+        """An automaton over bytes that names every token ending at each place."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for data, token in self.ranks.items():
+            found.add_word(data.decode("latin-1"), (len(data), token))
+        found.make_automaton()
+        return found
+
+    def rank(self, first: bytes, second: bytes) -> int | None:
+        """The rank at which two neighbours merge; None: never."""
+        return self.ranks.get(first + second)
+
     def merged(self, piece: bytes) -> list[bytes]:
         """Plain merging by rank, lowest and leftmost first. Only used on the bytes of single tokens, to find how each is formed."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 2:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], FOREVER), i) for i in range(len(parts) - 1))
+            ranks = [self.rank(*pair) for pair in itertools.pairwise(parts)]
+            rank, i = min((FOREVER if r is None else r, i) for i, r in enumerate(ranks))
             if rank == FOREVER:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -62,12 +98,13 @@ class Vocabulary:
             data = self.bytes_of[token]
             left, right = [(data, FOREVER)], [(data, FOREVER)]
             parts = self.merged(data)
-            if len(parts) > 2:
+            gone = self.rank(*parts) if len(parts) == 2 else None
+            if len(parts) > 2 or len(parts) == 2 and gone is None:
                 self._edges[token] = None
                 return None
             if len(parts) == 2:
                 for side, part, pick in ((left, parts[0], 0), (right, parts[1], 1)):
-                    side.append((part, token))
+                    side.append((part, gone))
                     inner = self.edges(self.ranks[part])
                     side += [(b, r) for b, r in (inner[pick] if inner else [])[1:]]
             self._edges[token] = (left, right)
@@ -80,16 +117,15 @@ class Vocabulary:
             a, b = self.edges(first), self.edges(second)
             known = a is not None and b is not None
             if known:
-                get = self.ranks.get
                 for x, x_gone in a[1]:
                     for y, y_gone in b[0]:
-                        rank = get(x + y)
+                        rank = self.rank(x, y)
                         if rank is not None and rank < x_gone and rank <= y_gone:
                             known = False
                             break
                     if not known:
                         break
-            if len(self.fits) > CACHED:
+            if len(self.fits) > BORDERS:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -103,26 +139,26 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> PrefixTable:
-        """Exact: no stored entry changes."""
+        """Exact: no stored entry changes. Of the tokens that end at a place just one may follow what stands before it."""
         v, start = self.vocabulary, len(self.data)
         self.data += more
-        data, last, get, fits, longest = self.data, self.last, v.ranks.get, v.fits.get, v.longest
-        for end in range(start + 1, len(data) + 1):
-            for at in range(end - 1, max(0, end - longest) - 1, -1):
-                token = get(data[at:end])
-                if token is None:
-                    continue
-                if not at:
-                    ok = v.edges(token) is not None
-                else:
-                    ok = fits(last[at] << 32 | token)
-                    if ok is None:
-                        ok = v.may_follow(last[at], token)
-                if ok:
-                    last.append(token)
-                    break
+        last, fits, back = self.last, v.fits.get, max(0, start - v.longest)
+        last.extend([-1] * len(more))
+        for end, (size, token) in v.suffixes.iter(self.data[back:].decode("latin-1")):
+            end += back + 1
+            if end <= start or last[end] >= 0:
+                continue
+            if end > size:
+                before = last[end - size]
+                ok = fits(before << 32 | token)
+                if ok is None:
+                    ok = v.may_follow(before, token)
             else:
-                raise ValueError("a byte is missing from the vocabulary")
+                ok = v.edges(token) is not None
+            if ok:
+                last[end] = token
+        if -1 in last[start + 1 :]:
+            raise ValueError("a byte is missing from the vocabulary")
         return self
 
     def cut(self, length: int) -> PrefixTable:
@@ -145,7 +181,7 @@ class Encoder:
         import regex
 
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Parts()
 
     def match(self, text: str) -> bytes:
         data = text.encode("utf-8", "replace")
@@ -158,7 +194,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return encode_parts(text, self.known, self.fresh, CACHED)
+        return encode_parts(text, self.known, self.fresh)
 
     def fresh(self, parts: list[str], simple: bool = False) -> list[bytes]:
         return [self.part(x) for x in parts]
@@ -181,8 +217,8 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode_parts(text: str, known: dict[str, bytes], fresh, cached: int) -> bytes:
-    """The ids of a text from those of its parts between safe borders. ``known`` is a bounded cache, ``fresh`` encodes a list of new parts."""
+def encode_parts(text: str, known: Parts, fresh) -> bytes:
+    """The ids of a text from those of its parts between safe borders. ``fresh`` encodes a list of new parts."""
     if BLANKS.search(text):
         parts = BETWEEN.split(text)
     else:
@@ -193,18 +229,16 @@ def encode_parts(text: str, known: dict[str, bytes], fresh, cached: int) -> byte
             head, *rest = line.split(" ")
             parts += ["\n", head]
             parts += [" " + x for x in rest]
-    try:
-        return b"".join([known[x] for x in parts])
-    except KeyError:
-        new = list({x for x in parts if x not in known})
-        if len(known) > cached:
-            known.clear()
-            new = list(set(parts))
-        known.update(zip(new, fresh(new), strict=True))
-        return b"".join([known[x] for x in parts])
-
-
-def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh, cached: int) -> list[bytes]:
+    ids = {x: known.get(x) for x in parts}
+    new = [x for x, found in ids.items() if found is None]
+    if new:
+        for x, made in zip(new, fresh(new), strict=True):
+            ids[x] = made
+            known.add(x, made)
+    return b"".join(map(ids.__getitem__, parts))
+
+
+def encode_slice(strings: pa.Array, known: Parts, fresh) -> list[bytes]:
     """The ids of each text. Texts are cut at safe borders for all at once, each distinct part is encoded once and its ids
     are put in all its places; a text with two white-space characters in a row, or a rare one, goes the careful way."""
     raw, offsets = as_bytes(strings)
@@ -234,13 +268,12 @@ def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh, cached: int)
         careful[:] = True
     data = raw.tobytes()
     parts = [data[a:z].decode() for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    if len(known) > cached:
-        known.clear()
     ids = list(map(known.get, parts))
     at = [i for i, x in enumerate(ids) if x is None]
     new = [parts[i] for i in at]
     for i, p, x in zip(at, new, fresh(new, not careful.any()), strict=True):
-        ids[i] = known[p] = x
+        ids[i] = x
+        known.add(p, x)
     length = np.array([len(x) // 4 for x in ids], np.int64)
     place = np.cumsum(length) - length
     count = length[of]
@@ -249,7 +282,7 @@ def encode_slice(strings: pa.Array, known: dict[str, bytes], fresh, cached: int)
     bounds = np.r_[0, ends][np.searchsorted(start, offsets)] * 4
     raw_ids = every.tobytes()
     for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        out[i] = encode_parts(strings[i].as_py(), known, fresh, cached) if careful[i] else raw_ids[a:z]
+        out[i] = encode_parts(strings[i].as_py(), known, fresh) if careful[i] else raw_ids[a:z]
     return out
 
 
@@ -264,12 +297,12 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
 
     A null text counts as empty (no ids, the digest of no bytes); repeated doc_ids and rows stay, one result each; other
     columns are ignored; an empty table gives no rows. A very long text is encoded whole, in a task's memory of some tens of
-    times its bytes. Each row is handled where it was read: no shuffle."""
+    times its bytes, broken by blanks or not; what stays in the worker between texts is bounded in bytes. Each row is handled where it was read: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary, pattern)
         for b in in_slices(batches):
-            ids = encode_slice(b.column("text"), e.known, e.fresh, CACHED)
+            ids = encode_slice(b.column("text"), e.known, e.fresh)
             out = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]
             out += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))] if with_ids else []
             out += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(e.decode(x)).hexdigest() for x in ids])]

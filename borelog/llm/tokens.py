@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode_slice
+from .bpe import Parts, encode_slice
 from .common import in_slices, texts
 
 BLOCK = 16_384
 CHUNK_IDS = 131_072
-#: Parts in a worker's cache; a full cache starts anew, results are the same.
-CACHED = 600_000
+#: Bytes of a worker's cache of parts.
+CACHE_BYTES = 128 << 20
 #: A part that stays the same between line ends: a blank at most before, no line end within, no white space at the end.
 PLAIN = re.compile(r" ?\S(?:[^\n]*\S)?")
 SCHEMA = "shard int, chunk int, first long, n_ids long, planes int, block int, kind string, doc_ids array<long>, lengths array<long>, data array<binary>"
@@ -73,7 +73,7 @@ def tokenizer(path: str):
                 ids[i] = each([texts[i].as_py()])[0]
         return ids
 
-    return fresh, {}, whole
+    return fresh, Parts(CACHE_BYTES), whole
 
 
 def to_planes(ids: np.ndarray, kind: str, block: int, compress) -> tuple[int, list[bytes]]:
@@ -135,7 +135,7 @@ def write(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id",
         arrow = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.list_(pa.binary()))])
         total = 0
         for b in in_slices(batches):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), whole(b.column("text"), encode_slice(b.column("text"), known, fresh, CACHED)), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), whole(b.column("text"), encode_slice(b.column("text"), known, fresh)), strict=True):
                 held.append(ids + end)
                 docs.append(doc)
                 total += len(held[-1]) // 4

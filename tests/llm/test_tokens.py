@@ -38,7 +38,7 @@ def hf():
 def test_prefix_tables_against_tiktoken(tik):
     e = bpe.encoder(RANKS, public_tokenizers.PATTERN)
     xs = texts(4000)
-    for x, ids in zip(xs, bpe.encode_slice(pa.array(xs), {}, e.fresh, 1000), strict=True):
+    for x, ids in zip(xs, bpe.encode_slice(pa.array(xs), bpe.Parts(50_000), e.fresh), strict=True):
         assert ids == e.encode(x)
         assert np.frombuffer(ids, "<u4").tolist() == tik.encode_ordinary(x)
         assert e.decode(ids) == x.encode()
@@ -83,9 +83,9 @@ def test_encode_and_decode_with_odd_rows(spark):
 
 def test_slices_against_the_library(hf):
     xs = texts(6000, 7)
-    fresh, known, whole = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    fresh, _, whole = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     xs += ["<|endoftext|>", "a <|endoftext|> b", "\n <|endoftext|>\n\n<|endoftext|>x", "a<|endof text|>", "<|endof", "text|>"]
-    found = whole(pa.array(xs), bpe.encode_slice(pa.array(xs), known, fresh, 1000))
+    found = whole(pa.array(xs), bpe.encode_slice(pa.array(xs), bpe.Parts(50_000), fresh))
     assert 50256 in np.frombuffer(found[-5], "<u4")
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in hf.encode_batch(xs, add_special_tokens=False)]
 
@@ -140,3 +140,25 @@ def test_very_long_texts(spark, tmp_path, tik, hf):
 def test_empty_table(spark, tmp_path):
     tokens.write(frame(spark, ODD).limit(0), str(tmp_path / "e"), public_tokenizers.path("byte_bpe_50k.json"))
     assert tokens.read(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_unbroken_texts_leave_a_bounded_cache(tik):
+    """More text without a blank than the cache may hold, each part another one; exact, and nothing of it stays."""
+    import base64
+    import time
+
+    e = bpe.Encoder(bpe.Vocabulary.load(RANKS), public_tokenizers.PATTERN)
+    e.known = bpe.Parts(100_000)
+    rng = random.Random(21)
+    began, size = time.process_time(), 0
+    for _ in range(8):
+        xs = [base64.b64encode(rng.randbytes(30_000)).decode().replace("/", "x") for _ in range(2)] + [f"{rng.random()}" for _ in range(600)]
+        size += sum(map(len, xs))
+        for x, ids in zip(xs, bpe.encode_slice(pa.array(xs), e.known, e.fresh), strict=True):
+            if len(x) < 100:
+                assert np.frombuffer(ids, "<u4").tolist() == tik.encode_ordinary(x)
+            assert e.decode(ids) == x.encode()
+        kept = sum(len(a) + len(b) + bpe.ENTRY_BYTES for a, b in e.known.known.items())
+        assert kept == e.known.held <= 100_000 + bpe.ENTRY_BYTES + 5 * bpe.LONGEST_KEPT
+        assert max(map(len, e.known.known)) <= bpe.LONGEST_KEPT
+    print(f"{(time.process_time() - began) / size * 1e6:.1f} s a MB of text without blanks")
