@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, contamination, jaccard, language, licenses, quality, suffixes, tokens, urls
+from . import bpe, chunks, contamination, jaccard, language, licenses, quality, suffixes, tokens, trie, urls
 from .common import shared_dir
 
 
@@ -75,6 +75,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-OPERATORS = (op1_gear_chunks, op2_bit_planes, op3_range_join, op4_qgram_lemma, op5_line_frequency, op6_bayes_jaccard, op7_licenses, op8_prefix_bpe, op9_suffix_array, op10_language)
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
+OPERATORS = (op1_gear_chunks, op2_bit_planes, op3_range_join, op4_qgram_lemma, op5_line_frequency, op6_bayes_jaccard, op7_licenses, op8_prefix_bpe, op9_suffix_array, op10_language, op12_trie_bpe)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 ORACLE: dict[str, str] = {"op3_range_join": urls.SQL, "op5_line_frequency": quality.SQL}
