@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task expands into 64-bit arrays at a time; bounds a worker's memory.
@@ -70,6 +70,21 @@ def meet(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None
     return many.join(one, [*keys, "_part"], how).drop("_part")
 
 
+def in_blocks(df: DataFrame, size: Column, limit: int, key: str) -> list[DataFrame]:
+    """``df`` in blocks whose sizes come to ``limit`` and one key's rows at most, by ranges of the integer ``key``; rows of one key stay together.
+
+    Several blocks are written first, so that each is read without what came before it."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    if total <= limit:
+        return [df] if total else []
+    parts = -(-total // limit)
+    ranged = df.withColumn("_size", size.cast("long")).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    before = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
+    rows = cut(df.sparkSession, cut(df.sparkSession, ranged, "ranged").withColumn("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("long")).withColumn("_block", F.expr(f"_block div {limit}")), "sized")
+    blocks = sorted(rows.select("_part", "_block").distinct().collect())
+    return [rows.where((F.col("_part") == p) & (F.col("_block") == b)).drop("_part", "_block", "_size") for p, b in blocks]
+
+
 def texts(df: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     """Two columns, ``doc_id`` and ``text`` (null: empty), and the named others, whatever else the table holds."""
     return df.select(*others, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -113,11 +128,11 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) | np.uint64(1)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words (runs of bytes over 32) of concatenated texts: start, end, and a 64-bit hash of each. No word spans two texts."""
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words (runs of bytes that are ``inside`` one; default: over 32) of concatenated texts: start, end, and a 64-bit hash of each. No word spans two texts."""
     n = len(raw)
     solid = np.zeros(n + 1, bool)
-    solid[:n] = raw > 32
+    solid[:n] = raw > 32 if inside is None else inside
     before = np.zeros(n + 1, bool)
     before[1:] = solid[:n]
     before[offsets] = False

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, contamination, jaccard, language, licenses, quality, suffixes, tokens, trie, urls
+from . import bpe, chunks, contamination, jaccard, language, licenses, merkle, quality, ranked, suffixes, tokens, trie, urls
 from .common import shared_dir
 
 
@@ -75,10 +75,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
 def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
-OPERATORS = (op1_gear_chunks, op2_bit_planes, op3_range_join, op4_qgram_lemma, op5_line_frequency, op6_bayes_jaccard, op7_licenses, op8_prefix_bpe, op9_suffix_array, op10_language, op12_trie_bpe)
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "postings")
+    ranked.build(table(spark, sf_dir, "documents"), path)
+    return ranked.search(spark, path, table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_gear_chunks, op2_bit_planes, op3_range_join, op4_qgram_lemma, op5_line_frequency, op6_bayes_jaccard, op7_licenses, op8_prefix_bpe, op9_suffix_array, op10_language, op11_merkle, op12_trie_bpe, op13_ranked)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
-ORACLE: dict[str, str] = {"op3_range_join": urls.SQL, "op5_line_frequency": quality.SQL}
+ORACLE: dict[str, str] = {"op3_range_join": urls.SQL, "op5_line_frequency": quality.SQL, "op11_merkle": merkle.SQL, "op13_ranked": ranked.SQL}
