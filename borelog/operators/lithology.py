@@ -9,29 +9,60 @@ from borelog.functions import geo
 
 #: Rock classes and the words that name them.
 CLASSES = {
-    "sandstone": ["sandstone", "sand", "sst"], "shale": ["shale", "claystone", "mudstone", "clay"], "limestone": ["limestone", "chalk", "carbonate"],
-    "dolomite": ["dolomite"], "salt": ["salt", "halite", "evaporite", "anhydrite"], "coal": ["coal", "lignite"], "granite": ["granite", "granitic", "basement"], "volcanic": ["basalt", "tuff", "volcanic"],
-}
+    "sandstone": ["sandstone", "sands"],
+    "shale": ["shale", "mudstone", "siltstone", "silt", "claystone/shale"],
+    "claystone": ["claystone", "clay", "clay-siltstone"],
+    "limestone": ["limestone", "carbonate", "dolomite", "dolostone", "calcareous"],
+    "chalk": ["chalk"],
+    "marl": ["marl", "marlstone"],
+    "coal": ["coal"],
+    "salt": ["salt", "anhydrite", "halite", "evaporite", "gypsum"],
+    "basement": ["basement", "granite", "granitoid", "granodiorite", "basalt", "tonalite", "gneiss", "schist"],
+    "mixed": ["tuff", "volcanic", "breccia"],
+}
+#: Short rock codes of curated unit maps.
+UNIT_CODES = {"sand": "sandstone", "shale": "shale", "lime": "limestone", "clay": "claystone", "chalk": "chalk"}
+
+
+def _word(text: Column, words: list[str], plural: bool = False) -> Column:
+    return text.rlike(r"(?iu)\b(?:" + "|".join(rf"\Q{w}\E" for w in words) + (r")(?:s|es)?\b" if plural else r")\b"))
+
 
+def _named(text: Column, plural: bool = False) -> Column:
+    """The classes whose words stand in ``text``."""
+    return F.array_compact(F.array(*[F.when(_word(text, w, plural), F.lit(k)) for k, w in CLASSES.items()]))
 
-def _word(text: Column, words: list[str]) -> Column:
-    return text.rlike(r"(?iu)\b(?:" + "|".join(words) + r")s?\b")
 
+def rock_class(text: Column, unit_code: Column | None = None) -> Column:
+    """The class of a unit: that of its code in a curated map, else the one that its description names; ``mixed`` for several; null for none, never a guess."""
+    found = _named(text)
+    said = F.when(F.size(found) > 1, "mixed").otherwise(F.get(found, F.lit(0)))
+    if unit_code is None:
+        return said
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in UNIT_CODES.items() for x in pair])[unit_code], said)
 
-def rock_class(text: Column) -> Column:
-    """The class that a description names; ``mixed`` for several; null for none."""
-    found = F.filter(F.array(*[F.when(_word(text, w), F.lit(k)) for k, w in CLASSES.items()]), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 1, "mixed").otherwise(F.get(found, F.lit(0)))
+
+def mentions(passages: DataFrame, names: list[str], window: int = 60) -> DataFrame:
+    """Every mention of each name (all columns of ``passages``, name, spot, after): what follows it, at most ``window`` characters and not past another of ``names``.
+
+    The text is cut behind each place where one of the names ends, so mentions may stand as near each other as they like."""
+    longest = sorted(names, key=len, reverse=True)
+    any_name = r"(?iu)(?<!\w)(?:" + "|".join(rf"\Q{n}\E" for n in longest) + r")(?!\w)"
+    rows = passages.where(F.col("text").rlike(any_name))
+    pieces = F.split(F.col("text"), any_name, -1)
+    said = F.regexp_extract_all(F.col("text"), F.lit(any_name), F.lit(0))
+    by_low = F.create_map(*[F.lit(x) for n in names for x in (n.lower(), n)])
+    spots = F.transform(F.sequence(F.lit(0), F.size(said) - 1), lambda i: F.struct(by_low[F.lower(said[i])].alias("name"), i.alias("spot"), F.substring(pieces[i + 1], 1, window).alias("after")))
+    return rows.withColumn("_m", F.explode(spots)).select(*passages.columns, "_m.*")
 
 
 def votes(passages: DataFrame, names: list[str], window: int = 60, mixed: float = 0.5) -> DataFrame:
-    """(name, rock, n): the class most often named within ``window`` characters of each name; ``mixed`` where the second has half as many or more."""
-    rows = passages.select("text", F.explode(F.array(*[F.lit(n) for n in names])).alias("name")).where(F.instr(F.lower("text"), F.lower("name")) > 0)
-    around = F.regexp_extract_all("text", F.concat(F.lit(rf"(?isu)(.{{0,{window}}}\b"), F.col("name"), F.lit(rf"\b.{{0,{window}}})")))
-    spots = rows.select("name", F.explode(around).alias("near"))
-    each = spots.select("name", F.explode(F.filter(F.array(*[F.when(_word(F.col("near"), w), F.lit(k)) for k, w in CLASSES.items()]), lambda x: x.isNotNull())).alias("rock"))
+    """(name, rock, n): the class most often named right after each name; ``mixed`` where the second has ``mixed`` times as many or more, of two as often the first in the alphabet.
+
+    A mention gives one vote to each class that it names, in the singular or plural."""
+    each = mentions(passages, names, window).select("name", F.explode(_named(F.col("after"), plural=True)).alias("rock"))
     counts = each.groupBy("name", "rock").agg(F.count("*").alias("n"))
-    ranked = counts.groupBy("name").agg(F.reverse(F.sort_array(F.collect_list(F.struct("n", "rock")))).alias("r"))  # as many entries as classes
+    ranked = counts.groupBy("name").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "rock", "n"))).alias("r"))  # as many entries as classes
     second = F.coalesce(F.get("r", F.lit(1))["n"], F.lit(0))
     return ranked.select("name", F.when(second >= mixed * F.col("r")[0]["n"], "mixed").otherwise(F.col("r")[0]["rock"]).alias("rock"), F.col("r")[0]["n"].alias("n"))
 
@@ -43,19 +74,21 @@ def analogs(intervals: DataFrame, asked: DataFrame, least: float = 10.0) -> Data
     return rows.groupBy("rock", "lo", "hi", "well_id").agg(F.max(F.least(F.lit(1.0), F.col("_ov") / (F.col("base") - F.col("top")))).alias("weight"), F.count("*").alias("intervals"))
 
 
-#: Other names of the classes; callers may pass their own.
-ALIASES = {"carbonate": "limestone", "dolostone": "dolomite", "evaporite": "salt", "igneous": "volcanic", "lignite": "coal", "mudrock": "shale"}
+#: Other names of the classes; callers may pass their own.
+ALIASES = {
+    "carbonate": "limestone", "carbonates": "limestone", "dolomite": "limestone", "dolostone": "limestone", "evaporite": "salt", "evaporites": "salt", "granite": "basement", "igneous": "basement",
+    "metamorphic": "basement", "claystones": "claystone", "shales": "shale", "sandstones": "sandstone", "mudstone": "shale", "siltstone": "shale",
+}
 #: Ages, with what may stand before them.
 AGE = r"(?:(?:Upper|Lower|Middle|Late|Early)\s+)?(?:Precambrian|Cretaceous|Palaeocene|Paleocene|Eocene|Oligocene|Miocene|Pliocene|Pleistocene)"
 DEPTH_HINT = r"(\d[\d,]{2,6}(?:\.\d+)?)\s*(?:m|metres?|meters?)\b"
 
 
 def canonical_class(name: Column, aliases: dict[str, str] | None = None) -> Column:
-    """A class's own name for what a user wrote, in any case, singular or plural; null for anything else."""
+    """A class's own name for what a user wrote, in any case; null for anything else."""
     known = {k: k for k in CLASSES} | (ALIASES if aliases is None else aliases)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    said = F.lower(F.trim(name))
-    return F.coalesce(table[said], table[F.regexp_replace(said, "s$", "")])
+    return table[F.lower(F.trim(name))]
 
 
 def nearest_age(text: Column, name: str, window: int = 40) -> Column:

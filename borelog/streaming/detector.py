@@ -84,7 +84,7 @@ def sum_alarms(x: np.ndarray, sums: list[float], limits: Limits) -> tuple[np.nda
 
 
 def judge(rows: pd.DataFrame, state: tuple | None, limits: Limits) -> tuple[pd.DataFrame, tuple]:
-    """The samples of one well, in order of time, that are abnormal, and the state after them; the state's size is fixed.
+    """The samples of one well, in order of time, that are abnormal (the index says which), and the state after them; the state's size is fixed.
 
     Samples without circulation are no evidence and are not held: they only end runs and tell the pit's volume. A channel's
     missing value leaves its run as it is."""
@@ -126,7 +126,7 @@ def judge(rows: pd.DataFrame, state: tuple | None, limits: Limits) -> tuple[pd.D
     some = np.flatnonzero(hits.any(1) | (sign != 0))
     named = [[*np.array(CHANNELS)[hits[i]].tolist(), *["pit_vol"] * bool(sign[i])] for i in some]
     signal = [{-1: LOSSES, 1: INFLUX}.get(int(sign[i])) for i in some]
-    out = pd.DataFrame({"well_id": rows["well_id"].to_numpy()[some], "t": rows["t"].to_numpy()[some], "channels": named, "signal": pd.Series(signal, dtype=object), "stale": False})
+    out = pd.DataFrame({"well_id": rows["well_id"].to_numpy()[some], "t": rows["t"].to_numpy()[some], "channels": named, "signal": pd.Series(signal, dtype=object, index=some), "stale": False}, index=some)
     seen = rows["t"].iloc[-1].timestamp() if len(rows) else seen
     return out, (new_tails, new_runs, pit, sums, seen)
 
@@ -180,19 +180,6 @@ def look_ahead(samples: DataFrame, layers: DataFrame, reach: float = 150.0, aler
     return rows.where("level is not null").withColumn("metres_ahead", F.greatest(F.lit(0.0), F.col("top") - F.col("md_m")))
 
 
-def cool_down(alerts: DataFrame, seconds: float = 120.0) -> DataFrame:
-    """Alerts (well_id, hazard, formation, level, t) without those that come within ``seconds`` of the last one kept of their kind."""
-
-    def keep(rows: pd.DataFrame, last: pd.Timestamp | None) -> tuple[pd.DataFrame, pd.Timestamp]:
-        mask = []
-        for t in rows["t"]:
-            mask.append(last is None or (t - last).total_seconds() >= seconds)
-            last = t if mask[-1] else last
-        return rows[mask], last
-
-    return in_sorted_batches(alerts, ["well_id", "hazard", "formation", "level"], ["t"], keep, alerts.schema)
-
-
 def minute_medians(samples: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return samples.withWatermark("t", watermark).groupBy("well_id", F.window("t", "1 minute").alias("w")).agg(F.median("value").alias("value")).select("well_id", F.col("w.start").alias("minute"), "value")
 

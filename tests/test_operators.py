@@ -180,7 +180,7 @@ def test_rock_names_and_ages(spark):
 def test_suggestions_keep_to_their_length(spark):
     from borelog.operators import lithology
 
-    rows = spark.createDataFrame([("a", 2, "Sand at 1,200 m and 1300 metres."), ("a", 1, "Salt, then sand."), ("a", 3, None), ("b", 1, "nothing")], "basin string, ref int, text string")
+    rows = spark.createDataFrame([("a", 2, "Sands at 1,200 m and 1300 metres."), ("a", 1, "Salt, then sands."), ("a", 3, None), ("b", 1, "nothing")], "basin string, ref int, text string")
     found = [(r["value"], r["ref"]) for r in lithology.suggestions(rows, ["none"], most=1).collect()]
     assert found == [("salt", 1)] or found == [("sandstone", 1)]
     assert {(r["value"], r["ref"], tuple(r["depths"])) for r in lithology.suggestions(rows.where("ref > 1"), []).collect()} == {("sandstone", 2, ("1,200", "1300"))}

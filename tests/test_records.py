@@ -23,11 +23,27 @@ def test_find_or_create(spark):
 
 
 def test_rocks(spark):
-    rows = spark.createDataFrame([("Fine sandstone",), ("Shale and sand",), ("Nothing",), (None,)], "t string")
-    assert [r["c"] for r in rows.select(lithology.rock_class(rows["t"]).alias("c")).collect()] == ["sandstone", "mixed", None, None]
-    passages = spark.createDataFrame([("The Tipam is a sandstone. Tipam sandstone holds oil.",), ("Below Tipam there is shale.",), ("Barail coal",)], "text string")
-    found = {r["name"]: (r["rock"], r["n"]) for r in lithology.votes(passages, ["Tipam", "Barail"], window=12).collect()}
-    assert found["Barail"] == ("coal", 1) and found["Tipam"][0] in ("sandstone", "mixed")
+    said = {"Fine sandstone": "sandstone", "Shale and sandstone": "mixed", "Nothing": None, None: None, "Vlieland Claystone Formation": "claystone", "Z2 Carbonate Member": "limestone", "Upper Holland Marl Member": "marl",
+            "Z2 Basal Anhydrite Member": "salt", "Ommelanden Formation": None, "Basalt": "basement", "granite": "basement", "Dolomite": "limestone", "Chalk": "chalk", "siltstone": "shale", "Tuff": "mixed"}
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    assert {r["t"]: r["c"] for r in rows.select("t", lithology.rock_class(rows["t"]).alias("c")).collect()} == said
+    coded = spark.createDataFrame([("HUGIN FM", "sand"), ("SHETLAND GP", "chalk"), ("Shale", None), ("NO FORMAL NAME", "none")], "t string, code string")
+    assert [r[0] for r in coded.select(lithology.rock_class(coded["t"], coded["code"])).collect()] == ["sandstone", "chalk", "shale", None]
+    names = {"carbonate": "limestone", "Evaporite": "salt", "granite": "basement", " sandstone": "sandstone", "not-a-rock": None, "mudstone": "shale", "chalk": "chalk"}
+    asked = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in asked.select(lithology.canonical_class(asked["n"])).collect()] == list(names.values())
+
+
+def test_votes_after_each_name(spark):
+    def voted(names, *texts):
+        return {r["name"]: (r["rock"], r["n"]) for r in lithology.votes(spark.createDataFrame([(t,) for t in texts], "text string"), names).collect()}
+
+    assert voted(["Tipam", "Barail"], "The Tipam is a sandstone. Tipam sandstones hold oil; tipam sandstone.", "Below Tipam there is shale.", "Barail coal", "Shale above Barail") == {"Tipam": ("sandstone", 3), "Barail": ("coal", 1)}
+    crowded = "Tipam Sandstone lies on Girujan Clay.", "Tipam sandstone and Kopili shales."
+    assert voted(["Tipam", "Girujan", "Kopili"], *crowded) == {"Tipam": ("sandstone", 2), "Girujan": ("claystone", 1), "Kopili": ("shale", 1)}
+    assert voted(["A (upper)", "B+"], "In A (upper) there is salt, in B+ coal and marl") == {"A (upper)": ("salt", 1), "B+": ("mixed", 1)}
+    assert voted(["Tura"], "Tura limestone " * 7) == {"Tura": ("limestone", 7)}
+    assert voted(["Tura", "Tura Sandstone"], "Tura Sandstone is a chalk") == {"Tura Sandstone": ("chalk", 1)}
 
 
 def test_analogs(spark):

@@ -43,11 +43,36 @@ def test_witsml_units_and_unknown_curves(spark):
 
 
 def test_wits0(spark):
-    text = "&&\n0105240101\n0106120000\n0110100\n0117x\n!!\nnoise\n&&\n0105240101\n0106120005\n0113 7.5\n!!"
+    text = "&&\n0105240101\n0106120000\n0110100\n0116x\n!!\nnoise\n&&\n0105240101\n0106120005\n0113 7.5\n!!"
     found = feeds.wits0(spark.createDataFrame([("A", text)], "well string, text string")).orderBy("t").collect()
     assert [(str(r["t"]), r["channel"], r["value"]) for r in found] == [("2024-01-01 12:00:00", "md_m", 100.0), ("2024-01-01 12:00:05", "rop", 7.5)]
 
 
+def test_wits0_in_both_unit_sets(spark):
+    text = "&&\n0105240101\n0106120000\n01101000.0\n01181.0\n0121100\n01141000\n012610\n01302000\n011650\n0199 7\n!!\n"
+    payload = spark.createDataFrame([("A", text), ("B", "no records here"), ("C", None)], "well string, text string")
+    got = {s: {r["channel"]: round(r["value"], 6) for r in feeds.wits0(payload, unit_set=s).collect()} for s in ("metric", "imperial")}
+    assert got["metric"] == {"md_m": 1000.0, "torque": 0.737562, "spp": 14.5038, "hookload": 224.809, "pit_vol": 62.898, "flow_in": 528.344, "wob": 11.24045}
+    assert got["imperial"] == {"md_m": 304.8, "torque": 1.0, "spp": 100.0, "hookload": 1000.0, "pit_vol": 10.0, "flow_in": 2000.0, "wob": 50.0}
+    assert {r["well"]: r["why"] for r in payload.select("well", feeds.refusal(payload["text"]).alias("why")).collect()} == {"A": None, "B": "no log or record", "C": "empty"}
+    assert feeds.wits0(payload, most=0).count() == 0 and payload.select(feeds.refusal(payload["text"], 0)).first()[0] == "too many rows"
+
+
+def test_units_by_their_usual_names(spark):
+    from borelog.functions import units
+
+    rows = spark.createDataFrame([("1000 kgf", 1.0), (" Kft-lbf", 2.0), ("n.m", 1000.0), ("NM", 1000.0), ("rev/min", 3.0), ("galUS/min", 4.0), ("lbf", 1000.0), ("Metres", 5.0), ("furlong", 6.0), (None, 7.0)], "unit string, value double")
+    found = [r["converted"] for r in units.convert(rows).collect()]
+    assert found == [2.20462, 2.0, 0.737562, 0.737562, 3.0, 4.0, 1.0, 5.0, None, None]
+
+
+def test_every_curve_of_a_channel(spark):
+    names = [(m, c) for c, ms in feeds.CURVES.items() if c != "time" for m in ms]
+    xml = "".join(f"<logs><log><nameWell>{m}</nameWell><logData><mnemonicList>INDEX_TIME,{m}</mnemonicList><unitList>s,{u}</unitList><data>2024-01-01T00:00:00Z,2</data></logData></log></logs>" for m, c in names for u in ["psi"])
+    found = {r["well"]: (r["channel"], r["value"]) for r in feeds.witsml(spark.createDataFrame([(xml,)], "xml string")).collect()}
+    assert found == {m: (c, 2.0) for m, c in names}
+
+
 def test_timed_lines(spark):
     rows = [(1, "2020-01-01", i, x) for i, x in enumerate(["Header", "22:00 - 24:00 Drilled", "ahead to 500 m.", "00:00 - 05:30: Tripped."])]
     found = reports.timed_lines(spark.createDataFrame(rows, "document_id long, day string, seq long, line string").withColumn("day", F.to_date("day"))).orderBy("activity").collect()
@@ -82,3 +107,20 @@ def test_wits0_round_trip(spark):
     rows = spark.createDataFrame([("A", "2024-01-01 00:00:00", 100.5, None), ("A", "2024-01-01 00:00:05", 101.0, 7.0)], "well string, t string, md_m double, rop double").withColumn("t", F.to_timestamp("t"))
     back = feeds.wits0(feeds.to_wits0(rows, ["md_m", "rop"])).orderBy("t", "channel").collect()
     assert [(r["channel"], r["value"]) for r in back] == [("md_m", 100.5), ("md_m", 101.0), ("rop", 7.0)]
+
+
+def test_long_wells_leave_in_chunks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, "A").otherwise("B").alias("well"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("t"), (100.0 + F.col("id")).alias("md_m"), (F.col("id") * 0.5).alias("spp"))
+    for unit_set in ("metric", "imperial"):
+        posts = feeds.to_wits0(rows, ["md_m", "spp"], unit_set, rows_each=70)
+        sizes = [r["text"].count("&&") for r in posts.collect()]
+        assert max(sizes) <= 70 and sum(sizes) == 1000
+        back = feeds.samples(feeds.wits0(posts, unit_set=unit_set)).select("well", "t", F.round("md_m", 6).alias("md_m"), F.round("spp", 6).alias("spp"))
+        assert sorted(back.collect()) == sorted(rows.collect())
+    logs = feeds.to_witsml(rows, ["md_m", "spp"], rows_each=64)
+    assert max(r["xml"].count("<data>") for r in logs.collect()) <= 64
+    assert sorted(feeds.samples(feeds.witsml(logs)).select("well", "t", "md_m", "spp").collect()) == sorted(rows.collect())
+    order = [(r["well"], r["chunk"], r["xml"].split("<data>")[1][:20]) for r in logs.collect()]
+    assert sorted(order) == sorted(order, key=lambda x: (x[0], x[2]))

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from borelog.streaming import detector
+from borelog.streaming import detector, live
 
 COLS = "well_id long, t timestamp, torque double, spp double, hookload double, pit_vol double, flow_in double"
 
@@ -107,7 +107,7 @@ def test_look_ahead_and_cool_down(spark):
     samples = spark.createDataFrame([(1, t + dt.timedelta(seconds=30 * i), 120.0 + i) for i in range(6)], "well_id long, t timestamp, md_m double")
     found = detector.look_ahead(samples, layers)
     assert {(r["formation"], r["level"]) for r in found.collect()} == {("A", "alert"), ("B", "notice")}
-    kept = detector.cool_down(found.where("formation = 'A'")).collect()
+    kept = live.cool_down(found.where("formation = 'A'")).collect()
     assert sorted(r["t"] for r in kept) == [t, t + dt.timedelta(seconds=120)]
 
 
@@ -116,3 +116,83 @@ def test_only_moves_are_assessed_again(spark):
     rows = [(1, t + dt.timedelta(seconds=i), md) for i, md in enumerate([100.0, 100.5, 101.0, 101.5, None, 99.0])]
     found = detector.moved(spark.createDataFrame(rows, "well_id long, t timestamp, md_m double")).orderBy("t").collect()
     assert [r["md_m"] for r in found] == [100.0, 101.0, 99.0]
+
+
+def stream_of(spark, data, cuts, folder):
+    """``data`` as files cut at the given times, read one a batch."""
+    for k, (a, z) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = data.where((F.lit(True) if a is None else F.col("t") >= F.lit(a)) & (F.lit(True) if z is None else F.col("t") < F.lit(z)))
+        part.coalesce(1).write.parquet(f"{folder}/{k:03d}")
+    return spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def live_rows(seed, n=160):
+    import random
+
+    rng, out = random.Random(seed), []
+    for well in (1, 2):
+        t, md = dt.datetime(2024, 1, 1), 100.0
+        for i in range(n):
+            t += dt.timedelta(seconds=rng.choice([4, 5, 6]) if well == 1 else 20)
+            md += rng.choice([0, 0.2, 0.7, 1.5])
+            burst = 40 if 90 <= i < 99 else 0
+            out.append((well, t, None if rng.random() < 0.05 else md, 10 + rng.random() + burst, 100 + rng.random(), 50 + rng.random(), 200 + rng.random() - (6 * (i - 120) if i > 120 else 0), 500.0 if rng.random() < 0.9 else 0.0))
+    return out
+
+
+LIVE = "well_id long, t timestamp, md_m double, torque double, spp double, hookload double, pit_vol double, flow_in double"
+LAYERS = "well_id long, formation string, top double, base double, hazard string, mean double, status string, n_with long"
+
+
+def test_live_alerts_do_not_depend_on_the_cuts(spark, tmp_path):
+    data = spark.createDataFrame(live_rows(1), LIVE).cache()
+    layers = spark.createDataFrame([(w, f, top, top + 60, h, m, "ok", n) for w in (1, 2) for f, top in (("A", 90.0), ("B", 150.0), ("C", 400.0)) for h, m, n in (("torque_spike", 0.2, 1), ("lost_circulation", 0.5, 3), ("kick", 0.1, 0))], LAYERS)
+    limits = detector.Limits(least=20, far=3.0, persist=2)
+    key = lambda r: (r["well_id"], r["t"], r["formation"], r["hazard"], r["level"])
+    wanted = sorted(map(key, live.alerts_batch(data, layers, limits).collect()))
+    assert {k[4] for k in wanted} == {"alert", "notice", "escalated"}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name, seconds in (("one", []), ("some", [37, 300, 301, 650]), ("early", [9, 30])):
+            cuts = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s) for s in seconds]
+            found = live.alerts(stream_of(spark, data, cuts, str(tmp_path / name)), layers, limits)
+            q = found.writeStream.format("memory").queryName(f"live_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+            q.awaitTermination(300)
+            assert q.exception() is None
+            assert sorted(map(key, spark.table(f"live_{name}").collect())) == wanted, name
+        short = live.alerts(stream_of(spark, data, [dt.datetime(2024, 1, 1, 0, 5), dt.datetime(2024, 1, 1, 0, 6)], str(tmp_path / "ttl")), layers, limits, seconds=1e9, kept_ms=1)
+        q = short.writeStream.format("memory").queryName("live_ttl").outputMode("append").option("checkpointLocation", str(tmp_path / "ttl-cp")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        told = [key(r) for r in spark.table("live_ttl").collect()]
+        once = {(k[0], *k[2:]) for k in told}
+        assert len(told) > len(once)  # what was told is forgotten after its time to live, so the store stays small
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        data.unpersist()
+
+
+def test_watch_by_its_definition():
+    """Batches of any size give the same; the look-back comes from the first samples' rate; the state stays small."""
+    import json
+    import random
+
+    limits = detector.Limits(least=20, far=3.0, persist=2)
+    for seed in range(12):
+        frame = detector.pd.DataFrame([r for r in live_rows(seed) if r[0] == 1 + seed % 2], columns=[c.split(" ")[0] for c in LIVE.split(", ")])
+        whole, end = live.watch(frame, None, limits)
+        assert end["held"] == (max(20, int(300 / ((frame["t"][19] - frame["t"][0]).total_seconds() / 19))))
+        rng, state, parts, at = random.Random(seed), None, [], 0
+        while at < len(frame):
+            step = rng.choice([1, 2, 19, 20, 21, 60])
+            out, state = live.watch(frame.iloc[at : at + step], state and json.loads(json.dumps(state)), limits)
+            parts.append(out)
+            at += step
+        assert detector.pd.concat(parts, ignore_index=True).to_dict("records") == whole.to_dict("records")
+        assert max(map(len, state["judged"][0])) <= state["held"] and not state["first"]
+        last, wanted = None, []
+        odd = {(t, md) for t, md, c, s in zip(whole["t"], whole["md_m"], whole["channels"], whole["signal"], strict=True) if c or s}
+        for t, md in zip(frame["t"], frame["md_m"], strict=True):
+            if md == md and (last is None or abs(md - last) >= 1.0 or (t, md) in odd):
+                wanted.append((t, md))
+                last = md
+        assert list(zip(whole["t"], whole["md_m"], strict=True)) == wanted
