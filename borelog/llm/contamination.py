@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_slices, mix, odd_numbers, texts
+from .common import cut, in_blocks, in_slices, mix, odd_numbers, texts
 
 FILTER_BITS = 22
 PIECE = 1 << 20
+#: Pairs of a text's and an item's gram counted at a time, and diagonals aligned at a time.
+PAIRS, DIAGONALS = 1 << 20, 1 << 16
 
 
 def code_points(text: str) -> np.ndarray:
@@ -66,8 +68,11 @@ class Items:
         gram = np.concatenate(every) if every else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(points)), [len(g) for g in every])
         place = np.concatenate([np.arange(len(g)) for g in every]) if every else np.zeros(0, np.int64)
+        # An item's equal grams in a row are one run.
+        new = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])]) if len(gram) else np.zeros(0, np.int64)
+        gram, item, place, run = gram[new], item[new], place[new], np.diff(np.r_[new, len(gram)])
         order = np.argsort(gram, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item, self.place, self.run = item[order], place[order], run[order]
         self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
@@ -84,29 +89,73 @@ class Items:
         maybe, at = maybe[good], at[good]
         if not len(maybe):
             return []
-        n = self.count[at]
-        post = np.repeat(self.first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        item, diagonal = self.item[post], np.repeat(maybe, n) - self.place[post]
-        band = (diagonal + self.length[item]) // self.half[item]  # a band of two halves begins at each half
-        # An item's q-gram counts once in a band, wherever in the band it occurs.
-        order = np.lexsort((self.place[post], band, item))
-        item, band, place = item[order], band[order], self.place[post][order]
-        new = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (place[1:] != place[:-1])]
-        cell, held = np.unique(item[new] << 40 | band[new], return_counts=True)
+        # So are the text's: a run of either kind is counted as a whole.
+        new = np.flatnonzero(np.r_[True, (maybe[1:] != maybe[:-1] + 1) | (at[1:] != at[:-1])])
+        length, maybe, at = np.diff(np.r_[new, len(maybe)]), maybe[new], at[new]
+        cell, held = self.cells(maybe, length, at)
         next_to = np.r_[cell[1:] == cell[:-1] + 1, False]
         count = held + np.where(next_to, np.r_[held[1:], 0], 0)  # a band is two neighbouring cells, the first not empty
         key = cell[count >= self.least[cell >> 40]]
         best: dict[int, tuple[int, int, int, int]] = {}
-        for k in key.tolist():
-            i, b = k >> 40, k & (1 << 40) - 1
+        for i, low, high in self.stretches(key):
             if i in best and best[i][1] == 0:
                 continue
-            low = b * int(self.half[i]) - int(self.length[i])
-            hit = banded(self.points[i], points, low, low + 2 * int(self.half[i]) - 1, int(self.budget[i]))
+            hit = banded(self.points[i], points, low, high, int(self.budget[i]))
             if hit and (i not in best or hit < best[i][1:]):
                 best[i] = (i, *hit)
         return list(best.values())
 
+    def cells(self, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells (item << 40 | half of a band) in which runs of the text, with the grams ``at``, meet an item's, and how many of its q-grams at most.
+
+        Each place of an item counts once in a cell, wherever in the cell its gram occurs. Pairs are counted and summed up a bounded number at a time."""
+        n = self.count[at]
+        upto = np.cumsum(n)
+        keys, counts = [], []
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, side="right")))
+            k = n[begin:end]
+            post = np.repeat(self.first[at[begin:end]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            i, z = np.repeat(start[begin:end], k), np.repeat(start[begin:end] + length[begin:end] - 1, k)
+            for a in range(0, len(post), PAIRS):  # one run of the text may meet many runs
+                self.count_in(post[a : a + PAIRS], i[a : a + PAIRS], z[a : a + PAIRS], keys, counts)
+            begin = end
+        key = np.concatenate(keys)
+        key, where = np.unique(key, return_inverse=True)
+        run = key >> 32
+        count = np.minimum(np.bincount(where, np.concatenate(counts), minlength=len(key)).astype(np.int64), self.run[run])
+        cell, where = np.unique(self.item[run] << 40 | key & 0xFFFFFFFF, return_inverse=True)
+        return cell, np.bincount(where, count, minlength=len(cell)).astype(np.int64)
+
+    def count_in(self, post: np.ndarray, i: np.ndarray, z: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        """Adds the cells (run << 32 | half of a band) of pairs of a text's run, from place ``i`` to ``z``, and an item's run ``post``, and the places of the item that count in each."""
+        item, p, m = self.item[post], self.place[post], self.run[post]
+        size, half = self.length[item], self.half[item]
+        first, last = (i - p - m + 1 + size) // half, (z - p + size) // half
+        n = last - first + 1
+        one = np.repeat(np.arange(len(post)), n)
+        band = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        low = np.maximum(p[one], i[one] + size[one] - (band + 1) * half[one] + 1)
+        high = np.minimum(p[one] + m[one] - 1, z[one] + size[one] - band * half[one])
+        key, where = np.unique(post[one] << 32 | band, return_inverse=True)
+        keys.append(key)
+        counts.append(np.bincount(where, np.maximum(high - low + 1, 0), minlength=len(key)))
+
+    def stretches(self, key: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, low, high): the diagonals of bands that follow each other, put together up to a bounded number."""
+        out: list[tuple[int, int, int]] = []
+        for k in key.tolist():
+            i, b = k >> 40, k & (1 << 40) - 1
+            half = int(self.half[i])
+            low = b * half - int(self.length[i])
+            high = low + 2 * half - 1
+            if out and out[-1][0] == i and low <= out[-1][2] + 1 and high - out[-1][1] < DIAGONALS:
+                out[-1] = (i, out[-1][1], high)
+            else:
+                out.append((i, low, high))
+        return out
+
 
 def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the whole item's best alignment within the text whose diagonals lie near ``low`` to ``high``; None beyond the budget.
@@ -149,23 +198,19 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Case and kinds of white space are ignored. Items are looked for at any length; null ones, and those without a character
     that isn't white space, are held by nothing. Null and empty texts hold nothing; repeated rows and items each give their rows;
     of equally good places the first counts; an empty table on either side gives none. A very long text is read in overlapping
-    pieces. The benchmark is broadcast in blocks of ``block_chars`` characters and one item;
+    pieces; one character over and over, in texts and items, is counted by runs. The benchmark is broadcast in blocks of ``block_chars`` characters and the items of one id;
     each block is held against all rows, and where there are several each one's result is written before the next. ``with_tag`` adds the
     digest of the row's text, since ids may be shared or missing."""
     if q < 1 or not 0 <= rate < 1:
         raise ValueError("q must be 1 or more, and rate from 0 to below 1")
     spark = df.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").rlike("[^\\x00-\\x20\\xA0]"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_chars)
+    blocks = in_blocks(items, F.length("text"), block_chars, "item_id")
     rows = texts(df, id_col, text_col)
     schema = "doc_id long, item_id long, edits int, start long, end long" + ", tag binary" * with_tag
     out = None
-    for block in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
+    for part in blocks:
         held = part.orderBy("item_id").collect()
-        if not held:
-            continue
         shared = spark.sparkContext.broadcast(([r["item_id"] for r in held], [r["text"] for r in held]))
         overlap = int(max(len(r["text"]) for r in held) * (1 + rate)) + 1
 
@@ -188,6 +233,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start", "end", *["tag"] * with_tag])
 
         found = rows.mapInArrow(run, schema)
-        found = cut(spark, found, "found") if n_blocks > 1 else found
+        found = cut(spark, found, "found") if len(blocks) > 1 else found
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)
