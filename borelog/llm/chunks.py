@@ -73,8 +73,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
     """doc_id, n_bytes, n_chunks_repeated, spans (start, end of each maximal removed run) and kept (the other bytes) for every row.
 
     A chunk is repeated if its digest occurs twice in the table; every chunk but its first occurrence goes, however short.
-    A null text is empty; a chunk may repeat within a text; rows equal in id and text count as one document and keep what
-    is first in either; of documents with one id the least digest is first; a null id stays null and counts as -1 in the
+    A null text is empty; a chunk may repeat within a text; of rows equal in id and text one is first and all of the others
+    goes; of documents with one id the least digest is first; a null id stays null and counts as -1 in the
     order; an empty table gives no rows. A very long text is chunked whole, in a task's memory of some ten times its bytes. ``least`` is 32 at least, the hash's window, so
     that no cut depends on the text before."""
     if not WINDOW <= least <= most < 1 << 16:
@@ -98,11 +98,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
                 data = expand(blob)
                 for column, value in zip(out, (len(data), len(found or []), *removed(data, found or [])), strict=True):
                     column.append(value)
-            cols = [b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_chunks_repeated", "spans", "kept"])
-
-    joined = shrunk(rows).join(hits, KEYS, "left").select("doc_id", "blob", "hits")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_chunks_repeated long, spans array<struct<start:long,end:long>>, kept binary")
+            cols = [b.column("doc_id"), b.column("rows"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rows", "n_bytes", "n_chunks_repeated", "spans", "kept"])
+
+    # Equal rows are one on the way, gathered before the shuffle; each comes back as a row of its own.
+    one = shrunk(rows).groupBy(*KEYS).agg(F.first("doc_id").alias("doc_id"), F.first("blob").alias("blob"), F.count("*").alias("rows"))
+    joined = one.join(hits, KEYS, "left").select("doc_id", "rows", "blob", "hits")
+    each = joined.mapInArrow(run, "doc_id long, rows long, n_bytes long, n_chunks_repeated long, spans array<struct<start:long,end:long>>, kept binary")
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    whole = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))), lambda s: s["end"] > 0)
+    spans, kept = F.when(F.col("copy") == 1, F.col("spans")).otherwise(whole), F.when(F.col("copy") == 1, F.col("kept")).otherwise(F.lit(b""))
+    return each.select("doc_id", "n_bytes", "n_chunks_repeated", spans.alias("spans"), kept.alias("kept"))
 
 
 def removed(data: bytes, hits: list[dict]) -> tuple[list[dict], bytes]:

@@ -150,8 +150,8 @@ def test_texts_with_one_short_hash_stay_apart(spark, id_):
 
 
 def brute_chunks(docs):
-    """Chunks cut byte by byte by the definition of the rolling hash; of equal ones the first in the order of documents stays."""
-    rows, seen = [], {}
+    """Chunks cut byte by byte by the definition of the rolling hash; of equal ones the first in the order of documents stays, and of rows equal in id and text one."""
+    rows, seen, once = [], {}, set()
     for doc, text in docs:
         data, pos, own = (text or "").encode(), 0, []
         while pos < len(data):
@@ -172,7 +172,8 @@ def brute_chunks(docs):
             seen[data[a:z]] = min(seen.get(data[a:z], (one, 0))[0], one), seen.get(data[a:z], (0, 0))[1] + 1
     out = []
     for d, some, digest, doc, data, own in rows:
-        kept = b"".join(data[a:z] for a, z in own if seen[data[a:z]][0] == (d, a << 16 | z - a, (some, digest)))
+        kept = b"" if (doc, data) in once else b"".join(data[a:z] for a, z in own if seen[data[a:z]][0] == (d, a << 16 | z - a, (some, digest)))
+        once.add((doc, data))
         out.append((doc, len(data), len(data) - len(kept), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
@@ -208,3 +209,15 @@ def test_chunks_find_all_copies_in_the_table(spark, sf_dir):
     for doc, t in sorted(docs):
         if t and seen[t] > 1 and doc != first.setdefault(t, doc):
             assert found[doc]["n_removed"] == len(t.encode())
+
+
+def test_chunks_of_repeated_rows_stay_once(spark):
+    """Rows equal in id and text, with and without an id: one keeps its text, the others lose all of it."""
+    text = "seventy bytes of a text that stands in three rows without any id at all"
+    docs = [(None, text)] * 3 + [(7, "other " + text[::-1])] * 2 + [(8, ""), (8, ""), (9, "alone in the table")]
+    found = collections.Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), tuple(map(tuple, r["spans"]))) for r in chunks.dedup(frame(spark, docs)).collect())
+    n = len(text)
+    assert found == {
+        (None, n, text.encode(), ()): 1, (None, n, b"", ((0, n),)): 2, (7, n + 6, docs[3][1].encode(), ()): 1, (7, n + 6, b"", ((0, n + 6),)): 1,
+        (8, 0, b"", ()): 2, (9, 18, b"alone in the table", ()): 1,
+    }
