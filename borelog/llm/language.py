@@ -128,13 +128,14 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """doc_id, lang_pred and score (0 to 1) for every row, with the columns ``keep`` unchanged.
 
     ``und`` with score 0 where the text is null, empty or without a letter, or where the model knows no language. Repeated
-    rows stay, and an empty table gives no rows. The text alone decides; of families or languages with equal votes the one with
+    rows stay, and an empty table gives no rows. A kept column that is named like one of the results comes as ``<name>_in``. The text alone decides; of families or languages with equal votes the one with
     the larger sum of margins wins, then the first by name. Whole texts are read, a bounded slice or one very long text at a time."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x (languages + 1) weight vectors of ``size`` numbers
 
     wanted = [c for c in keep or [] if c != id_col]
     own = text_col not in wanted or dict(df.dtypes)[text_col] != "string"  # else the text crosses to Python once, as a kept column
-    column = "_text" if own else text_col
+    names = {c: f"k{i}" for i, c in enumerate(wanted)}  # no name of the table can clash on the way
+    column = "_text" if own else names[text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -152,13 +153,15 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                         best, inner = vote(x[rows], m["within"][f], len(m["langs"][f]))
                         lang[rows] = np.array(m["langs"][f], object)[best]
                         score[rows] = np.clip(sure[rows] * inner, 0, 1)
-            names = [x for x in b.schema.names if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            kept = [x for x in b.schema.names if x != "_text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in kept], pa.array(lang, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    cols = [F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in wanted], *[F.col(text_col).cast("string").alias("_text")] * own]
+    cols = [F.col(id_col).cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(k) for c, k in names.items()], *[F.col(text_col).cast("string").alias("_text")] * own]
     rows = df.select(*cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
+    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    results = ("doc_id", "lang_pred", "score")
+    return out.select("doc_id", *[F.col(k).alias(f"{c}_in" if c in results else c) for c, k in names.items()], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

@@ -115,6 +115,12 @@ def test_language_odd_rows_and_no_labels(spark, sf_dir):
     empty = language.fit(frame(spark, docs).withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in language.predict(frame(spark, docs), empty).collect()} == {"und"}
     assert language.predict(frame(spark, docs).limit(0), model).collect() == []
+    clash = frame(spark, docs).withColumns({"score": F.lit("s"), "lang_pred": F.lit("l"), "_text": F.lit("t"), "k0": F.lit("k")})
+    kept = language.predict(clash, model, keep=["score", "_text", "lang_pred", "text", "k0"])
+    assert kept.columns == ["doc_id", "score_in", "_text", "lang_pred_in", "text", "k0", "lang_pred", "score"]
+    plain = {(r["doc_id"], r["text"], r["lang_pred"], r["score"]) for r in language.predict(frame(spark, docs), model, keep=["text"]).collect()}
+    assert {(r["doc_id"], r["text"], r["lang_pred"], r["score"]) for r in kept.collect()} == plain
+    assert {(r["score_in"], r["_text"], r["lang_pred_in"], r["k0"]) for r in kept.collect()} == {("s", "t", "l", "k")}
 
 
 def test_pipeline_stages(spark, sf_dir):
