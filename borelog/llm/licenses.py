@@ -1,8 +1,11 @@
-"""License scans: words that occur near each other pick candidates, banded alignment of words measures them.
+"""License scans: winnowed fingerprints pick candidates, banded alignment of words measures them.
 
-Templates and texts are cut into words (lower case, punctuation dropped). An alignment that reaches the coverage has so
-many different words of the template near one diagonal; an inverted index of the templates' words counts these, first in
-stretches of the text, then for each diagonal. Whatever may reach the coverage is aligned, word by word, within a band.
+Templates and texts are cut into words (lower case, punctuation dropped). Of every window of neighbouring k-grams of words
+the least hash is a fingerprint; an inverted index names the templates that hold it, and a text that shares one is a
+candidate. How many words a gram has and how many grams a window follows from the template's length: any alignment within
+the band that reaches the coverage has a run of matched words long enough to hold a whole window, so none is lost. A
+candidate's words near each diagonal bound what an alignment there can match; whatever may reach the coverage is aligned,
+word by word, within a band.
 """
 
 from __future__ import annotations
@@ -15,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, in_slices, texts, words
+from .common import as_bytes, in_slices, mix, odd_numbers, texts, words
 
 #: Diagonals counted at a time, and cells aligned at a time.
 DIAGONALS, CELLS = 4096, 1 << 16
+#: Words of a fingerprint at most.
+MOST_WORDS = 3
 
 #: Public notices and license texts.
 TEMPLATES = {
@@ -78,9 +83,37 @@ class Index:
         for t, w in enumerate(self.words):
             self.member[t, w] = True
         self.order = [np.argsort(w, kind="stable") for w in self.words]
+        self.shapes = [self.shape(t) for t in range(len(every))]
+        self.inverted: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for k, w in sorted(set(self.shapes)):
+            own = [(t, winnowed(every[t], np.array([0, len(every[t])]), k, w)[0]) for t in range(len(every)) if self.shapes[t] == (k, w)]
+            prints = np.concatenate([f for _, f in own])
+            order = np.argsort(prints, kind="stable")
+            self.inverted[k, w] = prints[order], np.repeat([t for t, _ in own], [len(f) for _, f in own])[order]
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
+    def shape(self, t: int) -> tuple[int, int]:
+        """Words of a gram and grams of a window: a run of that many words is matched in every alignment that reaches the coverage.
+
+        An alignment leaves out at most ``m - need`` words of the template, and its place holds at most ``m + 2 x band`` words of the text, of which it matches ``need``; each word that is passed over on either side may end one run."""
+        m, need = len(self.words[t]), self.need[t]
+        breaks = (m - need) + (m + 2 * self.band(t) - need)
+        run = -(-need // (breaks + 1))
+        k = min(MOST_WORDS, (run + 2) // 2)
+        return k, run - k + 1
+
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which rows share a fingerprint with which templates; ``first`` is each row's first word, and at last their number."""
+        out = np.zeros((len(first) - 1, len(self.words)), bool)
+        for (k, w), (prints, template) in self.inverted.items():
+            found, place = winnowed(h, first, k, w)
+            left, right = np.searchsorted(prints, found, side="left"), np.searchsorted(prints, found, side="right")
+            n = right - left
+            post = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[np.repeat(np.searchsorted(first, place, side="right") - 1, n), template[post]] = True
+        return out
+
     def codes(self, h: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word, -1 for a word of no template."""
         out = np.full(len(h), -1, np.int64)
@@ -90,12 +123,13 @@ class Index:
         out[seen[good]] = at[good]
         return out
 
-    def stretches(self, code: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(row, template, low, high): the diagonals, from low to before high, around which a row has enough words of a template. ``first`` is each row's first word."""
+    def stretches(self, code: np.ndarray, first: np.ndarray, candidate: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, template, low, high): the diagonals, from low to before high, around which a candidate row has enough words of the template. ``first`` is each row's first word."""
         at = np.flatnonzero(code >= 0)
+        of = np.searchsorted(first, at, side="right") - 1
         out = []
         for t, need in enumerate(self.need):
-            p = at[self.member[t, code[at]]]
+            p = at[self.member[t, code[at]] & candidate[of, t]]
             if len(p) < need:
                 continue
             row = np.searchsorted(first, p, side="right") - 1
@@ -151,6 +185,27 @@ class Index:
         return 2 + len(self.words[t]) // 8
 
 
+def winnowed(h: np.ndarray, first: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of rows of words (hashes ``h``; ``first`` is where each row begins, and at last their number) and where they stand: the least gram of ``k`` words in each window of ``w``, the last of equal ones."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gram = np.zeros(n, np.uint64)
+    for i, factor in enumerate(odd_numbers(k, 17)):
+        gram += h[i : i + n] * factor
+    gram = mix(gram)
+    row = np.searchsorted(first, np.arange(len(h)), side="right") - 1
+    whole = row[: n] == row[k - 1 :]
+    if w == 1:
+        place = np.flatnonzero(whole)
+        return gram[place], place
+    if n < w:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    least = w - 1 - np.argmin(np.lib.stride_tricks.sliding_window_view(gram, w)[:, ::-1], axis=1)
+    place = np.unique((np.arange(n - w + 1) + least)[row[: n - w + 1] == row[w + k - 2 :]])
+    return gram[place], place
+
+
 def matched(template: np.ndarray, text: np.ndarray, centre: np.ndarray, band: int) -> np.ndarray:
     """The matched words of the best alignment within ``band`` of each diagonal in ``centre``."""
     width, size = 2 * band + 1, max(1, CELLS // (2 * band + 1))
@@ -206,7 +261,7 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "
     """(doc_id, template, coverage, n_matched, start, end): where a row's whole text holds ``coverage`` or more of a template's words, in order.
 
     The words lie within a band of 2 and an eighth of the template's words on either side of one diagonal; every such place
-    is found, whatever the edits between them. Places are in bytes of the UTF-8 text. A text may hold a template more than
+    is found, whatever the edits between them; of equally good places that overlap the first counts. A null id stays null. Places are in bytes of the UTF-8 text. A text may hold a template more than
     once; places of one template that overlap count once, by the best; repeated rows each give theirs; null and empty texts
     hold none, and nothing holds a template without a word. The index is as large as the templates, not the corpus; rows are
     scanned where they were read, no shuffle."""
@@ -222,7 +277,7 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "
             first = np.searchsorted(start, offsets)
             code = index.codes(h)
             spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-            for row, t, low, high in index.stretches(code, first[:-1]):
+            for row, t, low, high in index.stretches(code, first[:-1], index.candidates(h, first)):
                 held = spans.setdefault((row, t), [])
                 held += [x for x in index.find(t, code[first[row] : first[row + 1]], low, high) if not any(x[1] <= z and a <= x[2] for _, a, z in held)]
             found = [

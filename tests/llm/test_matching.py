@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from borelog.llm import common, contamination, graph, jaccard, licenses, queries
@@ -206,3 +207,92 @@ def test_licenses_with_spread_edits_against_unfiltered_alignment(spark):
                     wanted[doc, index.names[t]] = n
     assert len(wanted) > 12 and wanted == {k: n for k, n in best.items() if k[0] in small and len(index.words[index.names.index(k[1])]) < 20}
     assert licenses.scan(frame(spark, docs[-1:])).where("template = 'all-rights-reserved'").count() == 3
+
+
+def test_winnowing_by_its_definition():
+    rng = random.Random(8)
+    for _ in range(60):
+        h = np.array([rng.randrange(6) for _ in range(rng.randint(0, 60))], np.uint64)
+        cuts = sorted(rng.randint(0, len(h)) for _ in range(3))
+        first, k, w = np.array([0, *cuts, len(h)]), rng.randint(1, 3), rng.randint(1, 4)
+        grams = licenses.winnowed(h, np.array([0, len(h)]), k, 1)[0]
+        wanted = set()
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            for i in range(a, z - k - w + 2):
+                window = grams[i : i + w].tolist()
+                wanted.add(i + max(j for j in range(w) if window[j] == min(window)))
+        found, place = licenses.winnowed(h, first, k, w)
+        assert place.tolist() == sorted(wanted) and found.tolist() == grams[sorted(wanted)].tolist()
+
+
+def test_fingerprints_lose_no_place_that_reaches_the_coverage():
+    """Every alignment within the band has a run as long as a window, for any coverage: texts built to break runs as often as they may."""
+    rng = random.Random(9)
+    for coverage in (0.5, 0.8, 0.95, 1.0):
+        templates = {str(m): " ".join(f"t{m}x{i}" for i in range(m)) for m in (1, 3, 5, 12, 40)}
+        index = licenses.Index(templates, coverage)
+        if coverage == 1.0:
+            assert max(index.shapes) > (1, 1) and max(w for _, w in index.shapes) > 1
+        for t, name in enumerate(index.names):
+            words = templates[name].split(" ")
+            for _ in range(6):
+                gone = set(rng.sample(range(len(words)), len(words) - index.need[t]))
+                room, text = 2 * index.band(t), []
+                for i, word in enumerate(words):
+                    text += [] if i in gone and rng.random() < 0.5 else ["zz" if i in gone else word]
+                    if room and rng.random() < 0.6:
+                        text.append("new")
+                        room -= 1
+                h = licenses.word_hashes(licenses.pa.array([" ".join(text)]))[4]
+                code = index.codes(h)
+                n = max((licenses.align(index.words[t], code, c, index.band(t))[0] for c in range(-len(words), len(code) + 1)), default=0)
+                if n >= index.need[t]:
+                    assert index.candidates(h, np.array([0, len(h)]))[0, t]
+
+
+def test_licenses_of_null_ids_and_equal_places(spark):
+    text = licenses.TEMPLATES["all-rights-reserved"]
+    docs = [(None, text), (None, text), (1, f"{text} {text}"), (2, None)]
+    found = sorted(((r["doc_id"], r["start"]) for r in licenses.scan(frame(spark, docs)).collect()), key=str)
+    assert found == [(1, 0), (1, 21), (None, 0), (None, 0)]
+
+
+def test_one_character_over_and_over():
+    """Rules of dashes in items and texts are counted by runs: little memory, and the places of brute force."""
+    import resource
+    import time
+
+    items = ["-" * 200, "=" * 120, "-=" * 60, "see " + "-" * 40 + " below"]
+    points = [contamination.code_points(x) for x in items]
+    known = contamination.Items([1, 2, 3, 4], points, 8, 0.1)
+    for text in ("-" * 700, "x" + "-" * 150 + "y" + "-" * 60, "=-" * 100 + "==-" * 9, "see " + "-" * 37 + " below", "-" * 185, "-" * 170):
+        found = {i: e for i, e, *_ in known.find(contamination.code_points(text))}
+        assert found == {i: d for i, x in enumerate(items) for d in [distance(x, text)] if d <= len(x) // 10}
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    long = ("-" * 99 + "+") * 10_000
+    found = {i: e for i, e, *_ in known.find(contamination.code_points(long))}
+    assert found == {0: 2}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000 and time.process_time() - began < 120
+
+
+def test_contamination_against_full_tables_over_rows(spark):
+    """The query's rows equal those of full tables, edits planted: nothing is found that is not there."""
+    rng = random.Random(12)
+    letters = "abcdefgh ij"
+    items = [(i, "".join(rng.choice(letters) for _ in range(rng.choice([6, 30, 80, 120])))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 150)))
+        for i in rng.sample(range(12), rng.randint(0, 2)):
+            body = list(items[i][1])
+            for _ in range(rng.randint(0, 2 + len(body) // 8)):
+                at = rng.randrange(len(body))
+                body[at : at + rng.choice([0, 1])] = rng.choice(letters) * rng.choice([0, 1])
+            at = rng.randint(0, len(text))
+            text = text[:at] + "".join(body) + text[at:]
+        docs.append((d, text))
+    asked = spark.createDataFrame([(i, x) for i, x in items if x.strip()], "item_id long, text string")
+    wanted = sorted((d, i, n) for d, t in docs for i, x in items if x.strip() for n in [distance(x, t)] if n <= len(x) // 10)
+    for chars in (2_000_000, 150):
+        found = contamination.contaminated(frame(spark, docs), asked, block_chars=chars)
+        assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in found.collect()) == wanted
