@@ -294,14 +294,14 @@ def data_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("basin_suggestions", "line", "well", more={
     "p": """SELECT field AS basin, document_id * 10 + seq AS ref, formation, b, 50 * b + well_id % 40 AS md,
-        'Drilled ' || formation || ', ' || CASE b % 6 WHEN 0 THEN 'clean sand' WHEN 1 THEN 'grey claystone' WHEN 2 THEN 'chalk' WHEN 3 THEN 'rock salt' WHEN 4 THEN 'lignite' ELSE 'no sample' END || ', to ' || (50 * b + well_id % 40) || ' m.' AS text FROM line JOIN well USING (well_id)""",
-    "s": """SELECT basin, ref, text, md, 'lithology' AS type, CASE b % 6 WHEN 0 THEN 'sandstone' WHEN 1 THEN 'shale' WHEN 2 THEN 'limestone' WHEN 3 THEN 'salt' WHEN 4 THEN 'coal' END AS value FROM p
+        'Drilled ' || formation || ', ' || CASE b % 6 WHEN 0 THEN 'clean sands' WHEN 1 THEN 'grey claystone' WHEN 2 THEN 'chalk' WHEN 3 THEN 'rock salt' WHEN 4 THEN 'black coal' ELSE 'no sample' END || ', to ' || (50 * b + well_id % 40) || ' m.' AS text FROM line JOIN well USING (well_id)""",
+    "s": """SELECT basin, ref, text, md, 'lithology' AS type, CASE b % 6 WHEN 0 THEN 'sandstone' WHEN 1 THEN 'claystone' WHEN 2 THEN 'chalk' WHEN 3 THEN 'salt' WHEN 4 THEN 'coal' END AS value FROM p
         UNION ALL SELECT basin, ref, text, md, 'formation', formation FROM p WHERE formation IN ('Brand#12', 'Brand#34')"""},
     sql="""SELECT basin, type, value, ref, CASE WHEN md >= 100 THEN CAST(md AS VARCHAR) END AS depth FROM (
         SELECT *, row_number() OVER (PARTITION BY basin, type, value ORDER BY ref, text) AS r FROM s WHERE value IS NOT NULL) WHERE r = 1""")
 def basin_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First passage of each rock and listed layer in each region, over sentences built of the report lines."""
-    rock = F.element_at(F.array(*[F.lit(x) for x in ("clean sand", "grey claystone", "chalk", "rock salt", "lignite", "no sample")]), F.col("b") % 6 + 1)
+    rock = F.element_at(F.array(*[F.lit(x) for x in ("clean sands", "grey claystone", "chalk", "rock salt", "black coal", "no sample")]), F.col("b") % 6 + 1)
     md = (50 * F.col("b") + F.col("well_id") % 40).cast("string")
     lines = b.lines(spark, sf_dir).select("well_id", (F.col("document_id") * 10 + F.col("seq")).alias("ref"), F.concat(F.lit("Drilled "), "formation", F.lit(", "), rock, F.lit(", to "), md, F.lit(" m.")).alias("text"))
     passages = lines.join(b.wells(spark, sf_dir).select("well_id", F.col("field").alias("basin")), "well_id")

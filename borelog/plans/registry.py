@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assists, checks, hazards, passages, records, reviews, signals
+from . import assists, checks, hazards, parsing, passages, records, reviews, signals
 
-MODULES = (records, hazards, signals, passages, reviews, checks, assists)
+MODULES = (records, hazards, signals, passages, reviews, checks, assists, parsing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
