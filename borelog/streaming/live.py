@@ -116,7 +116,8 @@ def alerts(samples: DataFrame, layers: DataFrame, limits: Limits = Limits(), met
     """A stream of new alerts from a stream of samples (well_id, t, md_m, torque, spp, hookload, pit_vol, flow_in) and a table of ``layers`` (see ``detector.look_ahead``).
 
     Two keyed states follow each other: the detector with the last assessed depth, and the last telling of each (problem,
-    layer, level). The session needs the RocksDB state store."""
+    layer, level). The session needs the RocksDB state store, and a trigger that goes on (state with a time to live never has
+    its last batch, so ``availableNow`` would not end)."""
     watched = samples.groupBy("well_id").transformWithStateInPandas(Watch(limits, metres, kept_ms), WATCHED, "append", "processingTime")
     ahead = detector.look_ahead(watched, layers, reach)
     return ahead.groupBy("well_id").transformWithStateInPandas(Quiet(ahead.columns, seconds, kept_ms), ahead.schema, "append", "processingTime")
