@@ -77,3 +77,16 @@ def first_n(rows: DataFrame, by: list[str], order: list[tuple[str, bool]], n: st
         inside = (F.col(c) > edge if descending else F.col(c) < edge) | ((F.col(c) == edge) & inside)
     out = rows.join(edges, by, "left").where(F.coalesce(inside, F.col(n) > 0))
     return out.select(*rows.columns)
+
+
+def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with their place (``place``, from 0) within each key ``by``, in the ascending order of columns that are unique with it; neither is null.
+
+    Rows are ranged over tasks and written; a key that goes over several tasks gets its offsets from their counts, so no task orders a key's rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    lined = written(rows.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumns({"_part": F.shiftright(at, 33), "_at": at}), "placed")
+    starts = lined.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_held"))  # a row for each key and task
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
+    return lined.join(starts, [*by, "_part"]).withColumn("place", F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_first", "_before")

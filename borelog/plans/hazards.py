@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from borelog.functions import geo, stats
 from borelog.operators import joins, sequences
+from borelog.operators.ranking import auc
 from borelog.operators.tables import first_n, kept, written
 
 from . import bindings as b
@@ -289,10 +290,25 @@ FROM flagged c LEFT JOIN event e ON e.well_id = c.well_id AND e.md < c.alert_md
 """)
 def causal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The well's own records above each alert point: only what was known by then."""
-    own = b.events(spark, sf_dir).select(F.col("well_id").alias("w"), "md", F.col("hazard").alias("h"))
-    rows = cells(spark, sf_dir).join(own, (F.col("well_id") == F.col("w")) & (F.col("md") < F.col("alert_md")), "left")
-    gap = F.least(F.lit(100000.0), F.coalesce(F.first("alert_md") - F.max("md"), F.lit(100000.0)))
-    return rows.groupBy("well_id", "formation", "hazard").agg(F.count("md").alias("own_events"), F.count_if(F.col("h") == F.col("hazard")).alias("own_same"), F.round(F.log1p(gap), 6).alias("log_gap"))
+    rows = own_records(cells(spark, sf_dir).select("well_id", "formation", "hazard", "alert_md"), b.events(spark, sf_dir).select("well_id", "hazard", "md"))
+    return rows.select("well_id", "formation", "hazard", "own_events", "own_same", F.round("log_gap", 6).alias("log_gap"))
+
+
+def own_records(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Cells (well_id, formation, hazard, alert_md) with the number of the well's events (well_id, hazard, md) above the alert point, those of the same problem, and the log of the metres to the nearest above.
+
+    Events and alert points of a well, and of a well and problem, are one ordered stream each, points before events at
+    the same depth; no cell meets an event by itself."""
+    points = rows.select("well_id", F.col("alert_md").cast("double").alias("at"), F.lit(0).alias("event")).distinct()
+    every = events.select("well_id", F.col("md").cast("double").alias("at"), F.lit(1).alias("event"))
+    above = Window.partitionBy("well_id").orderBy("at", "event").rowsBetween(Window.unboundedPreceding, -1)
+    near = points.unionByName(every).withColumns({"own_events": F.coalesce(F.sum("event").over(above), F.lit(0)), "deepest": F.max(F.when(F.col("event") == 1, F.col("at"))).over(above)}).where("event = 0").drop("event")
+    mine = rows.select("well_id", "hazard", F.col("alert_md").cast("double").alias("at"), F.lit(0).alias("event"), "formation")
+    theirs = events.select("well_id", "hazard", F.col("md").cast("double").alias("at"), F.lit(1).alias("event"), F.lit(None).cast("string").alias("formation"))
+    same = Window.partitionBy("well_id", "hazard").orderBy("at", "event").rowsBetween(Window.unboundedPreceding, -1)
+    counted = mine.unionByName(theirs).withColumn("own_same", F.coalesce(F.sum("event").over(same), F.lit(0))).where("event = 0").drop("event")
+    gap = F.least(F.lit(100000.0), F.coalesce(F.col("at") - F.col("deepest"), F.lit(100000.0)))
+    return counted.join(near, ["well_id", "at"]).select("well_id", "formation", "hazard", "own_events", "own_same", F.log1p(gap).alias("log_gap"))
 
 
 @query("replay_auc", *BASE, more=CTES, sql="""
@@ -304,16 +320,6 @@ def replay_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc(cells(spark, sf_dir).withColumn("s", F.round("mean", 8)), ["source"], "s", "y").select("source", F.round("auc", 6).alias("auc"), "n_positive")
 
 
-def auc(rows: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
-    """Area under the ROC curve by ranks, ties by half; scores are counted before they are ordered."""
-    counts = rows.groupBy(*by, score).agg(F.sum(y).alias("p"), F.count("*").alias("n"))
-    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(before), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
-    out = counts.groupBy(*by).agg(won.alias("won"), F.sum("p").alias("n_positive"), F.sum(F.col("n") - F.col("p")).alias("n_negative"))
-    return out.withColumn("auc", F.when(F.col("n_positive") * F.col("n_negative") > 0, F.col("won") / (F.col("n_positive") * F.col("n_negative"))))
-
-
 @query("alert_lead", *BASE, more=CTES, sql="""
 SELECT hazard, count(*) AS events, CAST(count(*) FILTER (flag) AS BIGINT) AS forewarned, round(median(CASE WHEN flag THEN md - alert_md END), 4) AS median_lead
 FROM (SELECT DISTINCT e.well_id, e.formation, e.hazard, e.md, f.flag, f.alert_md FROM event e JOIN flagged f USING (well_id, formation, hazard)) GROUP BY 1
