@@ -95,7 +95,7 @@ def unseen_losses(losses: DataFrame, samples: DataFrame, drop: float = 5.0, minu
 
     Samples are joined by cells of the window's length, so a report meets three cells at most."""
     width = minutes * 60 + hours * 3600
-    at = F.unix_micros("t") / 1e6
+    at = F.unix_micros(F.col("t").cast("timestamp")) / 1e6
     said = losses.where("t is not null").select("well_id", "ref", at.alias("told")).withColumn("_cell", F.explode(F.sequence(F.floor((F.col("told") - minutes * 60) / width), F.floor((F.col("told") + hours * 3600) / width))))
     pits = samples.where("pit_vol is not null").select("well_id", at.alias("at"), "pit_vol").withColumn("_cell", F.floor(F.col("at") / width))
     rows = said.join(pits, ["well_id", "_cell"]).where((F.col("at") >= F.col("told") - minutes * 60) & (F.col("at") <= F.col("told") + hours * 3600))

@@ -120,3 +120,23 @@ def robust_z(df: DataFrame, key: str, order: str, value: str, n: int = 20, least
     held = held.withColumn("mad", middle(F.sort_array(F.transform("_held", lambda v: F.abs(v - F.col("med"))))) * 1.4826)
     ok = (F.size("_held") >= least) & (F.col("mad") > 1e-9)
     return held.withColumn("z", F.when(ok, (F.col(value) - F.col("med")) / F.col("mad"))).drop("_held")
+
+
+def time_signature(rows: DataFrame, key: str, at: str, value: str, least: tuple[int, int, int] = (30, 20, 5)) -> DataFrame:
+    """(key, minute, level, slope, spread) of a channel (``at``: the minute's number, one row a minute, ``value`` its median).
+
+    In minutes: the base is the median of the 360 that ended 60 before, and of the distances from their own bases; the level is
+    the last 60's median less the base, the slope the last 15's less that of the 15 which ended 45 before, the spread the last 60's
+    median distance from their medians; all by the base's distance, cut off at 20 and 5. A frame needs as many values as
+    ``least`` says (base, hour, quarter). Frames go by time, so missing minutes do not stretch them; rows without all three are left out."""
+    order = Window.partitionBy(key).orderBy(at)
+    frame = lambda n, lag: order.rangeBetween(-(n - 1) - lag, -lag)
+    middle = lambda c, n, lag, k: F.when(F.count(c).over(frame(n, lag)) >= k, F.median(c).over(frame(n, lag)))
+    base, hour, quarter = least
+    out = rows.withColumns({"_base": middle(value, 360, 60, base), "_hour": middle(value, 60, 0, hour), "_first": middle(value, 15, 45, quarter), "_last": middle(value, 15, 0, quarter)})
+    out = out.withColumns({"_off": F.abs(F.col(value) - F.col("_base")), "_near": F.abs(F.col(value) - F.col("_hour"))})
+    out = out.withColumns({"_mad": middle("_off", 360, 60, base) + 1e-6, "_wide": middle("_near", 60, 0, hour)})
+    cut = lambda c: F.least(F.greatest(c, F.lit(-20.0)), F.lit(20.0))
+    level, slope = cut((F.col("_hour") - F.col("_base")) / F.col("_mad")), cut((F.col("_last") - F.col("_first")) / F.col("_mad"))
+    spread = F.least(F.log1p(F.col("_wide") / F.col("_mad")), F.lit(5.0))
+    return out.select(key, at, level.alias("level"), slope.alias("slope"), spread.alias("spread")).dropna()

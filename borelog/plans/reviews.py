@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from borelog.functions import geo, stats
-from borelog.operators import joins, sequences
+from borelog.operators import joins, ranking, sequences
 from borelog.operators.tables import first_n
 
 from . import bindings as b
@@ -171,14 +171,13 @@ def region_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("replay_auc_interval")
 def replay_auc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The AUC's spread over draws of wells: each well is drawn a Poisson number of times, from a hash, in each of 50 draws."""
-    rows = hazards.cells(spark, sf_dir).select("well_id", "y", F.round("mean", 8).alias("s")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(50))))
-    u = F.pmod(F.xxhash64("well_id", "draw"), F.lit(1_000_000)) / 1_000_000
-    times = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
-    counts = rows.withColumn("times", times).where("times > 0").groupBy("draw", "s").agg(F.sum(F.col("y") * F.col("times")).alias("p"), F.sum("times").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.partitionBy("draw").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = counts.withColumn("below", below).groupBy("draw").agg((F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2)) / (F.sum("p") * F.sum(F.col("n") - F.col("p")))).alias("auc"))
-    return each.agg(F.percentile("auc", 0.025).alias("auc_lo"), F.percentile("auc", 0.975).alias("auc_hi"), F.count("auc").alias("draws"))
+    """The AUC's spread over 200 draws of wells: each well is drawn a Poisson number of times, from a hash, in each."""
+    import numpy as np
+
+    areas = ranking.auc_draws(hazards.cells(spark, sf_dir).select("well_id", "y", F.round("mean", 8).alias("s")), "well_id", "s", "y")
+    areas = areas[~np.isnan(areas)]
+    low, high = np.percentile(areas, [2.5, 97.5]).tolist() if len(areas) else (None, None)
+    return spark.createDataFrame([(low, high, len(areas))], "auc_lo double, auc_hi double, draws long")
 
 
 @query("high_spans", "sample", more={
