@@ -131,12 +131,13 @@ def time_signature(rows: DataFrame, key: str, at: str, value: str, least: tuple[
     ``least`` says (base, hour, quarter). Frames go by time, so missing minutes do not stretch them; rows without all three are left out."""
     order = Window.partitionBy(key).orderBy(at)
     frame = lambda n, lag: order.rangeBetween(-(n - 1) - lag, -lag)
-    middle = lambda c, n, lag, k: F.when(F.count(c).over(frame(n, lag)) >= k, F.median(c).over(frame(n, lag)))
+    held = lambda c, n, lag, k: F.when(F.count(c).over(frame(n, lag)) >= k, middle(F.sort_array(F.collect_list(c).over(frame(n, lag)))))  # noqa: E731  at most n values
     base, hour, quarter = least
-    out = rows.withColumns({"_base": middle(value, 360, 60, base), "_hour": middle(value, 60, 0, hour), "_first": middle(value, 15, 45, quarter), "_last": middle(value, 15, 0, quarter)})
+    out = rows.withColumns({"_base": held(value, 360, 60, base), "_hour": held(value, 60, 0, hour), "_first": held(value, 15, 45, quarter), "_last": held(value, 15, 0, quarter)})
     out = out.withColumns({"_off": F.abs(F.col(value) - F.col("_base")), "_near": F.abs(F.col(value) - F.col("_hour"))})
-    out = out.withColumns({"_mad": middle("_off", 360, 60, base) + 1e-6, "_wide": middle("_near", 60, 0, hour)})
-    cut = lambda c: F.least(F.greatest(c, F.lit(-20.0)), F.lit(20.0))
+    out = out.withColumns({"_mad": held("_off", 360, 60, base) + 1e-6, "_wide": held("_near", 60, 0, hour)})
+    cut = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-20.0)), F.lit(20.0)))
     level, slope = cut((F.col("_hour") - F.col("_base")) / F.col("_mad")), cut((F.col("_last") - F.col("_first")) / F.col("_mad"))
-    spread = F.least(F.log1p(F.col("_wide") / F.col("_mad")), F.lit(5.0))
+    spread = F.log1p(F.col("_wide") / F.col("_mad"))
+    spread = F.when(spread.isNotNull(), F.least(spread, F.lit(5.0)))
     return out.select(key, at, level.alias("level"), slope.alias("slope"), spread.alias("spread")).dropna()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assists, checks, hazards, parsing, passages, ranking, records, reviews, signals
+from . import assists, checks, hazards, parsing, passages, proposals, ranking, records, reviews, signals
 
-MODULES = (records, hazards, signals, passages, reviews, checks, assists, parsing, ranking)
+MODULES = (records, hazards, signals, passages, reviews, checks, assists, parsing, ranking, proposals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
