@@ -157,6 +157,8 @@ def detect_batch(samples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return in_sorted_batches(samples, ["well_id"], ["t"], lambda rows, state: judge(rows, state, limits), OUT)
 
 
+#: Metres of a cell of depth, and the deepest place that has one of its own.
+CELL_M, DEEPEST_M = 500.0, 12_500.0
 #: Which problems an anomaly of a channel or signal points to.
 POINTS_TO = {"possible_losses": ["lost_circulation"], "possible_influx": ["kick"], "torque": ["torque_spike", "stuck_pipe"], "hookload": ["stuck_pipe"], "spp": ["wellbore_instability", "stuck_pipe"]}
 
@@ -167,16 +169,20 @@ def look_ahead(samples: DataFrame, layers: DataFrame, reach: float = 150.0, aler
     ``layers`` is a table of (well_id, formation, top, base, hazard, mean, status, n_with); a base that is not known has no
     end. Level: alert where the posterior is sure and high, notice where there is any evidence, escalated where there is
     and an anomaly of the sample (its ``channels`` and ``signal``, if it has them) points to the problem in the layer at the bit."""
-    near = (samples["well_id"] == layers["well_id"]) & (layers["top"] <= samples["md_m"] + reach) & (F.coalesce(layers["base"], F.lit(float("inf"))) > samples["md_m"])
+    # Samples meet layers in cells of depth, and only then what is expected in those that are near.
+    base = F.coalesce("base", F.lit(float("inf")))
+    places = layers.select("well_id", "formation", "top", base.alias("_base")).distinct().withColumn("_cell", F.explode(F.sequence(*(F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(DEEPEST_M)) / CELL_M) for c in (F.col("top") - reach, F.col("_base"))))))
+    cell = F.floor(F.least(F.greatest(F.col("md_m"), F.lit(0.0)), F.lit(DEEPEST_M)) / CELL_M)
+    near = samples.withColumn("_cell", F.when(F.col("md_m").isNotNull(), cell)).join(places, ["well_id", "_cell"]).where((F.col("top") <= F.col("md_m") + reach) & (F.col("_base") > F.col("md_m"))).drop("_cell", "_base")
     level = F.when((F.col("status") == "ok") & (F.col("mean") >= alert), "alert").when(F.col("n_with") > 0, "notice")
-    rows = samples.join(layers.drop("t", "md_m"), near)
+    rows = near.join(layers.select("well_id", "formation", "top", "hazard", "mean", "status", "n_with"), ["well_id", "formation", "top"])
     if {"channels", "signal"} <= set(samples.columns):
         signs = F.concat(F.coalesce("channels", F.array().cast("array<string>")), F.array("signal"))
         pointed = F.lit(False)
         for sign, problems in (points_to or POINTS_TO).items():
             pointed = pointed | (F.array_contains(signs, sign) & F.col("hazard").isin(problems))
         level = F.when((F.col("top") <= F.col("md_m")) & (F.col("n_with") > 0) & F.coalesce(pointed, F.lit(False)), "escalated").otherwise(level)
-    rows = rows.select(samples["well_id"], *[samples[c] for c in samples.columns if c not in ("well_id", "channels", "signal")], "formation", "top", "hazard", "mean", level.alias("level"))
+    rows = rows.select("well_id", *[c for c in samples.columns if c not in ("well_id", "channels", "signal")], "formation", "top", "hazard", "mean", level.alias("level"))
     return rows.where("level is not null").withColumn("metres_ahead", F.greatest(F.lit(0.0), F.col("top") - F.col("md_m")))
 
 
