@@ -176,8 +176,10 @@ def evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of each layer as an array of structs: wells with the problem first, then by weight."""
     rows = b.events(spark, sf_dir).join(b.wells(spark, sf_dir).select("well_id", "lat"), "well_id")
     each = rows.groupBy("formation", "well_id").agg(F.max((F.col("hazard") == "SMALL").cast("int")).alias("y"), F.round(F.max(1 / (1 + F.abs(F.col("lat") - 58.5))), 6).alias("weight"))
-    held = each.groupBy("formation").agg(F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("y"), (-F.col("weight")).alias("weight"), "well_id"))).alias("evidence"))
-    return held.select("formation", F.array_join(F.slice(F.transform("evidence", lambda e: e["well_id"].cast("string")), 1, 5), ",").alias("first_five"), F.size("evidence").cast("long").alias("n"))
+    first = sequences.top_n(each, 5, ["formation"], [F.col("y").desc(), F.col("weight").desc(), F.col("well_id")])
+    held = first.groupBy("formation").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "well_id"))), lambda e: e["well_id"].cast("string")).alias("evidence"))
+    counts = each.groupBy("formation").agg(F.count("*").alias("n"))
+    return counts.join(held, "formation").select("formation", F.array_join("evidence", ",").alias("first_five"), "n")
 
 
 @query("striking_examples", "episode", sql="SELECT document_id, seq, formation, hazard, outcome, hours, quantity FROM (SELECT DISTINCT document_id, seq, formation, hazard, outcome, hours, quantity FROM episode WHERE quantity >= 48) ORDER BY hours ASC NULLS LAST, quantity DESC, document_id, seq, formation, hazard, outcome LIMIT 8")
