@@ -62,7 +62,7 @@ def test_units_by_their_usual_names(spark):
     from borelog.functions import units
 
     rows = spark.createDataFrame([("1000 kgf", 1.0), (" Kft-lbf", 2.0), ("n.m", 1000.0), ("NM", 1000.0), ("rev/min", 3.0), ("galUS/min", 4.0), ("lbf", 1000.0), ("Metres", 5.0), ("furlong", 6.0), (None, 7.0)], "unit string, value double")
-    found = [r["converted"] for r in units.convert(rows).collect()]
+    found = [r["converted"] if r["converted"] is None else round(r["converted"], 9) for r in units.convert(rows).collect()]
     assert found == [2.20462, 2.0, 0.737562, 0.737562, 3.0, 4.0, 1.0, 5.0, None, None]
 
 
