@@ -4,17 +4,19 @@
    equal sets are one class from here on.
 2. Bands of four values put classes into buckets; a bucket's hub is its least class. A pair at the threshold is in no
    common bucket with probability below 1e-7.
-3. Classes are laid in order of their least hub and cut into blocks. A class goes to each pair of blocks, its own and
-   one that holds a class of a common hub; a pair of classes meets there once. Pairs without a common bucket are passed
+3. Classes are laid in order of the hub that most classes have of those they have, and cut into blocks. The classes of a
+   hub that a block cannot hold are a zone of larger blocks, never more than make two cells a task, so the rows moved grow
+   with the zone and not with its square. A class goes to each pair of blocks (a cell), its own and one of its zone, or one
+   that holds a class of a common hub; a pair of classes meets there once. Pairs without a common bucket are passed
    over. The others' MinHash values are compared 32 at a time, pairs whose posterior probability of reaching the threshold
-   has fallen below the tolerance are dropped, and all that are left are verified on the whole sets. A task returns one row
-   for each class (links, and the least class it is joined to), never pairs.
+   has fallen below the tolerance are dropped, and all that are left are verified on the whole sets. A cell returns one row
+   for each class (links, and the least class that links within the cell lead to), never pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ HASHES, BAND, STEP = 128, 4, 32
 #: Stands for a null id, which comes last.
 LAST = (1 << 63) - 1
 BLOCK = 128
+#: Classes, and shingles of all of them, in a block of a zone, as long as that makes no more cells than two a task.
+ZONE_BLOCK, ZONE_SHINGLES = 1024, 1 << 20
 
 
 def shingle_sets(strings: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +164,20 @@ def linked(sketch: np.ndarray, size: np.ndarray, sets: list[np.ndarray], left: n
     return left[ok], right[ok]
 
 
+def join(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Joins the classes of each pair; ``label`` holds the least row that a row is joined to, before and after."""
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def verify(batches: Iterator[pa.RecordBatch], threshold: float, need: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """(node, links, least) for each class of each pair of blocks that has a link there: documents linked to, and the least class among its links and itself."""
+    """(node, links, least) for each class of each cell that has a link there: documents linked to, and the least class that links within the cell lead to."""
     out: list[list[np.ndarray]] = [[], [], []]
 
     def flush() -> pa.RecordBatch:
@@ -173,23 +189,27 @@ def verify(batches: Iterator[pa.RecordBatch], threshold: float, need: dict[int,
     for group in in_groups(batches, ["i", "j"]):
         node, copies, block = (group.column(k).to_numpy() for k in ("node", "copies", "block"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(len(node), HASHES)
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
+        sketch = np.concatenate([as_bytes(c)[0].view(np.uint32) for c in group.column("sketch").chunks]).reshape(len(node), HASHES)
+        sets = []
+        for raw, offsets in map(as_bytes, group.column("grams").chunks):
+            sets += [raw[s:e].view(np.uint64) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         size = np.array([len(x) for x in sets], np.int64)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         keys = band_keys(sketch)
-        shared = np.zeros((len(a), len(b)), bool)
-        for k in range(keys.shape[1]):
-            shared |= keys[a, k][:, None] == keys[b, k]
-        left, right = np.nonzero(np.triu(shared, 1) if i == j else shared)
-        left, right = linked(sketch, size, sets, a[left], b[right], threshold, need)
-        links, least = np.zeros(len(node), np.int64), node.copy()
-        np.add.at(links, left, copies[right])
-        np.add.at(links, right, copies[left])
-        np.minimum.at(least, left, node[right])
-        np.minimum.at(least, right, node[left])
+        links, label = np.zeros(len(node), np.int64), np.arange(len(node))
+        for s in range(0, len(a), BLOCK):
+            for t in range(s if i == j else 0, len(b), BLOCK):
+                p, q = a[s : s + BLOCK], b[t : t + BLOCK]
+                shared = np.zeros((len(p), len(q)), bool)
+                for k in range(keys.shape[1]):
+                    shared |= keys[p, k][:, None] == keys[q, k]
+                left, right = np.nonzero(np.triu(shared, 1) if i == j and s == t else shared)
+                left, right = linked(sketch, size, sets, p[left], q[right], threshold, need)
+                np.add.at(links, left, copies[right])
+                np.add.at(links, right, copies[left])
+                join(label, left, right)
         some = links > 0
-        for column, value in zip(out, (node[some], links[some], least[some]), strict=True):
+        for column, value in zip(out, (node[some], links[some], node[label][some]), strict=True):
             column.append(value)
         if sum(map(len, out[0])) > 10_000:
             yield flush()
@@ -197,6 +217,29 @@ def verify(batches: Iterator[pa.RecordBatch], threshold: float, need: dict[int,
         yield flush()
 
 
+def cells(own: DataFrame, size: DataFrame) -> DataFrame:
+    """(node, block, other): the pairs of blocks that each class goes to, from the hubs that it has (node, hub) and its number of shingles (node, size)."""
+    spark = own.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = ceil((2 * n) ** 0.5)  # blocks of a zone
+    crowd = cut(spark, own.groupBy("hub").agg(F.count("*").alias("n")), "crowds")
+    first = meet(own, crowd, ["hub"], hot_keys(crowd, ["hub"]), ["node"]).groupBy("node").agg(F.max(F.struct("n", -F.col("hub"))).alias("top"))
+    first = cut(spark, first.select("node", (-F.col("top.col2")).alias("first")).join(size, "node"), "firsts")
+    groups = first.groupBy("first").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    zones = groups.where(F.col("n") > BLOCK).select("first", F.ceil(F.greatest(F.col("n") / ZONE_BLOCK, F.col("size") / ZONE_SHINGLES)).alias("parts"))
+    zones = cut(spark, zones.select("first", F.least("parts", F.lit(most)).cast("int").alias("parts"), (-1 - F.monotonically_increasing_id() * most).alias("zone")), "zones")
+    cold = first.join(zones, "first", "left_anti").repartitionByRange(n, "first", "node").sortWithinPartitions("first", "node")
+    cold = cold.select("node", F.expr(f"monotonically_increasing_id() div {BLOCK}").alias("block"))
+    hot = meet(first, zones, ["first"], hot_keys(groups, ["first"]), ["node"]).select("node", (F.col("zone") - F.pmod(F.xxhash64("node"), "parts")).alias("block"), "zone", "parts")
+    laid = cut(spark, cold.select("node", "block", F.col("block").alias("zone"), F.lit(1).alias("parts")).union(hot), "blocks")
+    spots = own.join(laid.select("node", "zone", "parts"), "node").select("hub", F.col("zone").alias("away"), "parts").distinct()
+    several = cut(spark, spots.join(spots.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub"), "hub"), "spots")
+    at = own.join(several.select("hub").distinct(), "hub", "left_semi").join(laid.drop("parts"), "node")
+    far = meet(at, several, ["hub"], hot_keys(crowd.join(several, "hub", "left_semi"), ["hub"]), ["node"]).where("zone <> away").select("node", "block", "away", "parts").distinct()
+    both = laid.withColumnRenamed("zone", "away").select(*far.columns).union(far)
+    return both.select("node", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.col("away") - k)).alias("other"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, with_row: bool = False) -> DataFrame:
     """doc_id, class_id (the least doc_id of all that links lead to) and n_links (documents at ``threshold`` or more) for every row.
 
@@ -209,18 +252,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), row_tag(F.col("doc_id"), F.col("text")).alias("tag"), "doc_id", "text")
     every = cut(spark, sketches(rows, words_each), "sketches")
-    classes = every.where("size > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "sketch")).alias("one"))
-    classes = cut(spark, classes.select(F.monotonically_increasing_id().alias("node"), "digest", "copies", "one.doc", "one.tag", "one.sketch"), "classes")
+    classes = every.where("size > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "sketch", "size")).alias("one"))
+    classes = cut(spark, classes.select(F.monotonically_increasing_id().alias("node"), "digest", "copies", "one.*"), "classes")
     found = buckets(classes)
     hubs = cut(spark, found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "hubs")
-    mine = meet(found, hubs.select("bucket", "hub"), ["bucket"], hot_keys(hubs, ["bucket"]), ["node"])
-    mine = mine.groupBy("node").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("first"))  # a hub for each band at most
-    laid = mine.repartitionByRange(n, "first", "node").sortWithinPartitions("first", "node")
-    laid = cut(spark, laid.select("node", "hubs", F.expr(f"monotonically_increasing_id() div {BLOCK}").alias("block")), "blocks")
-    at = laid.select("node", "block", F.explode("hubs").alias("hub"))
-    spots = at.select("hub", F.col("block").alias("other")).distinct()
-    pairs = meet(at, spots, ["hub"], hot_keys(at.groupBy("hub").agg(F.count("*").alias("n")), ["hub"]), ["node"]).select("node", "block", "other").distinct()
-    held = classes.join(laid.select("node"), "node").select("node", "copies", "doc", "tag", "sketch")
+    own = cut(spark, meet(found, hubs.select("bucket", "hub"), ["bucket"], hot_keys(hubs, ["bucket"]), ["node"]).select("node", "hub").distinct(), "own")
+    meets = cells(own, classes.select("node", "size")).groupBy("node").agg(F.collect_list(F.struct("block", "other")).alias("meets"))
+    held = classes.join(meets, "node").select("node", "copies", "doc", "tag", "sketch", "meets")
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -232,15 +270,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             grams = [data[8 * s : 8 * e] for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(grams, pa.binary())], names=[*kept, "grams"])
 
-    kept = ["node", "copies", "sketch"]
-    sets = shrunk(rows).join(held, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("blob", *kept).mapInArrow(expanded, "node long, copies long, sketch binary, grams binary")
-    met = sets.join(pairs, "node").select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "sketch", "grams")
+    kept = ["node", "copies", "sketch", "meets"]
+    sets = shrunk(rows).join(held, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("blob", *kept).mapInArrow(expanded, "node long, copies long, sketch binary, meets array<struct<block:long,other:long>>, grams binary")
+    met = sets.select("node", "copies", "sketch", "grams", F.inline("meets")).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "sketch", "grams")
     need = least_matches(threshold, tolerance)
     met = met.repartition(n, "i", "j").sortWithinPartitions("i", "j", "node")
     links = cut(spark, met.mapInArrow(lambda it: verify(it, threshold, need), "node long, links long, least long"), "links")
-    joined = components(spark, links.where("least < node").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    totals = links.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = classes.select("node", "digest", "doc", "copies").join(joined, "node", "left").join(totals, "node", "left")
+    totals = cut(spark, links.groupBy("node").agg(F.sum("links").alias("links"), F.collect_set("least").alias("ends")), "totals")
+    # a class leads to the least of its ends, and so do its other ends, which are the same for most classes of a block
+    joined = components(spark, totals.select(F.explode(F.array_append("ends", F.col("node"))).alias("a"), F.array_min("ends").alias("b")).where("b < a").distinct())
+    groups = classes.select("node", "digest", "doc", "copies").join(joined, "node", "left").join(totals.select("node", "links"), "node", "left")
     groups = groups.select("digest", F.coalesce("label", "node").alias("label"), "doc", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     groups = cut(spark, groups, "groups")
     least = cut(spark, groups.groupBy("label").agg(F.min("doc").alias("class_id"), F.count("*").alias("n")), "least")

@@ -55,6 +55,52 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir, monkeypatch, block):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
 
 
+def chains(rng, n=40):
+    """Texts in threes: the third is linked to both others, which are not linked to each other."""
+    docs = []
+    for t in range(n):
+        w = [str(rng.randrange(10**6)) for _ in range(100)]
+        docs += [(10 * t, " ".join(["a"] * 9 + w[9:])), (10 * t + 1, " ".join(w[:-9] + ["b"] * 9)), (10 * t + 2, " ".join(w))]
+    return docs
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_two_classes_that_a_third_links_are_one(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    docs = chains(random.Random(5))
+    found = jaccard.near_duplicates(frame(spark, docs)).collect()
+    assert sorted(map(tuple, found)) == sorted((d, d - d % 10, 2 if d % 10 == 2 else 1) for d, _ in docs)
+    assert sorted(map(tuple, found), key=str) == brute(docs)
+
+
+def test_cells_grow_with_a_group_and_every_pair_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "ZONE_BLOCK", 16)
+    monkeypatch.setattr(common, "LEAST_HOT", 50)
+    rng = random.Random(8)
+    hubs = {x: {0} for x in range(400)}  # one group, some of which have others too
+    for x in range(0, 400, 7):
+        hubs[x].add(rng.choice([1, 2, 3]))
+    for x in range(400, 700):  # a second group, small ones, and some that go with the first
+        hubs[x] = {400} if x < 500 else {rng.randrange(500, 560), rng.choice([1, 2, 400, 570, 571])}
+    own = spark.createDataFrame([(x, h) for x, hs in hubs.items() for h in sorted(hs)], "node long, hub long")
+    size = spark.createDataFrame([(x, 10) for x in hubs], "node long, size long")
+    held = {}
+    for node, block, other in jaccard.cells(own, size).collect():
+        cell = held.setdefault((min(block, other), max(block, other)), [])
+        assert (node, block) not in cell
+        cell.append((node, block))
+    together = {}
+    for (i, j), nodes in held.items():
+        left, right = ([x for x, b in nodes if b == k] for k in (i, j))
+        for x, y in {(min(x, y), max(x, y)) for x in left for y in right if x != y}:
+            together[x, y] = together.get((x, y), 0) + 1
+    assert max(together.values()) == 1
+    assert all((x, y) in together for x in hubs for y in hubs if x < y and hubs[x] & hubs[y])
+    alone = own.where("hub = 0")
+    assert jaccard.cells(alone, size).count() <= 3 * 400  # four partitions: three blocks at most, however many classes
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(frame(spark, ODD).limit(0)).collect() == []
     assert sorted((r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(frame(spark, ODD[:2])).collect()) == [(9001, 0), (9002, 0)]
