@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from borelog.llm import common, contamination, graph, jaccard, licenses, queries
 
 from .helpers import ODD, documents, frame
@@ -73,6 +74,11 @@ def test_two_classes_that_a_third_links_are_one(spark, monkeypatch, block):
     assert sorted(map(tuple, found), key=str) == brute(docs)
 
 
+def test_the_pipeline_keeps_one_of_a_chain(spark, sf_dir):
+    docs = frame(spark, chains(random.Random(5))).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()) == [10 * t for t in range(40)]
+
+
 def test_cells_grow_with_a_group_and_every_pair_meets_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "ZONE_BLOCK", 16)
