@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import Parts, PrefixTable, Vocabulary, encode_parts, encode_slice
-from .common import in_slices, texts
+from .common import as_bytes, in_slices, texts
 
 #: Fixed value: the word pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -108,13 +109,27 @@ class Trie:
             todo += [(node, depth) for node in below.values()]
 
 
+class Spelling:
+    """A string of bytes for each id, laid end to end."""
+
+    def __init__(self, spelled: dict[int, bytes]):
+        strings = [spelled.get(i, b"") for i in range(max(spelled, default=-1) + 1)]
+        self.strings = pa.array(strings, pa.large_binary())
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+        """The strings of the ids between one end and the next, joined."""
+        data, at = as_bytes(self.strings.take(pa.array(ids)))
+        data, at = data.data, at[ends].tolist()
+        return (data[a:z] for a, z in itertools.pairwise(at))
+
+
 class Encoder:
     def __init__(self, merges: Merges):
         import regex
 
         self.merges, self.known, self.find = merges, Parts(), regex.compile(PATTERN).findall
         self.special = re.compile("|".join(re.escape(t) for t in sorted(merges.added, key=len, reverse=True))) if merges.added else None
-        self.decimal = {i: str(i) for i in merges.bytes_of}
+        self.decimals, self.decoded = Spelling({i: b"%d," % i for i in merges.bytes_of}), Spelling(merges.bytes_of)
 
     def fresh(self, parts: list[str], simple: bool = False) -> list[bytes]:
         """The ids of each part (little-endian unsigned 32-bit), from one trie of all their words."""
@@ -166,14 +181,16 @@ def encode(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = loaded(tokenizer_file)
-        digest, text_of, bytes_of = hashlib.sha256, e.decimal.__getitem__, e.merges.bytes_of.__getitem__
+        digest = hashlib.sha256
         for b in in_slices(batches):
-            ids = [np.frombuffer(x, "<u4") for x in e.encode_all(b.column("text"))]
-            lists = [x.tolist() for x in ids]
-            out = [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64())]
-            out += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] if with_ids else []
-            out.append(pa.array([digest(",".join(map(text_of, x)).encode()).hexdigest() for x in lists]))
-            out.append(pa.array([digest(b"".join(map(bytes_of, x)).decode("utf-8", "replace").encode()).hexdigest() for x in lists]))
+            ids = e.encode_all(b.column("text"))
+            ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+            every = np.frombuffer(b"".join(ids), "<u4")
+            out = [b.column("doc_id"), pa.array(np.diff(ends))]
+            out += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every.astype(np.int32)))] if with_ids else []
+            # a decimal ends in a comma, the last one of a text's goes
+            out.append(pa.array([digest(x[:-1]).hexdigest() for x in e.decimals.texts(every, ends)]))
+            out.append(pa.array([digest(str(x, "utf-8", "replace").encode()).hexdigest() for x in e.decoded.texts(every, ends)]))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
     schema = f"doc_id long, n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string"

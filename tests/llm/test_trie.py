@@ -81,6 +81,16 @@ def test_slices_and_single_texts_against_the_library(hf):
         assert e.decode(ids).decode() == hf.decode(ids, skip_special_tokens=False)
 
 
+def test_ids_are_spelled_all_at_once():
+    """Texts without ids, ids without a string, and strings that hold any bytes; ids in between have none."""
+    s = trie.Spelling({0: b"a", 2: b"\xff,", 5: b"", 7: "é".encode()})
+    lists = [[], [0, 2, 2, 7], [5], [3, 0], [], [7] * 5000, []]
+    ends = np.cumsum([0, *map(len, lists)])
+    found = [bytes(x) for x in s.texts(np.array([i for x in lists for i in x], "<u4"), ends)]
+    assert found == [b"", b"a\xff,\xff," + "é".encode(), b"", b"a", b"", "é".encode() * 5000, b""]
+    assert [bytes(x) for x in s.texts(np.zeros(0, "<u4"), np.zeros(3, np.int64))] == [b"", b""]
+
+
 def test_op12_over_the_table(spark, sf_dir, hf):
     found = {r["doc_id"]: r for r in queries.op12_trie_bpe(spark, sf_dir).collect()}
     docs = documents(spark, sf_dir)
