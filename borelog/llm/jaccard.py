@@ -1,16 +1,17 @@
 """Near-duplicate documents: a Jaccard join of word n-gram sets with Bayesian pruning of candidates.
 
-1. Every text becomes a set of hashed shingles of five words, a digest of the set, and 128 MinHash values. Texts with
-   equal sets are one class from here on.
-2. Bands of four values put classes into buckets; a bucket's hub is its least class. A pair at the threshold is in no
-   common bucket with probability below 1e-7.
+1. Every text becomes a set of hashed shingles of five words, a digest of the set, and its first shingles in the order of
+   their hashes. Texts with equal sets are one class from here on.
+2. Sets at the threshold share some of their first shingles for certain (``first_shingles``): a class of which fewer are met
+   in other classes has no link, and of those met all but the most frequent ones are its buckets. Every pair at the
+   threshold has a common bucket. A bucket's hub is its least class.
 3. Classes are laid in order of the hub that most classes have of those they have, and cut into blocks. The classes of a
    hub that a block cannot hold are a zone of larger blocks, never more than make two cells a task, so the rows moved grow
    with the zone and not with its square. A class goes to each pair of blocks (a cell), its own and one of its zone, or one
-   that holds a class of a common hub; a pair of classes meets there once. Pairs without a common bucket are passed
-   over. The others' MinHash values are compared 32 at a time, pairs whose posterior probability of reaching the threshold
-   has fallen below the tolerance are dropped, and all that are left are verified on the whole sets. A cell returns one row
-   for each class (links, and the least class that links within the cell lead to), never pairs.
+   that holds a class of a common hub; a pair of classes meets there once. Their 128 MinHash values are compared 32 at a
+   time; a pair whose posterior probability of reaching the threshold has fallen below the tolerance is dropped as soon as
+   a bound on the sets (``apart``) proves it right, and all others are verified on the whole sets, so chance leaves no link
+   out. A cell returns one row for each class (links, and the least class that links within the cell lead to), never pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from math import ceil, comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, hot_keys, in_groups, in_slices, meet, mix, odd_numbers, row_tag, texts, words
 from .graph import components
 from .suffixes import shrunk
 
-HASHES, BAND, STEP = 128, 4, 32
+HASHES, STEP = 128, 32
+#: Part of a set's shingles that it and a linked one have in common, for certain, among their first ones (the threshold, if that is less).
+FIRST = 0.1
+#: Bytes of a hash by which first shingles meet; it only makes candidates.
+MARK = 5
 #: Stands for a null id, which comes last.
 LAST = (1 << 63) - 1
 BLOCK = 128
@@ -81,7 +86,24 @@ def min_hashes(gram: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(rows: DataFrame, n: int) -> DataFrame:
+def share(part: float, size: np.ndarray) -> np.ndarray:
+    return np.ceil(part * size - 1e-9).astype(np.int64)
+
+
+def first_shingles(size: np.ndarray, threshold: float, part: float = FIRST) -> tuple[np.ndarray, np.ndarray]:
+    """How many first shingles of a set count, and how many of them a set at the threshold has among its own, for certain.
+
+    A set of ``size`` shingles shares ``threshold`` of them at least, so lacks no more than the rest. Its m-th shared one is
+    thus among its first m and the rest. With m a part of the size, m is less for the smaller of two sets, which has
+    ``threshold`` of the larger's size at least."""
+    part = min(part, threshold)
+    need = share(threshold, size)
+    return size - need + share(part, size), share(part, need)
+
+
+def sketches(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The digest of each text's set, and the leading bytes of its first shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -89,31 +111,37 @@ def sketches(rows: DataFrame, n: int) -> DataFrame:
             gram, start = shingle_sets(b.column("text"), n)
             data = gram.tobytes()
             digest = [xxhash.xxh3_128_digest(data[8 * s : 8 * e]) for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-            values = min_hashes(gram, start)
-            cols = [b.column("doc"), b.column("tag"), pa.array(np.diff(start)), pa.array(digest, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "size", "digest", "sketch"])
+            size = np.diff(start)
+            lead = np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - MARK :]).tobytes()
+            first = [lead[MARK * s : MARK * (s + q)] for s, q in zip(start[:-1].tolist(), first_shingles(size, threshold)[0].tolist(), strict=True)]
+            cols = [b.column("doc"), b.column("tag"), pa.array(size), pa.array(digest, pa.binary()), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "size", "digest", "first"])
 
-    return rows.select("doc", "tag", "text").mapInArrow(run, "doc long, tag binary, size long, digest binary, sketch binary")
+    return rows.select("doc", "tag", "text").mapInArrow(run, "doc long, tag binary, size long, digest binary, first binary")
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """A row of bucket numbers, one for each band, for each row of MinHash values."""
-    values = sketch.astype(np.uint64)
-    key = np.tile(np.arange(1, HASHES // BAND + 1, dtype=np.uint64), (len(values), 1))
-    for k in range(BAND):
-        key = mix(key ^ mix(values[:, k::BAND] + np.uint64(k)))
-    return key
+def buckets(classes: DataFrame, threshold: float, part: float = FIRST) -> DataFrame:
+    """(bucket, node), from (node, size, first): first shingles, such that every two classes at the threshold have one in common.
 
-
-def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, node) for each band of each class."""
+    Rows may repeat where hashes agree in their leading bytes; that makes more candidates, never fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = band_keys(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(b.num_rows, HASHES))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column("node").to_numpy(), key.shape[1]))], names=["bucket", "node"])
-
-    return classes.select("node", "sketch").mapInArrow(run, "bucket long, node long")
+        for b in in_slices(batches, "first", 1 << 20):
+            raw, offsets = as_bytes(b.column("first"))
+            mark = np.zeros((len(raw) // MARK, 8), np.uint8)
+            mark[:, :MARK] = raw.reshape(-1, MARK)
+            size, times = b.column("size").to_numpy(), np.diff(offsets) // MARK
+            cols = [mark.view("<i8").ravel(), np.repeat(b.column("node").to_numpy(), times), np.repeat(first_shingles(size, threshold, part)[1], times)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "node", "need"])
+
+    by_bucket, by_node = Window.partitionBy("bucket"), Window.partitionBy("node")
+    found = classes.select("node", "size", "first").mapInArrow(run, "bucket long, node long, need long")
+    met = cut(classes.sparkSession, found.withColumn("n", F.count("*").over(by_bucket)).where("n > 1").drop("n"), "met")
+    met = met.withColumn("of", F.count("*").over(by_node)).where("of >= need").drop("of")
+    met = met.withColumn("n", F.count("*").over(by_bucket)).where("n > 1").withColumn("of", F.count("*").over(by_node))
+    # rarest first: at least ``need`` are shared with a class at the threshold, so one is when the last need - 1 are left out
+    met = met.withColumn("place", F.row_number().over(by_node.orderBy("n", "bucket"))).where("place <= of - need + 1")
+    return cut(classes.sparkSession, met.select("bucket", "node").distinct(), "buckets")
 
 
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
@@ -129,19 +157,44 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return need
 
 
+def apart(size: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the pairs that cannot reach the threshold, for certain: every shingle turns over one bit, so each bit in which two sets differ is a shingle that one of them lacks."""
+    both = size[left] + size[right]
+    most = both - 2 * (threshold * both - 1e-9) / (1 + threshold) + 1e-6
+    level = np.clip(np.ceil(np.log2(both)), 6, 16).astype(np.int64)
+    out = np.zeros(len(left), bool)
+    for k in np.unique(level).tolist():
+        of = np.flatnonzero(level == k)
+        used = np.unique(np.r_[left[of], right[of]])
+        bit = np.concatenate([sets[i] for i in used.tolist()]) & np.uint64((1 << k) - 1)
+        bits = np.zeros((len(used), 1 << (k - 6)), np.uint64)
+        np.bitwise_xor.at(bits, (np.repeat(np.arange(len(used)), size[used]), bit >> np.uint64(6)), np.uint64(1) << (bit & np.uint64(63)))
+        a, b = np.searchsorted(used, left[of]), np.searchsorted(used, right[of])
+        step = (1 << 18) >> (k - 6)
+        for at in range(0, len(of), step):
+            part = slice(at, at + step)
+            out[of[part]] = np.bitwise_count(bits[a[part]] ^ bits[b[part]]).sum(1, dtype=np.int64) > most[of[part]]
+    return out
+
+
 def linked(sketch: np.ndarray, size: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, need: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs (left[i], right[i]) that reach the threshold."""
     ok = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9
     left, right = left[ok], right[ok]
     same = np.zeros(len(left), np.int32)
+    unlikely = []
     for at in range(0, HASHES, STEP):
         if not len(left):
-            return left, right
+            break
         for k in range(0, len(left), 1 << 16):
             part = slice(k, k + (1 << 16))
             same[part] += (sketch[left[part], at : at + STEP] == sketch[right[part], at : at + STEP]).sum(1)
         ok = same >= need[at + STEP]
+        unlikely.append((left[~ok], right[~ok]))
         left, right, same = left[ok], right[ok], same[ok]
+    for a, b in unlikely:
+        ok = ~apart(size, sets, a, b, threshold)
+        left, right = np.r_[left, a[ok]], np.r_[right, b[ok]]
     if not len(left):
         return left, right
     used = np.unique(np.r_[left, right])
@@ -195,15 +248,11 @@ def verify(batches: Iterator[pa.RecordBatch], threshold: float, need: dict[int,
             sets += [raw[s:e].view(np.uint64) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         size = np.array([len(x) for x in sets], np.int64)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        keys = band_keys(sketch)
         links, label = np.zeros(len(node), np.int64), np.arange(len(node))
         for s in range(0, len(a), BLOCK):
             for t in range(s if i == j else 0, len(b), BLOCK):
                 p, q = a[s : s + BLOCK], b[t : t + BLOCK]
-                shared = np.zeros((len(p), len(q)), bool)
-                for k in range(keys.shape[1]):
-                    shared |= keys[p, k][:, None] == keys[q, k]
-                left, right = np.nonzero(np.triu(shared, 1) if i == j and s == t else shared)
+                left, right = np.nonzero(np.tri(len(p), len(q), -1, bool).T if i == j and s == t else np.ones((len(p), len(q)), bool))
                 left, right = linked(sketch, size, sets, p[left], q[right], threshold, need)
                 np.add.at(links, left, copies[right])
                 np.add.at(links, right, copies[left])
@@ -251,14 +300,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), row_tag(F.col("doc_id"), F.col("text")).alias("tag"), "doc_id", "text")
-    every = cut(spark, sketches(rows, words_each), "sketches")
-    classes = every.where("size > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "sketch", "size")).alias("one"))
+    every = cut(spark, sketches(rows, words_each, threshold), "sketches")
+    classes = every.where("size > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "size")).alias("one"))
     classes = cut(spark, classes.select(F.monotonically_increasing_id().alias("node"), "digest", "copies", "one.*"), "classes")
-    found = buckets(classes)
+    firsts = every.where("size > 0").select("doc", "tag", "size", "first").join(classes.select("doc", "tag", "node"), ["doc", "tag"]).dropDuplicates(["doc", "tag"])
+    found = buckets(firsts, threshold)
     hubs = cut(spark, found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "hubs")
     own = cut(spark, meet(found, hubs.select("bucket", "hub"), ["bucket"], hot_keys(hubs, ["bucket"]), ["node"]).select("node", "hub").distinct(), "own")
     meets = cells(own, classes.select("node", "size")).groupBy("node").agg(F.collect_list(F.struct("block", "other")).alias("meets"))
-    held = classes.join(meets, "node").select("node", "copies", "doc", "tag", "sketch", "meets")
+    held = classes.join(meets, "node").select("node", "copies", "doc", "tag", "meets")
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -268,10 +318,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             gram, start = shingle_sets(pa.array([expand(x) for x in b.column("blob").to_pylist()], pa.binary()).cast(pa.string()), words_each)
             data = gram.tobytes()
             grams = [data[8 * s : 8 * e] for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(grams, pa.binary())], names=[*kept, "grams"])
+            sketch = [v.tobytes() for v in min_hashes(gram, start)]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(sketch, pa.binary()), pa.array(grams, pa.binary())], names=[*kept, "sketch", "grams"])
 
-    kept = ["node", "copies", "sketch", "meets"]
-    sets = shrunk(rows).join(held, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("blob", *kept).mapInArrow(expanded, "node long, copies long, sketch binary, meets array<struct<block:long,other:long>>, grams binary")
+    kept = ["node", "copies", "meets"]
+    sets = shrunk(rows).join(held, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("blob", *kept).mapInArrow(expanded, "node long, copies long, meets array<struct<block:long,other:long>>, sketch binary, grams binary")
     met = sets.select("node", "copies", "sketch", "grams", F.inline("meets")).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "sketch", "grams")
     need = least_matches(threshold, tolerance)
     met = met.repartition(n, "i", "j").sortWithinPartitions("i", "j", "node")

@@ -74,6 +74,58 @@ def test_two_classes_that_a_third_links_are_one(spark, monkeypatch, block):
     assert sorted(map(tuple, found), key=str) == brute(docs)
 
 
+#: Texts of four and five shingles, four in common, whose MinHash values agree in no band of four (bands were the buckets once).
+UNLUCKY = [
+    ("6431 4389 9410 1711 2204 7050 4412 9291", "26378"),
+    ("9248 5115 2161 8919 9363 4618 8340 5635", "22646"),
+    ("5244 5184 2645 4912 3603 7942 63 9326", "45440"),
+    ("8928 9815 1873 382 4036 1978 8397 6322", "75367"),
+]
+
+
+def test_no_link_is_left_to_chance(spark, sf_dir):
+    docs = [(10 * k + i, t) for k, (x, more) in enumerate(UNLUCKY) for i, t in enumerate([x, f"{x} {more}"])]
+    found = jaccard.near_duplicates(frame(spark, docs)).collect()
+    assert sorted(map(tuple, found)) == sorted((d, d - d % 10, 1) for d, _ in docs)
+    corpus = frame(spark, docs).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, corpus, sf_dir).collect()) == [0, 10, 20, 30]
+
+
+def test_unlikely_pairs_are_dropped_on_proof_only():
+    rng = np.random.default_rng(6)
+    for size in (1, 5, 10, 40, 500, 5000, 90_000):
+        base = rng.integers(0, 2**64 - 1, size, np.uint64)
+        sets = [np.unique(np.r_[base[: size - cut], rng.integers(0, 2**64 - 1, more, np.uint64)]) for cut in (0, size // 20, size // 5, size // 2) for more in (0, size // 9, size // 4)]
+        sets = [x for x in sets if len(x)]
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+        left, right = np.array(pairs).T
+        reach = [len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9 for i, j in pairs]
+        sketch = rng.integers(0, 2**32 - 1, (len(sets), jaccard.HASHES), np.uint32)  # says that no pair is alike
+        found = jaccard.linked(sketch, np.array(list(map(len, sets))), sets, left, right, 0.8, jaccard.least_matches(0.8, 1e-9))
+        assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(p for p, ok in zip(pairs, reach, strict=True) if ok)
+    few, other = (rng.integers(0, 2**64 - 1, 1000, np.uint64) for _ in range(2))
+    assert jaccard.apart(np.array([1000, 1000]), [few, other], np.array([0]), np.array([1]), 0.8).all()
+
+
+@pytest.mark.parametrize("first", [0.02, 0.1, 0.5])
+def test_every_pair_at_the_threshold_has_a_common_bucket(spark, first):
+    rng = random.Random(12)
+    common = [rng.randrange(2**40) for _ in range(40)]
+    sets = []
+    for _ in range(60):
+        base = {rng.randrange(2**40) for _ in range(rng.choice([1, 3, 9, 10, 60]))} | set(rng.sample(common, rng.choice([0, 1, 20])))
+        sets.append(base)
+        for _ in range(4):
+            cut = rng.randint(0, max(1, len(base) // 8))
+            sets.append(set(rng.sample(sorted(base), max(1, len(base) - cut))) | {rng.randrange(2**40) for _ in range(rng.randint(0, len(base) // 8 + 1))})
+    rows = [(k, len(x), b"".join(v.to_bytes(5, "little") for v in sorted(x)[: jaccard.first_shingles(np.array([len(x)]), 0.8, first)[0][0]])) for k, x in enumerate(sets)]
+    held = {}
+    for bucket, node in jaccard.buckets(spark.createDataFrame(rows, "node long, size long, first binary"), 0.8, first).collect():
+        held.setdefault(node, set()).add(bucket)
+    wanted = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    assert len(wanted) > 50 and all(held.get(i, set()) & held.get(j, set()) for i, j in wanted)
+
+
 def test_the_pipeline_keeps_one_of_a_chain(spark, sf_dir):
     docs = frame(spark, chains(random.Random(5))).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()) == [10 * t for t in range(40)]
