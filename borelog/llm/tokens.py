@@ -10,6 +10,7 @@ Spark's writer makes files appear only when their task has committed, and works
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ BLOCK = 16_384
 CHUNK_IDS = 131_072
 #: Bytes of a worker's cache of parts.
 CACHE_BYTES = 128 << 20
+#: Parts in a call of the library, which holds more than a thousand bytes for each until it ends.
+CALL_PARTS = 16_384
 #: A part that stays the same between line ends: a blank at most before, no line end within, no white space at the end.
 PLAIN = re.compile(r" ?\S(?:[^\n]*\S)?")
 SCHEMA = "shard int, chunk int, first long, n_ids long, planes int, block int, kind string, doc_ids array<long>, lengths array<long>, data array<binary>"
@@ -49,6 +52,9 @@ def tokenizer(path: str):
     mark = t.encode("\n", add_special_tokens=False).ids
 
     def fresh(parts: list[str], simple: bool = False) -> list[bytes]:
+        return list(itertools.chain.from_iterable(together(parts[at : at + CALL_PARTS], simple) for at in range(0, len(parts), CALL_PARTS)))
+
+    def together(parts: list[str], simple: bool) -> list[bytes]:
         """One call for many parts: with line ends between them, which the pre-tokenizer always parts from what stands around.
 
         ``simple``: no part holds white space but a blank before or a line end alone, so a look at the last character is enough."""

@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -90,6 +93,24 @@ def test_slices_against_the_library(hf):
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in hf.encode_batch(xs, add_special_tokens=False)]
 
 
+def test_many_new_parts_take_little_memory():
+    """A worker's peak over 200,000 new parts, in a process of its own; all in one call of the library took 353 MB."""
+    code = """if True:
+        import resource, sys
+        import public_tokenizers
+        from borelog.llm import tokens
+        fresh, _, _ = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+        parts = [f" {i:x}" for i in range(10**6, 10**6 + 200_000)]
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        found = fresh(parts, True)
+        grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+        assert all(found[k : k + 1] == fresh(parts[k : k + 1]) for k in (0, 16_383, 16_384, 199_999))
+        print(len(found), grown // 1024)
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert int(out[0]) == 200_000 and int(out[1]) < 110
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_planes_round_trip(kind):
     import zstandard
