@@ -36,11 +36,11 @@ def documented(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report lines: order lines with their order and part."""
     lines, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    p = p.withColumn("b", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int"))  # once for a part, not for each line
     joined = lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).join(p, lines["l_partkey"] == p["p_partkey"])
-    number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     return joined.select(
         F.col("o_custkey").alias("well_id"), F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("reported"),
-        F.col("l_linenumber").alias("seq"), F.col("p_brand").alias("formation"), number.alias("b"), F.col("p_type").alias("hazard"), F.col("p_name").alias("p_name"),
+        F.col("l_linenumber").alias("seq"), F.col("p_brand").alias("formation"), "b", F.col("p_type").alias("hazard"), F.col("p_name").alias("p_name"),
         F.col("l_quantity").alias("quantity"), (F.col("l_discount") + 0.0).alias("discount"), (F.col("l_tax") + 0.0).alias("tax"), F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("state"), F.col("l_shipdate").alias("shipped"), F.col("l_extendedprice").alias("price"),
     )

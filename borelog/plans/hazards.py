@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from borelog.functions import geo, stats
-from borelog.operators import joins, sequences
+from borelog.functions import stats
+from borelog.operators import offsets
 from borelog.operators.ranking import auc
 from borelog.operators.tables import first_n, kept, written
 
@@ -68,27 +68,36 @@ def places(spark: SparkSession, sf_dir: str, tops: DataFrame | None = None) -> D
     return wells.join(sets, "well_id").select("well_id", "lat", "lon", "td", "family", "source", "formations")
 
 
+def kept_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, "tops", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda: b.tops(spark, sf_dir))
+
+
+def kept_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, "places", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda: places(spark, sf_dir, kept_tops(spark, sf_dir)))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documented wells, their layers and their recorded problems, each computed once."""
     inputs = [f"{sf_dir}/{t}.parquet" for t in INPUTS]
-    tops = kept(spark, "tops", inputs, lambda: b.tops(spark, sf_dir))
-    wells = kept(spark, "places", inputs, lambda: places(spark, sf_dir, tops))
+    tops, wells = kept_tops(spark, sf_dir), kept_places(spark, sf_dir)
     pen = kept(spark, "penetrations", inputs, lambda: penetrations(tops, wells))
     return wells, pen, kept(spark, "recorded", inputs, lambda: recorded(b.events(spark, sf_dir), wells))
 
 
 def offset_wells(wells: DataFrame, radius: float = RADIUS_M, most: int = MOST_OFFSETS) -> DataFrame:
-    """The most similar wells of other families within the radius, with the parts of the similarity."""
-    pairs = joins.within_radius(wells, wells, radius).where("family <> family_o")
-    shared = geo.jaccard(F.col("formations"), F.col("formations_o"))
-    sim = F.round(geo.similarity(F.col("distance"), shared, F.col("td"), F.col("td_o")), 4)
-    rows = pairs.select("well_id", F.col("well_id_o").alias("offset_id"), "family", F.round("distance", 4).alias("distance"), F.round(shared, 6).alias("shared"), sim.alias("sim"))
-    return sequences.top_n(rows, most, ["well_id"], [F.col("sim").desc(), F.col("offset_id")])
+    """The most similar wells of other families within the radius, with the parts of the similarity. ``wells`` is read several times."""
+    return offsets.similar(wells, wells, radius, most)
+
+
+def well_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``offset_wells`` of the documented wells, computed by the first query of an application that reads them."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in INPUTS]
+    return kept(spark, "offsets", inputs, lambda: offset_wells(kept_places(spark, sf_dir)))
 
 
 @query("offsets_topk", *BASE, more={k: CTES[k] for k in ("place", "pair", "offset_well")}, sql="SELECT well_id, offset_id, distance, shared, sim, rank FROM offset_well")
 def offsets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offset_wells(places(spark, sf_dir)).select("well_id", "offset_id", "distance", "shared", "sim", F.col("rank").cast("long").alias("rank"))
+    return well_offsets(spark, sf_dir).select("well_id", "offset_id", "distance", "shared", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 def penetrations(tops: DataFrame, wells: DataFrame) -> DataFrame:
@@ -130,7 +139,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cell_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube of well, layer and problem, judged from other families' wells alone, with what was then recorded (y)."""
     wells, pen, rec = facts(spark, sf_dir)
-    near = offset_wells(wells).select("well_id", "offset_id", "sim")
+    near = well_offsets(spark, sf_dir).select("well_id", "offset_id", "sim")
     hazards = b.table(spark, sf_dir, "part").select(F.col("p_type").alias("hazard")).distinct()
     mine = pen.select("well_id", "formation")
     theirs = pen.select(F.col("well_id").alias("offset_id"), "formation")
@@ -351,12 +360,12 @@ def regions(rows: DataFrame, by: str, least: int = 30) -> DataFrame:
     sql="""SELECT s.well_id, shown_id, CAST(rank AS BIGINT) AS rank, 'top' AS kind, formation AS name, round(top, 4) AS md FROM shown s JOIN top t ON t.well_id = shown_id
     UNION ALL SELECT s.well_id, shown_id, CAST(rank AS BIGINT), 'event', hazard, round(md, 4) FROM shown s JOIN event e ON e.well_id = shown_id""")
 def correlation_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section(offset_wells(places(spark, sf_dir)), places(spark, sf_dir), b.tops(spark, sf_dir), b.events(spark, sf_dir))
+    return section(well_offsets(spark, sf_dir), kept_places(spark, sf_dir), kept_tops(spark, sf_dir), b.events(spark, sf_dir))
 
 
-def section(offsets: DataFrame, wells: DataFrame, tops: DataFrame, events: DataFrame, n: int = 6) -> DataFrame:
+def section(near: DataFrame, wells: DataFrame, tops: DataFrame, events: DataFrame, n: int = 6) -> DataFrame:
     """Each well beside its n - 1 most similar offsets (rank 0 is the well itself), with tops and events by depth."""
-    shown = offsets.where(F.col("rank") < n).select("well_id", F.col("offset_id").alias("shown_id"), F.col("rank").cast("long").alias("rank"))
+    shown = near.where(F.col("rank") < n).select("well_id", F.col("offset_id").alias("shown_id"), F.col("rank").cast("long").alias("rank"))
     shown = shown.unionByName(wells.select("well_id", F.col("well_id").alias("shown_id"), F.lit(0).cast("long").alias("rank")))
     marks = tops.select(F.col("well_id").alias("shown_id"), F.lit("top").alias("kind"), F.col("formation").alias("name"), F.round("top", 4).alias("md"))
     marks = marks.unionByName(events.select(F.col("well_id").alias("shown_id"), F.lit("event").alias("kind"), F.col("hazard").alias("name"), F.round(F.col("md").cast("double"), 4).alias("md")))

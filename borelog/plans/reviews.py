@@ -74,7 +74,7 @@ def surface_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("inferred_column", *BASE, more=CELLS, sql="SELECT o.well_id, t.formation, median(t.top) AS top, count(*) AS donors FROM offset_well o JOIN top t ON t.well_id = o.offset_id WHERE o.rank <= 3 GROUP BY 1, 2")
 def inferred_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layers a well may expect: median tops over its three most similar wells."""
-    donors = hazards.offset_wells(hazards.places(spark, sf_dir), most=3).select("well_id", "offset_id")
+    donors = hazards.well_offsets(spark, sf_dir).where("rank <= 3").select("well_id", "offset_id")
     tops = b.tops(spark, sf_dir).select(F.col("well_id").alias("offset_id"), "formation", "top")
     return donors.join(tops, "offset_id").groupBy("well_id", "formation").agg(F.median("top").alias("top"), F.count("*").alias("donors"))
 
