@@ -137,38 +137,50 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube of well, layer and problem, judged from other families' wells alone, with what was then recorded (y)."""
-    wells, pen, rec = facts(spark, sf_dir)
+    """The cube of well, layer and problem, judged from other families' wells alone, with what was then recorded (y).
+
+    Sums and counts are made for each well and layer, those by problem as maps of the few problems that were recorded; the problems
+    of the closed list are laid beside at the end, so no row of the cube is shuffled. Layers are numbered, and an offset's go as one array."""
+    _, pen, rec = facts(spark, sf_dir)
     near = well_offsets(spark, sf_dir).select("well_id", "offset_id", "sim")
     hazards = b.table(spark, sf_dir, "part").select(F.col("p_type").alias("hazard")).distinct()
-    mine = pen.select("well_id", "formation")
-    theirs = pen.select(F.col("well_id").alias("offset_id"), "formation")
-    pairs = near.join(mine, "well_id").join(theirs, ["offset_id", "formation"])
-    # sums over all offsets once, sums over those with a record by an inner join: no row for each problem that did not happen
-    weights = pairs.groupBy("well_id", "formation").agg(F.sum("sim").alias("w"), F.sum(F.col("sim") * F.col("sim")).alias("w2"), F.count("*").alias("n_wells"))
-    hits = pairs.join(rec.select(F.col("well_id").alias("offset_id"), "formation", "hazard"), ["offset_id", "formation"]).groupBy("well_id", "formation", "hazard").agg(F.sum("sim").alias("wy"), F.count("*").alias("n_with"))
-    key = ["well_id", "formation", "hazard"]
-    rows = weights.crossJoin(F.broadcast(hazards)).join(hits, key, "left").withColumn("wy", F.coalesce("wy", F.lit(0.0))).withColumn("n_with", F.coalesce("n_with", F.lit(0)))
-    rows = rows.join(pen, ["well_id", "formation"]).join(rec.select(*key, F.lit(1).alias("seen")), key, "left").withColumn("y", F.coalesce("seen", F.lit(0))).drop("seen")
-    # the own family's part is taken off each count
-    for name, df, keys in (
-        ("pn", pen.groupBy("formation", "source").agg(F.countDistinct("well_id").alias("pn")), ["formation", "source"]),
-        ("pf", pen.groupBy("formation", "source", "family").agg(F.countDistinct("well_id").alias("pf")), ["formation", "source", "family"]),
-        ("rn", rec.groupBy("formation", "source", "hazard").agg(F.count("*").alias("rn")), ["formation", "source", "hazard"]),
-        ("rf", rec.groupBy("formation", "source", "hazard", "family").agg(F.count("*").alias("rf")), ["formation", "source", "hazard", "family"]),
-        ("hn", rec.groupBy("hazard").agg(F.count("*").alias("hn")), ["hazard"]),
-        ("hf", rec.groupBy("hazard", "family").agg(F.count("*").alias("hf")), ["hazard", "family"]),
-        ("af", pen.groupBy("family").agg(F.count("*").alias("af")), ["family"]),
-    ):
-        rows = rows.join(df, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    rows = rows.crossJoin(pen.agg(F.count("*").alias("an")))
-    n = F.col("pn") - F.col("pf")
-    base = F.when(n >= LEAST_WELLS, laplace(F.col("rn") - F.col("rf"), n)).otherwise(laplace(F.col("hn") - F.col("hf"), F.col("an") - F.col("af")))
+    names = kept(spark, "layers", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda: pen.select("formation").distinct().withColumn("n", F.row_number().over(Window.orderBy("formation"))))  # the names alone
+    layer, found = ["well_id", "formation"], lambda rows, key: by_hazard(rows, key, F.count("*"))
+
+    mine = pen.join(names, "formation")
+    sets = mine.groupBy(F.col("well_id").alias("offset_id")).agg(F.collect_list("n").alias("ns"))
+    had = rec.join(names, "formation").select(F.col("well_id").alias("offset_id"), "n", "hazard")
+    # a well's rows come together once, as arrays; its sums are then made where they are
+    reached = near.join(sets, "offset_id").repartition("well_id").select("well_id", "sim", F.explode("ns").alias("n"))
+    weights = reached.groupBy("well_id", "n").agg(F.sum("sim").alias("w"), F.sum(F.col("sim") * F.col("sim")).alias("w2"), F.count("*").alias("n_wells"))
+    hits = by_hazard(near.join(had, "offset_id").select("well_id", "n", "hazard", "sim"), ["well_id", "n"], F.struct(F.sum("sim").alias("wy"), F.count("*").alias("n_with")), "hits")
+    rows = mine.join(weights, ["well_id", "n"]).join(hits, ["well_id", "n"], "left").drop("n")
+    rows = rows.join(found(rec, layer).withColumnRenamed("found", "seen"), layer, "left")
+    # counts of all wells and of the own family, whose part is taken off
+    spot = ["formation", "source"]
+    for name, keys in (("p", spot), ("pf", [*spot, "family"]), ("af", ["family"])):
+        rows = rows.join(pen.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    for name, keys in (("r", spot), ("rf", [*spot, "family"]), ("hf", ["family"])):
+        rows = rows.join(found(rec, keys).withColumnRenamed("found", name), keys, "left")
+    overall = rec.groupBy("hazard").agg(F.count("*").alias("hn"))
+    kinds = hazards.join(overall, "hazard", "left").crossJoin(pen.agg(F.count("*").alias("an")))
+    rows = rows.crossJoin(F.broadcast(kinds))  # a closed list of kinds
+
+    of = lambda c: F.coalesce(F.col(c)[F.col("hazard")], F.lit(0))
+    rows = rows.withColumns({"wy": F.coalesce(F.col("hits")[F.col("hazard")]["wy"], F.lit(0.0)), "n_with": F.coalesce(F.col("hits")[F.col("hazard")]["n_with"], F.lit(0)), "y": F.least(of("seen"), F.lit(1)).cast("int")})
+    n = F.col("p") - F.col("pf")
+    base = F.when(n >= LEAST_WELLS, laplace(of("r") - of("rf"), n)).otherwise(laplace(F.coalesce("hn", F.lit(0)) - of("hf"), F.col("an") - F.col("af")))
     rows = rows.withColumn("base", base).withColumn("a", STRENGTH * F.col("base") + F.col("wy")).withColumn("b", STRENGTH * (1 - F.col("base")) + F.col("w") - F.col("wy"))
     rows = rows.withColumn("mean", F.col("a") / (STRENGTH + F.col("w"))).withColumn("n_eff", F.round(F.col("w") * F.col("w") / F.col("w2"), 1))
     status = F.when(F.col("n_eff") >= LEAST_EVIDENCE, "ok").otherwise("insufficient_evidence")
     rows = rows.withColumn("status", status).withColumn("alert_md", F.greatest(F.lit(0.0), F.col("top") - 150))
-    return rows.select(*key, "family", "source", "top", "alert_md", "n_wells", "n_with", "base", "mean", "n_eff", "status", "y", "a", "b").withColumn("flag", (F.col("status") == "ok") & (F.col("mean") >= RATIO * F.col("base")))
+    return rows.select("well_id", "formation", "hazard", "family", "source", "top", "alert_md", "n_wells", "n_with", "base", "mean", "n_eff", "status", "y", "a", "b").withColumn("flag", (F.col("status") == "ok") & (F.col("mean") >= RATIO * F.col("base")))
+
+
+def by_hazard(rows: DataFrame, key: list[str], value: Column, name: str = "found") -> DataFrame:
+    """(key, name): ``value`` over the rows of each problem that a key has, as a map; rows without a problem's name are met by none."""
+    each = rows.where("hazard is not null").groupBy(*key, "hazard").agg(value.alias("_v"))
+    return each.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("hazard", "_v"))).alias(name))
 
 
 @query("blind_cells", *BASE, more=CTES, sql="SELECT well_id, formation, hazard, round(alert_md, 4) AS alert_md, n_wells, n_with, round(base, 8) AS base, round(mean, 8) AS mean, n_eff, status, y, flag FROM flagged")

@@ -60,3 +60,11 @@ def test_pairs_handed_on_grow_with_the_wells(spark):
 def test_one_place_does_not_gather_its_square(spark):
     df = spark.createDataFrame([(i, None, 58.0, 2.0, 2000.0, ["a"]) for i in range(3000)], WELLS)
     assert offsets.close(df, df, 10_000.0, 5).count() < 3000 * 5 * 4
+
+
+def test_no_row_of_the_cube_is_shuffled(spark, sf_dir):
+    from borelog.plans import hazards
+
+    plan = hazards.cell_cube(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    laid = next(i for i, line in enumerate(plan) if "NestedLoopJoin" in line or "CartesianProduct" in line)
+    assert not any("Exchange" in line or "SortMergeJoin" in line for line in plan[:laid])
