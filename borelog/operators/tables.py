@@ -67,7 +67,7 @@ def first_n(rows: DataFrame, by: list[str], order: list[tuple[str, bool]], n: st
         w = Window.partitionBy(*by).orderBy(F.col(c).desc() if descending else F.col(c)).rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("_upto", F.sum("_c").over(w)).where((F.col("_upto") - F.col("_c") < F.col("_n")) & (F.col("_n") <= F.col("_upto")))
         level = counts.select(*by, F.col(c).alias(f"_e{i}"), (F.col("_n") - F.col("_upto") + F.col("_c")).alias("_left"))
-        edges = level if edges is None else edges.drop("_left").join(level, by)
+        edges = written(level if edges is None else edges.drop("_left").join(level, by), "edges")  # a row for each group; the next levels would make it anew, twice each
         rest, left = rows.join(edges, by), "_left"
         for j in range(i + 1):
             rest = rest.where(F.col(order[j][0]) == F.col(f"_e{j}"))

@@ -68,3 +68,12 @@ def test_no_row_of_the_cube_is_shuffled(spark, sf_dir):
     plan = hazards.cell_cube(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
     laid = next(i for i, line in enumerate(plan) if "NestedLoopJoin" in line or "CartesianProduct" in line)
     assert not any("Exchange" in line or "SortMergeJoin" in line for line in plan[:laid])
+    assert sum("BroadcastExchange" in line for line in plan) <= 8  # names of layers (three times), counts of a layer and source, kinds and their totals
+
+
+def test_edges_of_first_n_are_made_once(spark):
+    from borelog.operators.tables import first_n
+
+    df = spark.range(50).select((F.col("id") % 3).alias("g"), (F.col("id") % 4).alias("a"), (F.col("id") % 5).alias("b"), "id", F.lit(7).alias("n"))
+    out = first_n(df, ["g"], [("a", True), ("b", True), ("id", False)], "n")
+    assert out.count() == 21 and out._jdf.queryExecution().analyzed().toString().count("Range (") <= 2
