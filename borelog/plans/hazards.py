@@ -102,12 +102,12 @@ def offsets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def penetrations(tops: DataFrame, wells: DataFrame) -> DataFrame:
     """The layers that documented wells went through."""
-    return tops.select("well_id", "formation", "top").join(wells.select("well_id", "source", "family"), "well_id")
+    return tops.select("well_id", "formation", "top").join(wells.select("well_id", "source", "family").hint("merge"), "well_id")
 
 
 def recorded(events: DataFrame, wells: DataFrame) -> DataFrame:
     """The problems that documented wells recorded, once for each layer."""
-    return events.select("well_id", "formation", "hazard").distinct().join(wells.select("well_id", "source", "family"), "well_id")
+    return events.select("well_id", "formation", "hazard").distinct().join(wells.select("well_id", "source", "family").hint("merge"), "well_id")
 
 
 def laplace(k: Column, n: Column) -> Column:
@@ -146,22 +146,24 @@ def cell_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     hazards = b.table(spark, sf_dir, "part").select(F.col("p_type").alias("hazard")).distinct()
     names = kept(spark, "layers", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda: pen.select("formation").distinct().withColumn("n", F.row_number().over(Window.orderBy("formation"))))  # the names alone
     layer, found = ["well_id", "formation"], lambda rows, key: by_hazard(rows, key, F.count("*"))
+    grown = lambda df, keys: df.hint("merge") if "family" in keys else df
 
     mine = pen.join(names, "formation")
     sets = mine.groupBy(F.col("well_id").alias("offset_id")).agg(F.collect_list("n").alias("ns"))
     had = rec.join(names, "formation").select(F.col("well_id").alias("offset_id"), "n", "hazard")
     # a well's rows come together once, as arrays; its sums are then made where they are
-    reached = near.join(sets, "offset_id").repartition("well_id").select("well_id", "sim", F.explode("ns").alias("n"))
+    reached = near.join(sets.hint("merge"), "offset_id").repartition("well_id").select("well_id", "sim", F.explode("ns").alias("n"))
     weights = reached.groupBy("well_id", "n").agg(F.sum("sim").alias("w"), F.sum(F.col("sim") * F.col("sim")).alias("w2"), F.count("*").alias("n_wells"))
-    hits = by_hazard(near.join(had, "offset_id").select("well_id", "n", "hazard", "sim"), ["well_id", "n"], F.struct(F.sum("sim").alias("wy"), F.count("*").alias("n_with")), "hits")
-    rows = mine.join(weights, ["well_id", "n"]).join(hits, ["well_id", "n"], "left").drop("n")
-    rows = rows.join(found(rec, layer).withColumnRenamed("found", "seen"), layer, "left")
+    hits = by_hazard(near.join(had.hint("merge"), "offset_id").select("well_id", "n", "hazard", "sim"), ["well_id", "n"], F.struct(F.sum("sim").alias("wy"), F.count("*").alias("n_with")), "hits")
+    # tables that grow with the wells are merged: small files of theirs would be broadcast, and fill the driver
+    rows = mine.join(weights.hint("merge"), ["well_id", "n"]).join(hits.hint("merge"), ["well_id", "n"], "left").drop("n")
+    rows = rows.join(found(rec, layer).withColumnRenamed("found", "seen").hint("merge"), layer, "left")
     # counts of all wells and of the own family, whose part is taken off
     spot = ["formation", "source"]
     for name, keys in (("p", spot), ("pf", [*spot, "family"]), ("af", ["family"])):
-        rows = rows.join(pen.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        rows = rows.join(grown(pen.groupBy(*keys).agg(F.count("*").alias(name)), keys), keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     for name, keys in (("r", spot), ("rf", [*spot, "family"]), ("hf", ["family"])):
-        rows = rows.join(found(rec, keys).withColumnRenamed("found", name), keys, "left")
+        rows = rows.join(grown(found(rec, keys).withColumnRenamed("found", name), keys), keys, "left")
     overall = rec.groupBy("hazard").agg(F.count("*").alias("hn"))
     kinds = hazards.join(overall, "hazard", "left").crossJoin(pen.agg(F.count("*").alias("an")))
     rows = rows.crossJoin(F.broadcast(kinds))  # a closed list of kinds
